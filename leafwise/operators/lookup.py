@@ -55,16 +55,15 @@ def resolve_document_ids(files: DataFrame, ids: DataFrame) -> DataFrame:
 
     # At most as many lengths as the longest id has characters.
     lengths = [row[0] for row in open_ids.select(F.length("doc_id")).distinct().collect()]
-    cuts = [
-        F.when(
-            F.length("stem") >= n,
-            F.transform(F.sequence(F.lit(1), F.length("stem") - n + 1), lambda i, n=n: F.substring(F.col("stem"), i, F.lit(n))),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in sorted(lengths)
-    ]
-    cut_stems = candidates.select(
-        "file_path", "file_name", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *cuts))).alias("part")
-    )
+    none = F.array().cast("array<string>")
+
+    def cuts(size):
+        starts = F.sequence(F.lit(1), F.length("stem") - size + 1)
+        parts = F.transform(starts, lambda i: F.substring(F.col("stem"), i, F.lit(size)))
+        return F.when(F.length("stem") >= size, parts).otherwise(none)
+
+    parts = F.array_distinct(F.concat(none, *[cuts(size) for size in sorted(lengths)]))
+    cut_stems = candidates.select("file_path", "file_name", F.explode(parts).alias("part"))
     stem_holds_id = join_small(cut_stems, open_ids.withColumn("part", F.col("doc_id")), "part", salt_by="file_path")
 
     size = F.length("doc_id")

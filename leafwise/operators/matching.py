@@ -1,6 +1,6 @@
 """From query texts to index terms."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwise.functions.arrays import run_lengths
@@ -57,67 +57,103 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def similar_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``(term, expansion, weight)`` for every query term and index term within its edits.
+def word_table(query_terms: DataFrame) -> DataFrame:
+    """``(term, term_id, <field>_asked...)``: the distinct words of a batch, numbered.
 
-    Both sides are joined on signatures (see ``functions.fuzzy``), so a term meets
-    only the few index terms that can lie within its edits. The vocabulary is the
-    big side and stays where it is when the signatures of the queries fit a broadcast.
+    Staged, so that the numbers stay the same wherever the table is used.
     """
-    longest = terms.agg(F.max(F.length("term"))).first()[0] or 0
-    wanted = query_signatures(terms.withColumn("parity", letter_parity(F.col("term"))))
-    # Few bytes but much work per row: every core gets its part, however small the table.
-    cores = vocabulary.sparkSession.sparkContext.defaultParallelism
-    shuffles = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    vocabulary = vocabulary.filter(F.length("term") <= longest + 2)
-    vocabulary = vocabulary.repartition(max(cores, shuffles), "term").distinct()
+    asked = [F.max(F.col("field") == f).alias(f"{f}_asked") for f in FIELDS]
+    words = query_terms.groupBy("term").agg(*asked)
+    return stage(words.withColumn("term_id", F.monotonically_increasing_id()), "words")
+
+
+def _vocabulary(term_stats: DataFrame, longest: int) -> DataFrame:
+    """``(expansion, <field>_df...)``: one row per index term.
+
+    Few bytes but much work per row: the partitions are set so that every core gets
+    its part, however small the table.
+    """
+    spark = term_stats.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dfs = [F.max(F.when(F.col("field") == f, F.col("df"))).alias(f"{f}_df") for f in FIELDS]
+    return term_stats.filter(F.length("term") <= longest).repartition(parts, "term").groupBy("term").agg(*dfs)
+
+
+def expand_words(words: DataFrame, term_stats: DataFrame, limit=MAX_EXPANSIONS) -> DataFrame:
+    """``(field, term, term_id, expansion, weight, df, df_max)``, staged.
+
+    Both sides are joined on signatures (see ``functions.fuzzy``), so a word meets
+    only the few index terms that can lie within its edits, and similarity, which
+    does not depend on the field, is found once per pair. The vocabulary is the big
+    side and stays where it is when the signatures of the words fit a broadcast.
+    """
+    longest = (words.agg(F.max(F.length("term"))).first()[0] or 0) + 2
+    wanted = query_signatures(words.select("term", letter_parity(F.col("term")).alias("parity")))
+    vocabulary = _vocabulary(term_stats, longest)
     stored = vocabulary_signatures(
         vocabulary.withColumn("expansion_parity", letter_parity(F.col("term")))
     ).withColumnRenamed("term", "expansion")
     near = F.abs(F.length("term") - F.length("expansion")) <= max_edits(F.col("term"))
     met = join_small(stored, wanted, "sig", salt_by="expansion").filter(near)
-    pairs = met.select("term", "expansion", "parity", "expansion_parity").distinct()
+    pairs = met.drop("sig").distinct()
     distance = swap_distance(
         F.col("term"), F.col("expansion"), F.col("parity"), F.col("expansion_parity")
     )
     shorter = F.least(F.length("term"), F.length("expansion"))
     # Exploding one element keeps the filter from evaluating the distance again.
-    weight = F.explode(F.array(1 - distance / shorter))
-    return pairs.select("term", "expansion", weight.alias("weight")).filter("weight > 0")
-
+    similar = pairs.withColumn("weight", F.explode(F.array(1 - distance / shorter))).filter("weight > 0")
+    per_field = F.array(
+        *[
+            F.when(F.col(f"{f}_asked"), F.struct(F.lit(f).alias("field"), F.col(f"{f}_df").alias("df")))
+            for f in FIELDS
+        ]
+    )
+    known = join_small(similar, words, "term", salt_by="expansion")
+    known = known.select("term", "term_id", "expansion", "weight", F.explode(per_field).alias("f"))
+    known = known.select("f.field", "term", "term_id", "expansion", "weight", "f.df").filter("df > 0")
+    return stage(_best_expansions(known, limit), "expansions")
 
-def expand_terms(terms: DataFrame, term_stats: DataFrame, limit=MAX_EXPANSIONS) -> DataFrame:
-    """``(field, term, expansion, weight, df)`` for distinct ``(field, term)``.
 
-    Similarity does not depend on the field, so it is found once per pair of words.
-    """
-    terms = stage(terms, "terms")
-    similar = stage(similar_terms(terms.select("term").distinct(), term_stats.select("term")), "similar")
-    stats = term_stats.withColumnRenamed("term", "expansion")
-    known = join_small(stats, similar, "expansion")
-    wanted = join_small(known, terms, ["field", "term"], salt_by="expansion")
+def _best_expansions(known: DataFrame, limit: int) -> DataFrame:
+    """The nearest index terms of each word and field, and the frequency of the commonest."""
     order = [F.desc("weight"), F.asc("expansion")]
-    best = top_per_group(wanted, ["field", "term"], order, limit, salt_by="expansion")
-    return best.select("field", "term", "expansion", "weight", "df")
+    best = top_per_group(known, ["field", "term"], order, limit, salt_by="expansion").drop("rank")
+    return best.withColumn("df_max", F.max("df").over(Window.partitionBy("field", "term")))
+
+
+def exact_words(words: DataFrame, term_stats: DataFrame) -> DataFrame:
+    """The same columns without fuzziness: every word stands for itself."""
+    fields = F.array(*[F.when(F.col(f"{f}_asked"), F.lit(f)) for f in FIELDS])
+    wanted = words.select("term", "term_id", F.explode(fields).alias("field")).filter("field is not null")
+    known = join_small(term_stats, wanted, ["field", "term"])
+    return stage(
+        known.select(
+            "field",
+            "term",
+            "term_id",
+            F.col("term").alias("expansion"),
+            F.lit(1.0).alias("weight"),
+            "df",
+            F.col("df").alias("df_max"),
+        ),
+        "expansions",
+    )
+
+
+def _per_query(query_terms: DataFrame, expanded: DataFrame) -> DataFrame:
+    return join_small(query_terms, expanded, ["field", "term"], salt_by="query_id").select(
+        "query_id", "field", "term", "mult", "expansion", "weight", "df"
+    )
 
 
 def fuzzy_expand(query_terms: DataFrame, term_stats: DataFrame, limit=MAX_EXPANSIONS) -> DataFrame:
     """Index terms near each query term, nearest first, at most ``limit`` per field.
 
-    A term is expanded once however many queries use it; the result is staged, so
-    that its size is known before it is joined back to the queries.
+    A word is expanded once however many queries use it.
     """
-    terms = query_terms.select("field", "term").distinct()
-    expanded = stage(expand_terms(terms, term_stats, limit), "expansions")
-    return join_small(query_terms, expanded, ["field", "term"], salt_by="query_id").select(
-        "query_id", "field", "term", "mult", "expansion", "weight", "df"
-    )
+    return _per_query(query_terms, expand_words(word_table(query_terms), term_stats, limit))
 
 
 def exact_terms(query_terms: DataFrame, term_stats: DataFrame) -> DataFrame:
-    """The same columns without fuzziness: every term stands for itself."""
-    terms = query_terms.select("field", "term").distinct()
-    known = stage(join_small(term_stats, terms, ["field", "term"]), "expansions")
-    return join_small(query_terms, known, ["field", "term"], salt_by="query_id").select(
-        "query_id", "field", "term", "mult", F.col("term").alias("expansion"), F.lit(1.0).alias("weight"), "df"
-    )
+    """The same without fuzziness."""
+    return _per_query(query_terms, exact_words(word_table(query_terms), term_stats))

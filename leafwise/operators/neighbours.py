@@ -1,6 +1,7 @@
 """Nearest neighbours by cosine, exact and approximate."""
 
 import sys
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -83,8 +84,7 @@ def _partial_top_k(query_ids, query_matrix, k, boost):
     return run
 
 
-def _knn_pass(vectors, queries, k, boost):
-    rows = queries.collect()
+def _knn_pass(vectors, rows, k, boost):
     id_type = vectors.schema["id"].dataType.simpleString()
     schema = f"query_id bigint, doc_id {id_type}, score double"
     dims = {len(r["embedding"]) for r in rows if r["embedding"] is not None}
@@ -122,13 +122,17 @@ def knn_top_k(vectors: DataFrame, queries: DataFrame, k=KNN_K, boost=KNN_BOOST)
     the vectors per part, so that no task holds more.
     """
     queries = queries.select("query_id", "embedding")
-    count = queries.count()
-    parts = 1 if count <= QUERIES_AT_ONCE else -(-2 * count // QUERIES_AT_ONCE)
-    partial = None
-    for part in range(parts):
-        member = F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part
-        found = _knn_pass(vectors, queries.filter(member) if parts > 1 else queries, k, boost)
-        partial = found if partial is None else partial.unionByName(found)
+    rows = queries.limit(QUERIES_AT_ONCE + 1).collect()
+    if len(rows) <= QUERIES_AT_ONCE:
+        partial = _knn_pass(vectors, rows, k, boost)
+    else:
+        parts = -(-2 * queries.count() // QUERIES_AT_ONCE)
+        part_of = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+        passes = [
+            _knn_pass(vectors, queries.filter(part_of == part).collect(), k, boost)
+            for part in range(parts)
+        ]
+        partial = reduce(DataFrame.unionByName, passes)
     best = top_per_group(partial, "query_id", score_order(), k, salt_by="doc_id")
     return best.select("query_id", "doc_id", "score")
 

@@ -12,12 +12,12 @@ def score_order(score="score", tie="doc_id"):
     return [F.desc(F.round(score, SCORE_DIGITS)), F.asc(tie)]
 
 
-def page_bounds(queries: DataFrame) -> DataFrame:
+def page_bounds(queries: DataFrame, *more) -> DataFrame:
     """First and last rank of each query's page; a page has at most ``limit`` rows."""
     rows = F.least("page_size", "limit")
     first = (F.col("page") - 1) * F.col("page_size")
     return queries.select(
-        "query_id", "page", "page_size", (first + 1).alias("first_rank"), (first + rows).alias("last_rank")
+        "query_id", "page", "page_size", *more, (first + 1).alias("first_rank"), (first + rows).alias("last_rank")
     )
 
 
@@ -25,14 +25,14 @@ def deepest_rank(bounds: DataFrame) -> int:
     return bounds.agg(F.max("last_rank")).first()[0] or 0
 
 
-def rank_and_page(scores: DataFrame, queries: DataFrame) -> DataFrame:
+def rank_and_page(scores: DataFrame, queries: DataFrame, deepest=None) -> DataFrame:
     """``(query_id, rank, doc_id, score)`` of the rows on each query's page.
 
     Ranking stops at the deepest page of the batch, so that map tasks send on
     only as many rows per query.
     """
     bounds = page_bounds(queries)
-    deepest = deepest_rank(bounds)
+    deepest = deepest_rank(bounds) if deepest is None else deepest
     top = top_per_group(
         scores.select("query_id", "doc_id", "score"), "query_id", score_order(), deepest, salt_by="doc_id"
     )

@@ -1,11 +1,10 @@
 """Scores of documents for queries."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwise.operators.matching import is_blank
 from leafwise.plans.joins import join_small
-from leafwise.plans.staging import stage
 from leafwise.schema import BM25_B, BM25_K1, FIELDS
 
 BLANK_QUERIES_AT_ONCE = 1000
@@ -16,20 +15,16 @@ def term_bucket(term, buckets: int):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def weighted_expansions(expansions: DataFrame, field_stats: DataFrame) -> DataFrame:
-    """``(field, term, expansion, factor, avgdl)``: all of a score but the document's part.
+def with_factor(expanded: DataFrame, field_stats: DataFrame) -> DataFrame:
+    """Add ``factor`` and ``avgdl``: all of a score but the document's part.
 
     The idf of a query term comes from its most frequent expansion, so that a rare
     misspelling cannot outscore the word itself.
     """
-    distinct = expansions.select("field", "term", "expansion", "weight", "df").distinct()
-    # At most as many groups as expansions and at most 50 rows in each.
-    shared = distinct.groupBy("field", "term").agg(F.max("df").alias("df_max"))
     # One row per searched field.
-    joined = distinct.join(shared, ["field", "term"]).join(F.broadcast(field_stats), "field")
+    joined = expanded.join(F.broadcast(field_stats), "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("df_max") + 0.5) / (F.col("df_max") + 0.5))
-    factor = F.col("weight") * idf
-    return joined.select("field", "term", "expansion", factor.alias("factor"), "avgdl")
+    return joined.withColumn("factor", F.col("weight") * idf).drop("weight", "df", "df_max", "n_docs")
 
 
 def posting_scores(wanted: DataFrame, postings: DataFrame, buckets=None) -> DataFrame:
@@ -60,7 +55,10 @@ def bm25_score(
     A term counts with its best expansion in a document. What it gives a document
     is computed once per batch, then shared by all queries with that term.
     """
-    scored = posting_scores(weighted_expansions(expansions, field_stats), postings, buckets)
+    expanded = expansions.select("field", "term", "expansion", "weight", "df").distinct()
+    of_term = Window.partitionBy("field", "term")  # at most 50 rows
+    expanded = expanded.withColumn("df_max", F.max("df").over(of_term))
+    scored = posting_scores(with_factor(expanded, field_stats), postings, buckets)
     best = scored.groupBy("field", "term", "doc_id").agg(F.max("score").alias("score"))
     asked = expansions.select("query_id", "field", "term", "mult").distinct()
     joined = join_small(best, asked, ["field", "term"], salt_by="doc_id")
@@ -70,19 +68,15 @@ def bm25_score(
 
 
 def keyword_scores(
-    expansions: DataFrame, postings: DataFrame, field_stats: DataFrame, buckets=None
+    query_terms: DataFrame, expanded: DataFrame, postings: DataFrame, field_stats: DataFrame, buckets=None
 ) -> DataFrame:
     """``best_fields(bm25_score(...))`` with the fields side by side.
 
-    A word found in several fields of a document then takes one row, not one per
-    field, in the two largest aggregates. Words are numbered, which keeps keys short.
+    ``expanded`` comes from ``expand_words``. A word found in several fields of a
+    document takes one row, not one per field, in the two largest aggregates, and
+    words go by their numbers, which keeps keys short.
     """
-    words = stage(
-        expansions.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()),
-        "words",
-    )
-    wanted = weighted_expansions(expansions, field_stats)
-    wanted = stage(join_small(wanted, words, "term").drop("term"), "wanted")
+    wanted = with_factor(expanded, field_stats).drop("term")
     scored = posting_scores(wanted, postings, buckets)
 
     def in_field(field, value):
@@ -92,10 +86,11 @@ def keyword_scores(
         *[F.max(in_field(f, F.col("score"))).alias(f) for f in FIELDS]
     )
     # A query's multiplicity of a word in each field it searches; null in others.
-    asked = expansions.groupBy("query_id", "term").agg(
+    numbers = expanded.select("term", "term_id").distinct()
+    asked = query_terms.groupBy("query_id", "term").agg(
         *[F.max(in_field(f, F.col("mult"))).alias(f"{f}_mult") for f in FIELDS]
     )
-    asked = stage(join_small(asked, words, "term").drop("term"), "asked")
+    asked = join_small(asked, numbers, "term", salt_by="query_id").drop("term")
     joined = join_small(best, asked, "term_id", salt_by="doc_id")
     sums = joined.groupBy("query_id", "doc_id").agg(
         *[F.sum(F.col(f"{f}_mult") * F.col(f)).alias(f) for f in FIELDS]

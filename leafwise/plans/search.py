@@ -4,14 +4,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.functions.text import blank_to_null
-from leafwise.operators.highlighting import highlight, snippet
+from leafwise.operators.highlighting import highlight, query_expansions, snippet
 from leafwise.operators.matching import (
-    exact_terms,
-    fuzzy_expand,
+    exact_words,
+    expand_words,
     is_blank,
     query_terms,
     search_term,
     with_defaults,
+    word_table,
 )
 from leafwise.operators.neighbours import knn_top_k
 from leafwise.operators.ranking import count_total, deepest_rank, page_bounds, rank_and_page
@@ -42,21 +43,30 @@ def blank_pages(queries: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def search_pages(queries: DataFrame, index, encoder, expansions: DataFrame, knn=True):
+def expand(terms: DataFrame, index, fuzzy=True) -> DataFrame:
+    """The index terms that the query terms of a batch stand for."""
+    words = word_table(terms)
+    return expand_words(words, index.term_stats) if fuzzy else exact_words(words, index.term_stats)
+
+
+def search_pages(queries: DataFrame, index, encoder, terms: DataFrame, expanded: DataFrame, knn=True):
     """``(pages, totals)``: ranked rows on each query's page, and hits per query.
 
     Hits are staged once, since both results read all of them.
     """
-    spoken, blank = queries.filter(~is_blank()), queries.filter(is_blank())
-    hits = keyword_scores(expansions, index.postings, index.field_stats, index.buckets)
+    hits = keyword_scores(terms, expanded, index.postings, index.field_stats, index.buckets)
     if knn:
         hits = hybrid_fuse(hits, knn_top_k(index.vectors, query_vectors(queries, encoder)))
     hits = stage(hits, "hits")
-    pages, totals = rank_and_page(hits, spoken), count_total(hits, spoken)
-    if not blank.isEmpty():
-        every = index.documents.count()
+    blanks, deepest = page_bounds(queries.withColumn("blank", is_blank()), "blank").agg(
+        F.count_if("blank"), F.max(F.when(~F.col("blank"), F.col("last_rank")))
+    ).first()
+    spoken = queries.filter(~is_blank())
+    pages, totals = rank_and_page(hits, spoken, deepest or 0), count_total(hits, spoken)
+    if blanks:
+        every = F.lit(index.documents.count()).cast("bigint")
         pages = pages.unionByName(blank_pages(queries, index.documents))
-        totals = totals.unionByName(blank.select("query_id", F.lit(every).cast("bigint").alias("total")))
+        totals = totals.unionByName(queries.filter(is_blank()).select("query_id", every.alias("total")))
     return pages, totals
 
 
@@ -66,13 +76,13 @@ def search_documents(queries: DataFrame, index, encoder, fuzzy=True, knn=True) -
     Documents are joined only for the rows on a page.
     """
     queries = with_defaults(queries)
-    expand = fuzzy_expand if fuzzy else exact_terms
-    expansions = stage(expand(query_terms(queries), index.term_stats), "query_expansions")
-    pages, totals = search_pages(queries, index, encoder, expansions, knn)
+    terms = query_terms(queries)
+    expanded = expand(terms, index, fuzzy)
+    pages, totals = search_pages(queries, index, encoder, terms, expanded, knn)
     pages = stage(pages, "pages")
     rows = join_documents(index.documents, pages.withColumnRenamed("doc_id", "id"), index.buckets)
     asked = queries.select("query_id", "search_fields", "page", "page_size")
-    rows = highlight(join_small(rows, asked, "query_id"), expansions)
+    rows = highlight(join_small(rows, asked, "query_id"), query_expansions(terms, expanded))
     return rows.join(totals, "query_id").select(
         "query_id",
         "rank",
