@@ -36,13 +36,8 @@ def run_lengths(sorted_items: Column) -> Column:
             run_starts(a),
             lambda s: F.zip_with(
                 s,
-                F.concat(
-                    F.when(F.size(s) > 0, F.slice(s, 2, F.size(s))).otherwise(s), F.array(F.size(a))
-                ),
-                lambda b, e: F.when(
-                    b.isNotNull(),
-                    F.struct(a[b].alias("value"), (e - b).alias("n")),
-                ),
+                F.when(F.size(s) > 0, F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(a)))).otherwise(s),
+                lambda b, e: F.struct(a[b].alias("value"), (e - b).alias("n")),
             ),
         ),
     )

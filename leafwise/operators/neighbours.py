@@ -38,7 +38,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int):
 
 def _normalised(matrix):
     norms = np.sqrt((matrix * matrix).sum(axis=1))
-    return matrix / norms[:, None], np.isfinite(norms) & (norms > 0)
+    usable = np.isfinite(norms) & (norms > 0)
+    return matrix / np.where(usable, norms, 1.0)[:, None], usable
 
 
 def _best_of(scores, ids, k):

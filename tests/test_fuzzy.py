@@ -26,6 +26,8 @@ def swapped(word, *places):
 
 def wanted_distance(term, other):
     limit = 0 if len(term) < 3 else 1 if len(term) < 6 else 2
+    if levenshtein(term, other) > 2 * limit:  # a swap is two plain edits
+        return None
     variants = [(0, term)]
     places = range(len(term) - 1)
     if limit >= 1:
@@ -54,7 +56,7 @@ def mutated(rng, word, edits):
 def pairs():
     rng = random.Random(5)
     sizes = [1, 2, 3, 4, 5, 6, 7, 9, 22, 23, 24, 25, 26, 27, 31]
-    words = ["".join(rng.choice("abcñd") for _ in range(rng.choice(sizes))) for _ in range(900)]
+    words = ["".join(rng.choice("abcñd") for _ in range(rng.choice(sizes))) for _ in range(400)]
     return [(w, mutated(rng, w, rng.randrange(4))) for w in words]
 
 
@@ -65,8 +67,9 @@ def test_distance_equals_definition(spark, pairs):
 
 
 def test_expansion_equals_brute_force(spark, pairs):
-    words = sorted({a for a, _ in pairs if a})[::2]
-    vocabulary = sorted({b for _, b in pairs if b} | {a for a, _ in pairs if a})
+    few = [(a, b) for a, b in pairs if a and b][:130]
+    words = sorted({a for a, _ in few})
+    vocabulary = sorted({b for _, b in few} | set(words))
     terms = spark.createDataFrame([(1, "content", w, 1) for w in words], "query_id long, field string, term string, mult long")
     stats = spark.createDataFrame([("content", v, 1) for v in vocabulary], "field string, term string, df long")
     rows = matching.fuzzy_expand(terms, stats, limit=10**6).collect()
