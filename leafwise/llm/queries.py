@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from leafwise.llm import packing, sharding, url_filters
+from leafwise.llm import near_duplicates, packing, sharding, url_filters
 
 
 def _table(spark, sf_dir, name):
@@ -32,7 +32,11 @@ def op3_sharding(spark, sf_dir):
     return sharding.shard_rows(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_sharding)}
+def op4_minhash_near_dedup(spark, sf_dir):
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_sharding, op4_minhash_near_dedup)}
 
 SQL = {
     "op2_url_filters": r"""
