@@ -32,8 +32,8 @@ BANDS, ROWS = 26, 5
 #: Candidates whose signatures agree in fewer places are given up: over six standard
 #: deviations below what a similarity of 0.85 leads to.
 AGREEMENT = 80
-#: Classes of a band that are compared with each other in one task.
-BLOCK = 1024
+#: Classes of a band, and shingles of them, that are compared with each other in one task.
+BLOCK, SHINGLES = 1024, 1 << 20
 #: Members of a band's smallest class that are verified in one group.
 MEMBERS = 512
 
@@ -269,51 +269,103 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def _unlinked_candidates(bands: DataFrame, labels: DataFrame, briefs: DataFrame, least: int) -> DataFrame:
-    """Agreeing pairs of a band's classes that are in different components so far.
+def _sets(wanted: DataFrame, documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``class, elements`` (sorted 64-bit numbers) of the ``wanted`` classes (``class, doc_id, text_key``)."""
 
-    A large band is cut into blocks, and each two blocks meet in a task of their own.
+    def build(batches):
+        for batch in batches:
+            texts = as_bytes(batch.column("text"))
+            for a, b in slices(texts, 1 << 20):
+                elements, begins = shingle_sets(texts[a:b])
+                packed = elements.astype("<u8")
+                sets = [packed[begins[i] : begins[i + 1]].tobytes() for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column("class").slice(a, b - a), pa.array(sets, pa.binary())], ["class", "elements"])
+
+    text = F.col(f"`{text_column}`")
+    texts = documents.select(F.col(f"`{id_column}`").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).select("class", "text")
+    # rows may repeat; the first of each class is enough
+    return found.mapInArrow(build, "class binary, elements binary").groupBy("class").agg(F.first("elements").alias("elements"))
+
+
+def _other_links(
+    bands: DataFrame, labels: DataFrame, classes: DataFrame, documents: DataFrame, id_column: str, text_column: str, percent: int, least: int
+) -> DataFrame:
+    """Links between classes of a band that no chain of links connects so far.
+
+    A large band is cut into blocks, and each two blocks meet in a task of their own,
+    which gets the full sets. There, two classes are compared when they belong to
+    different components, agree in ``least`` places, are of similar size, and meet in
+    no earlier band. Links found unite components at once, so of the many links within
+    a group only those are compared and given out that still connect something.
     """
     shown = labels.select(F.col("node").alias("class"), "label")
     marked = bands.join(shown, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    mixed = marked.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed = stage(mixed.filter(F.col("low") != F.col("high")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed_bands")
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    marked = marked.join(classes.select("class", "rep", "n_shingles"), "class")
+    mixed = marked.groupBy("key").agg(
+        F.sum("n_shingles").alias("size"), F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    blocks = F.ceil(F.greatest(F.col("size") / SHINGLES, F.col("n") / BLOCK)).cast("int")
+    mixed = stage(mixed.filter(F.col("low") != F.col("high")).select("key", blocks.alias("blocks")), "mixed_bands")
+    inside = stage(
+        marked.join(mixed, "key").select("key", "class", "label", "blocks", "rep.doc_id", "rep.text_key", "rep.bands", "rep.brief"), "inside_mixed"
+    )
+    sets = _sets(inside.select("class", "doc_id", "text_key").distinct(), documents, id_column, text_column)
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda other: F.struct(F.least("own", other).alias("one"), F.greatest("own", other).alias("two")),
     )
     dealt = (
-        marked.join(mixed, "key")
-        .join(briefs.select("class", "brief"), "class")
-        .withColumn("own", block)
-        .select("key", "class", "label", "brief", "own", F.explode(meets).alias("meet"))
-        .select("key", "meet.one", "meet.two", "class", "label", "brief", "own")
+        inside.join(sets, "class")
+        .withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+        .select("key", "class", "label", "bands", "brief", "elements", "own", F.explode(meets).alias("meet"))
+        .select("key", "meet.one", "meet.two", "class", "label", "bands", "brief", "elements", "own")
         .repartition("key", "one", "two")
         .sortWithinPartitions("key", "one", "two")
     )
 
     def compare(batches):
-        for (_, one, two), group in sorted_groups(batches, ["key", "one", "two"]):
+        for (key, one, two), group in sorted_groups(batches, ["key", "one", "two"]):
             names, own = group.column("class").to_pylist(), np.array(group.column("own").to_pylist())
-            label = np.unique(np.array([x.hex() for x in group.column("label").to_pylist()]), return_inverse=True)[1]
+            parent: dict[bytes, bytes] = {}
+
+            def root(x):
+                while (up := parent.get(x, x)) != x:
+                    x = up
+                return x
+
+            label = group.column("label").to_pylist()
+            number = np.unique(np.array([x.hex() for x in label]), return_inverse=True)[1]
             brief = np.frombuffer(b"".join(group.column("brief").to_pylist()), dtype="<u2").reshape(len(names), -1)
-            left = np.flatnonzero(own == one)
-            right = np.flatnonzero(own == two)
-            a, b = [], []
-            for i in left:
-                others = right[(right > i) if one == two else slice(None)]
-                others = others[label[others] != label[i]]
-                if len(others):
-                    good = others[(brief[others] == brief[i]).sum(axis=1) >= least]
-                    a += [names[i]] * len(good)
-                    b += [names[j] for j in good]
-            if a:
-                low = [min(x, y) for x, y in zip(a, b)]
-                high = [max(x, y) for x, y in zip(a, b)]
-                yield pa.RecordBatch.from_arrays([pa.array(high, pa.binary()), pa.array(low, pa.binary())], ["a", "b"])
-
-    return dealt.mapInArrow(compare, "a binary, b binary").distinct()
+            keys = np.array(group.column("bands").to_pylist(), dtype=np.int64)
+            sets = [np.frombuffer(x, dtype="<u8") for x in group.column("elements").to_pylist()]
+            size = np.array([len(x) for x in sets])
+            earlier = int((keys[0] == key).argmax())
+            right, links = np.flatnonzero(own == two), []
+            for i in np.flatnonzero(own == one):
+                j = right[(number[right] != number[i]) & (right > i if one == two else True)]
+                j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
+                j = j[~(keys[j, :earlier] == keys[i, :earlier]).any(axis=1)]
+                alike = (brief[j] == brief[i]).sum(axis=1)
+                j = j[np.argsort(-alike, kind="stable")][: int((alike >= least).sum())]
+                while len(j):
+                    now, j = j[:64], j[64:]
+                    now = [x for x in now if root(label[x]) != root(label[i])]
+                    if not now:
+                        continue
+                    every = np.concatenate([sets[x] for x in now])
+                    at = np.searchsorted(sets[i], every)
+                    at[at == size[i]] = 0
+                    shared = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.concatenate(([0], np.cumsum(size[now])[:-1])))
+                    for x in np.array(now)[100 * shared >= percent * (size[now] + size[i] - shared)]:
+                        a, b = root(label[x]), root(label[i])
+                        if a != b:
+                            parent[max(a, b)] = min(a, b)
+                            links.append((max(names[x], names[i]), min(names[x], names[i])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(compare, "a binary, b binary")
 
 
 def near_duplicates(
@@ -336,7 +388,9 @@ def near_duplicates(
     """
     signed = stage(_signed(documents, id_column, text_column, bands, rows), "signed")
     ids = signed.filter(F.col("class").isNotNull()).groupBy("class").agg(
-        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_key", "bands", "brief")).alias("rep")
+        F.min("doc_id").alias("low"),
+        F.min("n_shingles").alias("n_shingles"),
+        F.min(F.struct("doc_id", "text_key", "bands", "brief")).alias("rep"),
     )
     classes = stage(ids, "classes")
     briefs = classes.select("class", F.col("rep.brief").alias("brief"))
@@ -344,12 +398,10 @@ def near_duplicates(
     pivots = spread.groupBy("key").agg(F.min("class").alias("pivot"), F.count(F.lit(1)).alias("n"))
     shared = stage(spread.join(pivots.filter("n > 1").select("key", "pivot"), "key"), "shared_bands")
     stars = shared.filter(F.col("class") != F.col("pivot")).select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
-    verify = lambda pairs: _linked(_agreeing(pairs, briefs, agreement), classes, documents, id_column, text_column, percent)
-    links = stage(verify(stars), "star_links")
+    agreeing = _agreeing(stars, briefs, agreement)
+    links = stage(_linked(agreeing, classes, documents, id_column, text_column, percent), "star_links")
     labels = components(links)
-    more = stage(_unlinked_candidates(shared.select("key", "class"), labels, briefs, agreement), "unlinked")
-    more = more.join(stars, ["a", "b"], "left_anti")
-    extra = stage(verify(more), "other_links")
+    extra = stage(_other_links(shared.select("key", "class"), labels, classes, documents, id_column, text_column, percent, agreement), "other_links")
     if not extra.isEmpty():
         labels = components(links.unionByName(extra))
     labels = stage(labels, "labels")
