@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from leafwise.llm import near_duplicates, packing, sharding, url_filters
+from leafwise.llm import language, near_duplicates, packing, quality, secrets, sharding, url_filters
 
 
 def _table(spark, sf_dir, name):
@@ -36,7 +36,20 @@ def op4_minhash_near_dedup(spark, sf_dir):
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_sharding, op4_minhash_near_dedup)}
+def op7_secret_scans(spark, sf_dir):
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents")).drop("found")
+
+
+def op8_quality_rules(spark, sf_dir):
+    return quality.quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark, sf_dir):
+    training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
+    return language.identify_languages(_table(spark, sf_dir, "documents"), training)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_sharding, op4_minhash_near_dedup, op7_secret_scans, op8_quality_rules, op9_language_id)}
 
 SQL = {
     "op2_url_filters": r"""
