@@ -101,8 +101,9 @@ def superminhash(elements: np.ndarray, begins: np.ndarray, places: int) -> np.nd
     return flat.reshape(sets, places)
 
 
-def _signed(documents: DataFrame, id_column: str, text_column: str, bands: int, rows: int) -> DataFrame:
-    """``doc_id, text_key, n_shingles, class, bands, brief`` of each document."""
+def _signed(documents: DataFrame, id_column: str, text_column: str, bands: int, rows: int, carry: tuple[str, ...]) -> DataFrame:
+    """``doc_id, text_key, n_shingles, class, bands, brief`` of each document, and what is carried."""
+    carried = [f"carried {c}" for c in carry]
     kind = documents.schema[id_column].dataType.simpleString()
     places = bands * rows
     factors = mix(np.arange(1, places + 1, dtype=U64)).reshape(bands, rows) | U64(1)
@@ -136,13 +137,17 @@ def _signed(documents: DataFrame, id_column: str, text_column: str, bands: int,
                         pa.array(classes, pa.binary()),
                         pa.array(band_lists, pa.list_(pa.int64())),
                         pa.array(briefs, pa.binary()),
+                        *(part.column(c) for c in carried),
                     ],
-                    ["doc_id", "text_key", "n_shingles", "class", "bands", "brief"],
+                    ["doc_id", "text_key", "n_shingles", "class", "bands", "brief", *carried],
                 )
 
     text = F.col(f"`{text_column}`")
-    chosen = documents.select(F.col(f"`{id_column}`").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    return chosen.mapInArrow(sign, f"doc_id {kind}, text_key long, n_shingles long, class binary, bands array<long>, brief binary")
+    chosen = documents.select(
+        F.col(f"`{id_column}`").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), *(F.col(f"`{c}`").alias(f"carried {c}") for c in carry)
+    )
+    more = "".join(f", `{c}` {chosen.schema[c].dataType.simpleString()}" for c in carried)
+    return chosen.mapInArrow(sign, f"doc_id {kind}, text_key long, n_shingles long, class binary, bands array<long>, brief binary{more}")
 
 
 def _agreeing(pairs: DataFrame, briefs: DataFrame, least: int) -> DataFrame:
@@ -376,8 +381,9 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
     agreement: int = AGREEMENT,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``documents``.
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``documents``, and the ``carry`` columns.
 
     Documents are linked when ``100 * intersection >= percent * union`` of their sets.
     ``component_id`` is the least id that links lead to. A document without words (or
@@ -386,7 +392,7 @@ def near_duplicates(
     A null id is never the least of several; alone it leaves ``component_id`` null and
     the row kept. An empty table gives no rows. Other columns are left out.
     """
-    signed = stage(_signed(documents, id_column, text_column, bands, rows), "signed")
+    signed = stage(_signed(documents, id_column, text_column, bands, rows, carry), "signed")
     ids = signed.filter(F.col("class").isNotNull()).groupBy("class").agg(
         F.min("doc_id").alias("low"),
         F.min("n_shingles").alias("n_shingles"),
@@ -408,6 +414,9 @@ def near_duplicates(
     low = labels.join(classes.select(F.col("class").alias("node"), "low"), "node").groupBy("label").agg(F.min("low").alias("component_id"))
     named = labels.join(low, "label").select(F.col("node").alias("class"), "component_id")
     every = classes.select("class", "low").join(named, "class", "left").select("class", F.coalesce("component_id", "low").alias("component_id"))
-    found = signed.select("doc_id", "n_shingles", "class").join(every, "class", "left")
+    found = signed.drop("text_key", "bands", "brief").join(every, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("component_id").isNull()).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, component.isNull())
+    return found.select(
+        "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *(F.col(f"carried {c}").alias(c) for c in carry)
+    )

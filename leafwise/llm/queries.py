@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from leafwise.llm import language, near_duplicates, packing, quality, secrets, sharding, url_filters
+from leafwise.llm import decontamination, language, near_duplicates, packing, quality, scoring, secrets, sharding, substrings, url_filters
 
 
 def _table(spark, sf_dir, name):
@@ -36,6 +36,14 @@ def op4_minhash_near_dedup(spark, sf_dir):
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark, sf_dir):
+    return substrings.remove_repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op6_benchmark_decontamination(spark, sf_dir):
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_secret_scans(spark, sf_dir):
     return secrets.scan_secrets(_table(spark, sf_dir, "documents")).drop("found")
 
@@ -49,7 +57,12 @@ def op9_language_id(spark, sf_dir):
     return language.identify_languages(_table(spark, sf_dir, "documents"), training)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_sharding, op4_minhash_near_dedup, op7_secret_scans, op8_quality_rules, op9_language_id)}
+def op10_lm_scoring(spark, sf_dir):
+    training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    return scoring.score_documents(_table(spark, sf_dir, "documents"), training)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_sharding, op4_minhash_near_dedup, op5_substring_dedup, op6_benchmark_decontamination, op7_secret_scans, op8_quality_rules, op9_language_id, op10_lm_scoring)}
 
 SQL = {
     "op2_url_filters": r"""
