@@ -40,7 +40,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Of rows that repeat an id the first read stays; rows without an id are kept unless
     they are copies of another. A document without words has no copies.
     """
-    numbered = docs.select(*_columns(docs), F.monotonically_increasing_id().alias("row"))
+    numbered = stage(docs.select(*_columns(docs), F.monotonically_increasing_id().alias("row")), "numbered")
     found = near_duplicates.near_duplicates(numbered, carry=("row",)).filter("kept")
     first = found.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")).alias("own")).agg(F.min("row").alias("row"))
     return numbered.join(first, "row", "left_semi").select(*_columns(docs))

@@ -37,7 +37,7 @@ class Queries:
 
     def __init__(self, items: list[tuple[str | None, str | None]], width: int):
         words = split_words([(t or "").encode() for _, t in items], NOT_ALNUM, lower=True)
-        self.terms, number = np.unique(hash_words(words), return_inverse=True)
+        self.terms, number = np.unique(hash_words(words), return_inverse=True)  # without any, nothing is found
         owners: dict[tuple, set] = defaultdict(set)
         for i, (name, _) in enumerate(items):
             own = number[words.first[i] : words.first[i + 1]].tolist()
@@ -60,6 +60,8 @@ class Queries:
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Term number of each word, -1 for others."""
+        if not len(self.terms):
+            return np.full(len(hashes), -1)
         at = np.searchsorted(self.terms, hashes)
         at[at == len(self.terms)] = 0
         return np.where(self.terms[at] == hashes, at, -1)
@@ -120,8 +122,9 @@ class Queries:
         return bool((worst < NEAR_SPAN).any())
 
 
-def _index(located: DataFrame, queries: Queries) -> DataFrame:
-    """``row, terms, positions`` (packed, sorted by term) of the documents that may hold a window."""
+def _index(rows: DataFrame, queries: Queries) -> DataFrame:
+    """``rows`` with ``n_words``, and ``terms, positions`` (packed, sorted by term) where a window may occur."""
+    kept = rows.columns
 
     def build(batches):
         for batch in batches:
@@ -129,21 +132,26 @@ def _index(located: DataFrame, queries: Queries) -> DataFrame:
             for a, b in slices(texts):
                 words = split_words(texts[a:b], NOT_ALNUM, lower=True)
                 number = queries.numbers(hash_words(words))
-                rows, terms, positions = [], [], []
+                terms, positions = [None] * (b - a), [None] * (b - a)
                 for i in np.flatnonzero(queries.promising(words, number)).tolist():
                     own = number[words.first[i] : words.first[i + 1]]
                     place = np.flatnonzero(own >= 0)
                     order = np.argsort(own[place], kind="stable")
-                    rows.append(a + i)
-                    terms.append(own[place][order].astype("<i4").tobytes())
-                    positions.append(place[order].astype("<i4").tobytes())
-                picked = batch.column("row").take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([picked, pa.array(terms, pa.binary()), pa.array(positions, pa.binary())], ["row", "terms", "positions"])
+                    terms[i] = own[place][order].astype("<i4").tobytes()
+                    positions[i] = place[order].astype("<i4").tobytes()
+                part = batch.slice(a, b - a)
+                columns = [part.column(c) for c in kept]
+                columns += [pa.array(words.counts.astype(np.int64)), pa.array(terms, pa.binary()), pa.array(positions, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "n_words", "terms", "positions"])
 
-    return located.select("row", "text").mapInArrow(build, "row long, terms binary, positions binary")
+    return rows.mapInArrow(build, f"{_schema(rows)}, n_words long, terms binary, positions binary")
 
 
-def _frequencies(located: DataFrame, queries: Queries) -> np.ndarray:
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _frequencies(rows: DataFrame, queries: Queries) -> np.ndarray:
     """Occurrences of each term in all documents; no more rows than the block has terms."""
 
     def count(batches):
@@ -157,41 +165,38 @@ def _frequencies(located: DataFrame, queries: Queries) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["term", "n"])
 
     out = np.zeros(len(queries.terms), dtype=np.int64)
-    for r in located.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r["term"]] = r["n"]
     return out
 
 
-def _hits(index: DataFrame, queries: Queries) -> DataFrame:
-    """``row, starts, ends, items, near`` of the documents in the index."""
+FOUND = ("starts", "ends", "items", "near")
+_FOUND_SCHEMA = "starts array<long>, ends array<long>, items array<string>, near array<string>"
+
+
+def _search(index: DataFrame, queries: Queries) -> DataFrame:
+    """Add to ``starts, ends, items, near`` of each row what its postings hold; the postings go."""
+    kept = [c for c in index.columns if c not in (*FOUND, "terms", "positions")]
 
     def search(batches):
         for batch in batches:
-            rows, starts, ends, items, nears = [], [], [], [], []
-            for row, terms, positions in zip(*(batch.column(c).to_pylist() for c in ("row", "terms", "positions"))):
+            found = [batch.column(c).to_pylist() for c in FOUND]
+            for i, (terms, positions) in enumerate(zip(batch.column("terms").to_pylist(), batch.column("positions").to_pylist())):
+                if terms is None:
+                    continue
                 terms, positions = np.frombuffer(terms, dtype="<i4"), np.frombuffer(positions, dtype="<i4").astype(np.int64)
                 edges = np.concatenate(([0], np.flatnonzero(np.diff(terms)) + 1, [len(terms)]))
                 postings = {int(terms[a]): positions[a:b] for a, b in zip(edges[:-1], edges[1:])}
                 exact, near = queries.matches(postings)
-                begin = [int(s) for _, found in exact for s in found]
-                end = [int(s) + len(queries.windows[w]) for w, found in exact for s in found]
-                rows.append(row)
-                starts.append(begin)
-                ends.append(end)
-                items.append(sorted({x for w, _ in exact for x in queries.owners[w]}))
-                nears.append(sorted({x for w in near for x in queries.owners[w]}))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rows, pa.int64()),
-                    pa.array(starts, pa.list_(pa.int64())),
-                    pa.array(ends, pa.list_(pa.int64())),
-                    pa.array(items, pa.list_(pa.string())),
-                    pa.array(nears, pa.list_(pa.string())),
-                ],
-                ["row", "starts", "ends", "items", "near"],
-            )
-
-    return index.mapInArrow(search, "row long, starts array<long>, ends array<long>, items array<string>, near array<string>")
+                found[0][i] = found[0][i] + [int(s) for _, starts in exact for s in starts]
+                found[1][i] = found[1][i] + [int(s) + len(queries.windows[w]) for w, starts in exact for s in starts]
+                found[2][i] = found[2][i] + sorted({x for w, _ in exact for x in queries.owners[w]})
+                found[3][i] = found[3][i] + sorted({x for w in near for x in queries.owners[w]})
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            columns = [batch.column(c) for c in kept] + [pa.array(f, pa.list_(k)) for f, k in zip(found, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *FOUND])
+
+    return index.mapInArrow(search, f"{_schema(index.select(*kept))}, {_FOUND_SCHEMA}")
 
 
 def _block(items: DataFrame, blocks: int, number: int) -> list:
@@ -224,51 +229,31 @@ def contamination(
     chosen = documents.select(
         F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"), *(F.col(f"`{c}`").alias(f"carried {c}") for c in carry)
     )
-    located = chosen.withColumn("row", F.monotonically_increasing_id())
     items = benchmark.select(F.col(f"`{item_column}`").cast("string").alias("name"), F.col(f"`{item_text_column}`").alias("text"))
     items = items.filter(F.col("text").isNotNull()).distinct()
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    found = None
+    carried = [f"carried {c}" for c in carry]
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    rows = chosen.select("*", none("long").alias("starts"), none("long").alias("ends"), none("string").alias("items"), none("string").alias("near"))
     for number in range(blocks):
         queries = Queries(_block(items, blocks, number), width)
-        if not queries.windows:
-            continue
-        queries.rank(_frequencies(located, queries))
-        hits = _hits(stage(_index(located, queries), "index"), queries)
-        found = hits if found is None else found.unionByName(hits)
-    carried = [f"carried {c}" for c in carry]
-    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    if found is None:
-        hits = documents.sparkSession.createDataFrame([], "row long, starts array<long>, ends array<long>, items array<string>, near array<string>")
-    else:
-        hits = found.groupBy("row").agg(*(flat(c) for c in ("starts", "ends", "items", "near")))
-    counted = located.select("row", "doc_id", *carried, "text")
-    kind = documents.schema[id_column].dataType.simpleString()
-
-    def count(batches):
-        for batch in batches:
-            texts, n = as_bytes(batch.column("text")), []
-            for a, b in slices(texts):
-                n += split_words(texts[a:b], NOT_ALNUM, lower=True).counts.tolist()
-            columns = [batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), *(batch.column(c) for c in carried)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_words", *carried])
-
-    more = "".join(f", `{c}` {counted.schema[c].dataType.simpleString()}" for c in carried)
-    counted = counted.mapInArrow(count, f"row long, doc_id {kind}, n_words long{more}")
+        queries.rank(_frequencies(rows, queries))
+        index = _index(rows.drop("n_words"), queries)
+        rows = _search(stage(index.drop("text") if number == blocks - 1 else index, "index"), queries)
 
     def judge(batches):
         for batch in batches:
             n_hit, n_items, n_near, marks = [], [], [], []
-            for starts, ends, names, near in zip(*(batch.column(c).to_pylist() for c in ("starts", "ends", "items", "near"))):
+            for starts, ends, names, near in zip(*(batch.column(c).to_pylist() for c in FOUND)):
                 reached = covered = 0
-                for a, b in sorted(zip(starts or [], ends or [])):
+                for a, b in sorted(zip(starts, ends)):
                     covered += max(0, b - max(a, reached))
                     reached = max(reached, b)
-                names = sorted(set(names or []))
+                names = sorted(set(names))
                 n_hit.append(covered)
                 n_items.append(len(names))
-                n_near.append(len(set(near or []) - set(names)))
+                n_near.append(len(set(near) - set(names)))
                 marks.append(hashlib.sha256(",".join(names).encode()).hexdigest())
             n_words = batch.column("n_words").to_numpy()
             bad = (np.array(n_hit) > 0) & (100 * np.array(n_hit) >= percent * n_words)
@@ -284,7 +269,8 @@ def contamination(
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", *carry])
 
-    shown = "".join(f", `{c}` {counted.schema[f'carried {c}'].dataType.simpleString()}" for c in carry)
-    return counted.join(hits, "row", "left").mapInArrow(
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    shown = "".join(f", `{c}` {rows.schema[f'carried {c}'].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(
         judge, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long{shown}"
     )
