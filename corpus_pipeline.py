@@ -7,7 +7,7 @@ All but the last return the columns of ``documents``.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwise.llm import decontamination, language, near_duplicates, packing, secrets
+from leafwise.llm import blooms, decontamination, language, near_duplicates, packing, secrets
 from leafwise.plans.staging import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,30 +20,38 @@ def _columns(docs: DataFrame) -> list[str]:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents in which no language can be told, for want of letters.
 
-    A low cosine is no reason: short clean texts have one too. Languages are learned from the labels of all documents of this stage. The columns
-    stay as they are: ``lang`` is the label, not the prediction.
+    A low cosine is no reason: short clean texts have one too. Languages are learned
+    from the labels of all documents of this stage. The columns stay as they are:
+    ``lang`` is the label, not the prediction.
     """
-    vectors = stage(language.encoded(docs, language.DIMENSIONS, "doc_id", "text", "lang", _carried(docs)), "vectors")
-    profile = language.prototypes(vectors)
-    judged = language.nearest(vectors, profile)
-    kept = judged.filter(F.col("lang_pred") != language.UNKNOWN)
-    return kept.select("doc_id", *(F.col(f"carried {c}").alias(c) for c in _columns(docs) if c != "doc_id"))
-
-
-def _carried(docs: DataFrame) -> list:
-    return [F.col(c).alias(f"carried {c}") for c in _columns(docs) if c != "doc_id"]
+    judged = language.nearest(docs.select(*_columns(docs)), language.prototypes(docs))
+    return judged.filter(F.col("lang_pred") != language.UNKNOWN).drop("lang_pred", "score")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of each group of near copies.
 
-    Of rows that repeat an id the first read stays; rows without an id are kept unless
-    they are copies of another. A document without words has no copies.
+    Of rows that repeat an id and a text one stays. Rows without an id are kept unless
+    they are copies of a row that has one. Only rows that may have to go are shuffled:
+    a Bloom filter lets the others pass.
     """
-    numbered = stage(docs.select(*_columns(docs), F.monotonically_increasing_id().alias("row")), "numbered")
-    found = near_duplicates.near_duplicates(numbered, carry=("row",)).filter("kept")
-    first = found.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")).alias("own")).agg(F.min("row").alias("row"))
-    return numbered.join(first, "row", "left_semi").select(*_columns(docs))
+    key = F.xxhash64("text").alias("text_key")
+    found = stage(near_duplicates.near_duplicates(docs.select("doc_id", "text", key), carry=("text_key",)), "found")
+    each = found.groupBy("doc_id", "text_key").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    going = stage(each.filter("NOT kept OR n > 1"), "going")
+    blocks = blooms.blocks_for(going.count())
+    mark = F.xxhash64("doc_id", "text_key")
+    own = docs.select(*_columns(docs), key)
+    rows = blooms.marked(own, mark, blooms.bloom_of(going, mark, blocks), blocks)
+    names = _columns(docs)
+    doubtful = rows.filter("maybe").join(
+        going.select(F.col("doc_id").alias("id"), F.col("text_key").alias("k"), "kept"),
+        F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("k")),
+        "left",
+    )
+    one = doubtful.filter("kept").groupBy("doc_id", "text_key").agg(F.min(F.struct(*(c for c in names if c != "doc_id"))).alias("row"))
+    stays = doubtful.filter(F.col("kept").isNull()).select(*names)
+    return rows.filter("NOT maybe").select(*names).unionByName(stays).unionByName(one.select("doc_id", "row.*").select(*names))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

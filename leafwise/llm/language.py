@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.llm.words import U64, mix
-from leafwise.plans.staging import stage
 
 #: Length of the vectors.
 DIMENSIONS = 1024
@@ -84,52 +83,31 @@ class Encoder:
         return total / length if length else None
 
 
-def encoded(documents: DataFrame, dimensions: int, id_column: str, text_column: str, label_column: str | None, carry=()) -> DataFrame:
-    """``doc_id, label, vector`` (null without letters) and the ``carry`` columns."""
-    kind = documents.schema[id_column].dataType.simpleString()
-    label = F.col(f"`{label_column}`") if label_column else F.lit(None).cast("string")
-    chosen = documents.select(
-        F.col(f"`{id_column}`").alias("doc_id"), label.alias("label"), F.col(f"`{text_column}`").alias("text"), *carry
-    )
-    names = [f.name for f in chosen.schema[3:]]
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[3:])
-
-    def encode(batches):
-        encoder = Encoder(dimensions)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                vectors = [encoder.vector(t) for t in part.column(2).to_pylist()]
-                packed = [None if v is None else v.astype("<f2").tobytes() for v in vectors]
-                columns = [part.column(0), part.column(1), pa.array(packed, pa.binary()), *(part.column(n) for n in names)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "vector", *names])
-
-    return chosen.mapInArrow(encode, f"doc_id {kind}, label string, vector binary{more}")
-
-
-def prototypes(vectors: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """``label, place, value``: the sum of the vectors of each label.
+def prototypes(documents: DataFrame, dimensions: int = DIMENSIONS, text_column: str = "text", label_column: str = "lang") -> DataFrame:
+    """``label, place, value``: the sum of the vectors of each label's documents.
 
     Each task adds up its own, so that a label with most of the rows is no one's burden.
     """
 
     def add(batches):
-        sums: dict[str, np.ndarray] = {}
+        encoder, sums = Encoder(dimensions), {}
         for batch in batches:
-            for label, packed in zip(batch.column("label").to_pylist(), batch.column("vector").to_pylist()):
-                total = sums.setdefault(label, np.zeros(dimensions))
-                total += np.frombuffer(packed, dtype="<f2")
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                vector = encoder.vector(text)
+                if vector is not None:
+                    total = sums.setdefault(label, np.zeros(dimensions))
+                    total += vector
         for label, total in sums.items():
             columns = [pa.array([label] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(total)]
             yield pa.RecordBatch.from_arrays(columns, ["label", "place", "value"])
 
-    labelled = vectors.filter(F.col("label").isNotNull() & F.col("vector").isNotNull()).select("label", "vector")
+    labelled = documents.select(F.col(f"`{label_column}`").alias("label"), F.col(f"`{text_column}`").alias("text")).dropna()
     sums = labelled.mapInArrow(add, "label string, place int, value double")
     return sums.groupBy("label", "place").agg(F.sum("value").alias("value"))
 
 
-def nearest(vectors: DataFrame, profile: DataFrame, dimensions: int = DIMENSIONS, unknown: str = UNKNOWN) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to ``vectors``, without label and vector.
+def nearest(documents: DataFrame, profile: DataFrame, dimensions: int = DIMENSIONS, text_column: str = "text", unknown: str = UNKNOWN) -> DataFrame:
+    """``documents`` with ``lang_pred`` and ``score``.
 
     The profile holds one vector per language and is read to the driver: its size is
     that of the languages. Ties go to the label that sorts first. Without any learned
@@ -143,24 +121,27 @@ def nearest(vectors: DataFrame, profile: DataFrame, dimensions: int = DIMENSIONS
         table[at[r["label"]], r["place"]] = r["value"]
     lengths = np.linalg.norm(table, axis=1, keepdims=True)
     table /= np.where(lengths, lengths, 1)
-    kept = [f for f in vectors.schema if f.name not in ("label", "vector")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    kept = documents.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
 
     def compare(batches):
+        encoder = Encoder(dimensions)
         for batch in batches:
-            packed = batch.column("vector").to_pylist()
-            found, scores = [unknown] * len(packed), [0.0] * len(packed)
-            known = [i for i, v in enumerate(packed) if v is not None]
-            if known and names:
-                own = np.frombuffer(b"".join(packed[i] for i in known), dtype="<f2").reshape(len(known), -1).astype(np.float32)
-                cosine = own @ table.T
-                best = cosine.argmax(axis=1)
-                for row, b, c in zip(known, best, cosine[np.arange(len(known)), best]):
-                    found[row], scores[row] = names[b], float(min(max(c, 0.0), 1.0))
-            columns = [*(batch.column(f.name) for f in kept), pa.array(found, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), "lang_pred", "score"])
-
-    return vectors.mapInArrow(compare, f"{schema}, lang_pred string, score double")
+            found, scores = [], []
+            for text in batch.column(text_column).to_pylist():
+                vector = encoder.vector(text) if names else None
+                if vector is None:
+                    found.append(unknown)
+                    scores.append(0.0)
+                else:
+                    cosine = table @ vector
+                    best = int(cosine.argmax())
+                    found.append(names[best])
+                    scores.append(float(min(max(cosine[best], 0.0), 1.0)))
+            columns = [*(batch.column(c) for c in kept), pa.array(found, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score"])
+
+    return documents.mapInArrow(compare, f"{schema}, lang_pred string, score double")
 
 
 def identify_languages(
@@ -180,7 +161,7 @@ def identify_languages(
     empty table gives no rows. Other columns are left out.
     """
     training = F.lit(True) if training is None else training
-    held_out = (~F.coalesce(training, F.lit(False))).alias("held_out")
-    vectors = stage(encoded(documents, dimensions, id_column, text_column, label_column, (held_out,)), "vectors")
-    profile = prototypes(vectors.filter("NOT held_out"), dimensions)
-    return nearest(vectors, profile, dimensions)
+    learned = F.coalesce(training, F.lit(False))
+    profile = prototypes(documents.filter(learned), dimensions, text_column, label_column)
+    chosen = documents.select(F.col(f"`{id_column}`").alias("doc_id"), (~learned).alias("held_out"), F.col(f"`{text_column}`").alias("text"))
+    return nearest(chosen, profile, dimensions).drop("text")

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafwise.llm import blooms
 from leafwise.llm.words import U64, as_bytes, hash_windows, hash_words, mix, slices, sorted_groups, split_words
 from leafwise.plans.staging import stage
 
@@ -167,50 +168,35 @@ def _agreeing(pairs: DataFrame, briefs: DataFrame, least: int) -> DataFrame:
     return both.mapInArrow(keep, "a binary, b binary")
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_column: str, text_column: str, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets are similar: ``100 * intersection >= percent * union``.
 
-    ``b`` of a pair may have many partners. Its text goes once to each group of about
-    ``MEMBERS`` of them, in which the partners' texts stream past.
+    ``b`` of a pair may have many partners. Its set goes once to each group of about
+    ``MEMBERS`` of them, in which the partners' sets stream past.
     """
     many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MEMBERS)
     salts = F.ceil(F.coalesce("n", F.lit(1)) / MEMBERS)
     salted = pairs.join(many, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), salts).cast("int").alias("salt"))
     salted = stage(salted, "salted_pairs")
-    roles = (
-        salted.select(F.col("a").alias("class"), "b", "salt", F.lit(1).alias("role"))
-        .unionByName(salted.select(F.col("b").alias("class"), "b", "salt", F.lit(0).alias("role")).distinct())
-        .join(classes.select("class", "rep"), "class")
-        .select("class", "b", "salt", "role", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"))
-    )
-    text = F.col(f"`{text_column}`")
-    texts = documents.select(F.col(f"`{id_column}`").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    placed = (
-        texts.join(roles, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")))
-        .select("b", "salt", "role", "class", "text")
-        .repartition("b", "salt")
-        .sortWithinPartitions("b", "salt", "role", "class")
+    roles = salted.select(F.col("a").alias("class"), "b", "salt", F.lit(1).alias("role")).unionByName(
+        salted.select(F.col("b").alias("class"), "b", "salt", F.lit(0).alias("role")).distinct()
     )
+    placed = roles.join(sets, "class").repartition("b", "salt").sortWithinPartitions("b", "salt", "role", "class")
 
     def verify(batches):
-        key, base, last = None, None, None
+        key, base = None, None
         for batch in batches:
-            bs, salts_, roles_, names = (batch.column(k).to_pylist() for k in ("b", "salt", "role", "class"))
-            texts_, found = as_bytes(batch.column("text")), []
-            for a, b in slices(texts_, 1 << 20):
-                elements, begins = shingle_sets(texts_[a:b])
-                for i in range(a, b):
-                    own = elements[begins[i - a] : begins[i - a + 1]]
-                    if (bs[i], salts_[i]) != key:
-                        key, base, last = (bs[i], salts_[i]), own, None
-                    if not roles_[i] or names[i] == last:  # the group's own text, or a repeated row
-                        continue
-                    last = names[i]
+            found = []
+            for b, salt, role, name, packed in zip(*(batch.column(k).to_pylist() for k in ("b", "salt", "role", "class", "elements"))):
+                own = np.frombuffer(packed, dtype="<u8")
+                if (b, salt) != key:  # the group's own set comes first
+                    key, base = (b, salt), own
+                if role:
                     at = np.searchsorted(base, own)
                     at[at == len(base)] = 0
-                    shared = int((base[at] == own).sum()) if len(base) else 0
+                    shared = int((base[at] == own).sum())
                     if 100 * shared >= percent * (len(base) + len(own) - shared):
-                        found.append((names[i], bs[i]))
+                        found.append((name, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return placed.mapInArrow(verify, "a binary, b binary")
@@ -288,13 +274,16 @@ def _sets(wanted: DataFrame, documents: DataFrame, id_column: str, text_column:
 
     text = F.col(f"`{text_column}`")
     texts = documents.select(F.col(f"`{id_column}`").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    blocks = blooms.blocks_for(wanted.count())
+    bloom = blooms.bloom_of(wanted, F.col("text_key"), blocks)
+    texts = blooms.marked(texts, F.col("key"), bloom, blocks).filter("maybe")  # few others are shuffled
     found = texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).select("class", "text")
     # rows may repeat; the first of each class is enough
     return found.mapInArrow(build, "class binary, elements binary").groupBy("class").agg(F.first("elements").alias("elements"))
 
 
 def _other_links(
-    bands: DataFrame, labels: DataFrame, classes: DataFrame, documents: DataFrame, id_column: str, text_column: str, percent: int, least: int
+    bands: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, least: int
 ) -> DataFrame:
     """Links between classes of a band that no chain of links connects so far.
 
@@ -312,10 +301,7 @@ def _other_links(
     )
     blocks = F.ceil(F.greatest(F.col("size") / SHINGLES, F.col("n") / BLOCK)).cast("int")
     mixed = stage(mixed.filter(F.col("low") != F.col("high")).select("key", blocks.alias("blocks")), "mixed_bands")
-    inside = stage(
-        marked.join(mixed, "key").select("key", "class", "label", "blocks", "rep.doc_id", "rep.text_key", "rep.bands", "rep.brief"), "inside_mixed"
-    )
-    sets = _sets(inside.select("class", "doc_id", "text_key").distinct(), documents, id_column, text_column)
+    inside = marked.join(mixed, "key").select("key", "class", "label", "blocks", "rep.bands", "rep.brief")
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda other: F.struct(F.least("own", other).alias("one"), F.greatest("own", other).alias("two")),
@@ -405,9 +391,11 @@ def near_duplicates(
     shared = stage(spread.join(pivots.filter("n > 1").select("key", "pivot"), "key"), "shared_bands")
     stars = shared.filter(F.col("class") != F.col("pivot")).select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
     agreeing = _agreeing(stars, briefs, agreement)
-    links = stage(_linked(agreeing, classes, documents, id_column, text_column, percent), "star_links")
+    wanted = shared.select("class").distinct().join(classes, "class").select("class", "rep.doc_id", "rep.text_key")
+    sets = stage(_sets(stage(wanted, "wanted"), documents, id_column, text_column), "sets")
+    links = stage(_linked(agreeing, sets, percent), "star_links")
     labels = components(links)
-    extra = stage(_other_links(shared.select("key", "class"), labels, classes, documents, id_column, text_column, percent, agreement), "other_links")
+    extra = stage(_other_links(shared.select("key", "class"), labels, classes, sets, percent, agreement), "other_links")
     if not extra.isEmpty():
         labels = components(links.unionByName(extra))
     labels = stage(labels, "labels")

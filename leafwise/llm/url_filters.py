@@ -3,20 +3,17 @@
 The listed canonical URLs are pairs of a host and the start of a path. A URL may be
 covered by any pair of (its host or a parent domain, a start of its path), of which
 only those with a number of labels and a path length that occur in the list are
-looked up. The Bloom filter is a table of blocks of eight 64-bit words; a key sets
-one bit in each of two words of its block, so that a look-up reads one row. Its
-size is bounded by a parameter, hence it is broadcast. What passes is joined with
-the list itself, which removes false positives.
+looked up, first in a Bloom filter of bounded size (see ``blooms``). What passes is
+joined with the list itself, which removes false positives.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafwise.llm import blooms
 from leafwise.plans.joins import fits_broadcast
 from leafwise.plans.staging import stage
 
-#: Longest Bloom filter, in 64-byte blocks (4 MiB). A longer list passes more false hits.
-MAX_BLOCKS = 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,34 +37,13 @@ def _key(host: Column, path: Column) -> Column:
     return F.xxhash64(host, path)
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(key, F.lit(blocks)).cast("int")
-
-
-def _bits(key: Column) -> list[tuple[Column, Column]]:
-    """For each of the two probes the word in the block and the bit in the word."""
-    other = F.xxhash64(key)
-    at = lambda shift, n: F.shiftrightunsigned(other, shift).bitwiseAND(F.lit(n - 1)).cast("int")
-    return [(at(0, 4), at(8, 64)), (at(16, 4) + 4, at(24, 64))]
-
-
-def blocked_bloom(rules: DataFrame, blocks: int) -> DataFrame:
-    """``block, words`` (eight numbers) for the keys of ``rules``; empty blocks are left out."""
-    key = _key(F.col("host"), F.col("path"))
-    bits = F.array(*(F.struct(w.alias("word"), b.alias("bit")) for w, b in _bits(key)))
-    set_bits = rules.select(_block(key, blocks).alias("block"), F.explode(bits).alias("x")).select("block", "x.*")
-    # a bit of each word of the block, 0 where the row is about another word
-    words = [F.bit_or(F.when(F.col("word") == w, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))) for w in range(8)]
-    return set_bits.groupBy("block").agg(F.array(*words).alias("words"))
-
-
 def judge_urls(
     pages: DataFrame,
     rules: DataFrame,
     id_column: str = "page_id",
     url_column: str = "url",
     otherwise: str = "allow",
-    max_blocks: int = MAX_BLOCKS,
+    max_blocks: int = blooms.MAX_BLOCKS,
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every row of ``pages``.
 
@@ -88,7 +64,7 @@ def judge_urls(
     ).first()
     if not facts["n"]:
         return pages_.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
-    blocks = min(max_blocks, 1 << max(3, (facts["n"] // 16).bit_length()))
+    blocks = blooms.blocks_for(facts["n"], max_blocks)
 
     # keys that may be listed: parent domains by their number of labels, path starts by length
     parts = F.split("host", r"\.")
@@ -102,13 +78,8 @@ def judge_urls(
     rows = stage(pages_.withColumn("row", F.monotonically_increasing_id()), "urls")
     probes = rows.select("row", F.explode(pairs).alias("pair")).select("row", F.col("pair.h").alias("host"), F.col("pair.p").alias("path"))
     key = _key(F.col("host"), F.col("path"))
-    passes = F.lit(True)
-    for word, bit in _bits(key):
-        value = F.element_at("words", word + 1)
-        passes = passes & (F.call_function("shiftrightunsigned", value, bit).bitwiseAND(F.lit(1)) == 1)
-    # no more than `blocks` rows of 64 bytes
-    bloom = F.broadcast(blocked_bloom(listed, blocks))
-    possible = probes.withColumn("block", _block(key, blocks)).join(bloom, "block").filter(passes).select("row", "host", "path")
+    bloom = blooms.bloom_of(listed, key, blocks)
+    possible = blooms.marked(probes, key, bloom, blocks).filter("maybe").select("row", "host", "path")
     exact = listed.select("host", "path", F.struct((F.length("host") + F.length("path")).alias("size"), F.concat("host", "path").alias("rule"), "verdict").alias("found"))
     side = F.broadcast(exact) if fits_broadcast(exact) else exact
     best = possible.join(side, ["host", "path"]).groupBy("row").agg(F.max("found").alias("found"))
