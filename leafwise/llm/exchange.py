@@ -21,21 +21,21 @@ CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
 
 
-def chunked(documents: DataFrame, id_column: str, text_column: str, flag: Column | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def chunked(documents: DataFrame, id_column: str, text_column: str, flag: Column | None = None, chunk_bytes: int = CHUNK_BYTES, level: int = 1) -> DataFrame:
     """Staged ``chunk, ids, flags, data, raw``: documents in order of reading, null text as empty.
 
-    A longer text is a chunk of its own. Ids are integers.
+    A longer text is a chunk of its own. Ids are integers. ``level``: of compression.
     """
     flag = F.lit(True) if flag is None else F.coalesce(flag, F.lit(False))
     chosen = documents.select(F.col(f"`{id_column}`").cast("long").alias("id"), flag.alias("flag"), F.col(f"`{text_column}`").alias("text"))
 
     def cut(batches):
-        number = TaskContext.get().partitionId() << 32
+        number, codec = TaskContext.get().partitionId() << 32, pa.Codec("zstd", compression_level=level)
         for batch in batches:
             texts = as_bytes(batch.column(2))
             for a, b in slices(texts, chunk_bytes):
                 data = np.array([len(t) for t in texts[a:b]], dtype="<i8").tobytes() + b"".join(texts[a:b])
-                packed = pa.compress(data, codec="zstd", asbytes=True)
+                packed = codec.compress(data, asbytes=True)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
                     [

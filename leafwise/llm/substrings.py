@@ -90,7 +90,7 @@ def remove_repeated_passages(
     """
     if length <= PERIOD:
         raise ValueError(f"passages need more than {PERIOD} words")
-    chunks = exchange.chunked(documents, id_column, text_column, chunk_bytes=chunk_bytes)
+    chunks = exchange.chunked(documents, id_column, text_column, chunk_bytes=chunk_bytes, level=6)
     bits = exchange.bucket_bits(chunks)
 
     def send_anchors(batches):
