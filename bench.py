@@ -55,7 +55,7 @@ def main():
         "index_build",
         lambda: write_index(inputs.parsed(spark, folder), f"{work}/index", encoder, buckets=8),
     )
-    index = read_index(spark, f"{work}/index", buckets=8)
+    index = read_index(spark, f"{work}/index")
     terms = query_terms(with_defaults(asked))
     run(fuzzy_expand(terms, index.term_stats))  # warm-up of the search path
     timed("fuzzy_expand", lambda: run(fuzzy_expand(terms, index.term_stats)))

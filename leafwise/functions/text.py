@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 from leafwise.functions.arrays import let
 from leafwise.schema import (
     BACKGROUND_KEYWORDS,
-    MAX_HEADINGS,
     MIN_SENTENCE_CHARS,
     SCOPE_KEYWORDS,
-    SECTION_CHARS,
     SECTION_LOOKAHEAD,
 )
 
@@ -38,18 +36,19 @@ def is_upper(text: Column) -> Column:
     return text.rlike(r"[\p{IsUppercase}]") & ~text.rlike(r"[\p{IsLowercase}\p{Lt}]")
 
 
-def extract_headings(text: Column) -> Column:
-    """The first 20 lines that are all capitals or carry a dotted number."""
+def extract_headings(text: Column, limit: int | None = None) -> Column:
+    """The lines that are all capitals or carry a dotted number; the first ``limit``, if given."""
 
     def is_heading(line):
         length = F.length(line)
         return (is_upper(line) & (length > 3) & (length < 100)) | line.rlike(NUMBERED_HEADING)
 
     lines = F.transform(F.split(text, "\n"), strip_ws)
-    return F.slice(F.filter(lines, is_heading), 1, MAX_HEADINGS)
+    headings = F.filter(lines, is_heading)
+    return headings if limit is None else F.slice(headings, 1, limit)
 
 
-def _section_from(text: Column, start: Column) -> Column:
+def _section_from(text: Column, start: Column, chars: int | None) -> Column:
     rest = F.substring(text, start + 1, F.length(text))
     return let(
         rest,
@@ -59,19 +58,19 @@ def _section_from(text: Column, start: Column) -> Column:
                 F.substring(
                     r,
                     F.lit(1),
-                    F.when(F.size(cut) == 2, SECTION_LOOKAHEAD + F.length(cut[0])).otherwise(SECTION_CHARS),
+                    F.when(F.size(cut) == 2, SECTION_LOOKAHEAD + F.length(cut[0])).otherwise(F.length(r) if chars is None else F.lit(chars)),
                 )
             ),
         ),
     )
 
 
-def extract_section(text: Column, keywords) -> Column:
+def extract_section(text: Column, keywords, chars: int | None = None) -> Column:
     """Text from the first whole-word hit of the first keyword that occurs.
 
     Keywords are tried in the given order, not in text order. The section ends
     at the next line of capitals, looked for after its first 100 characters, or
-    else after 1500 characters. Null when no keyword occurs.
+    else with the text, or after ``chars`` characters. Null when no keyword occurs.
     """
 
     def found(low, keyword):
@@ -83,15 +82,15 @@ def extract_section(text: Column, keywords) -> Column:
         return F.when(F.contains(low, F.lit(keyword)), position)
 
     start = let(F.lower(text), lambda low: F.coalesce(*[found(low, k.lower()) for k in keywords]))
-    return let(start, lambda s: F.when(s.isNotNull(), _section_from(text, s)))
+    return let(start, lambda s: F.when(s.isNotNull(), _section_from(text, s, chars)))
 
 
-def background(text: Column) -> Column:
-    return extract_section(text, BACKGROUND_KEYWORDS)
+def background(text: Column, chars: int | None = None) -> Column:
+    return extract_section(text, BACKGROUND_KEYWORDS, chars)
 
 
-def scope(text: Column) -> Column:
-    return extract_section(text, SCOPE_KEYWORDS)
+def scope(text: Column, chars: int | None = None) -> Column:
+    return extract_section(text, SCOPE_KEYWORDS, chars)
 
 
 def base_name(path: Column) -> Column:
@@ -113,8 +112,8 @@ def split_sentences(text: Column) -> Column:
     return F.filter(pieces, lambda s: F.length(s) > MIN_SENTENCE_CHARS)
 
 
-def truncate(text: Column, chars: int) -> Column:
-    return F.substring(text, 1, chars)
+def truncate(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
 
 
 def blank_to_null(text: Column) -> Column:

@@ -6,16 +6,15 @@ from pyspark.sql import functions as F
 from leafwise.functions.text import base_name, blank_to_null, truncate
 from leafwise.schema import CSV_COLUMNS, SUMMARY_PLACEHOLDER
 
-# Fixed values.
-CSV_CHARS, CSV_HEADINGS = 500, 5
-REPORT_CHARS = 1000
 
+def export_csv(documents: DataFrame, chars: int | None = None, max_headings: int | None = None) -> DataFrame:
+    """The five columns of the CSV export, in the order of ``ord`` if there is one.
 
-def export_csv(documents: DataFrame) -> DataFrame:
-    """The five columns of the CSV export, in the order of ``ord`` if there is one."""
+    ``chars`` cuts the sections, ``max_headings`` the list of headings.
+    """
 
     def cut(column):
-        return F.coalesce(truncate(F.col(column), CSV_CHARS), F.lit(""))
+        return F.coalesce(truncate(F.col(column), chars), F.lit(""))
 
     headings = F.coalesce(F.col("headings"), F.array().cast("array<string>"))
     values = (
@@ -23,15 +22,15 @@ def export_csv(documents: DataFrame) -> DataFrame:
         F.coalesce("file_path", F.lit("")),
         cut("background"),
         cut("scope"),
-        F.array_join(F.slice(headings, 1, CSV_HEADINGS), " | "),
+        F.array_join(headings if max_headings is None else F.slice(headings, 1, max_headings), " | "),
     )
     if "ord" in documents.columns:
         documents = documents.orderBy("ord")
     return documents.select(*[v.alias(name) for v, name in zip(values, CSV_COLUMNS)])
 
 
-def export_report_blocks(documents: DataFrame, include_summary: bool = False) -> DataFrame:
-    """``(ord, block_no, kind, text)``: headings, paragraphs and page breaks in order."""
+def export_report_blocks(documents: DataFrame, include_summary: bool = False, chars: int | None = None) -> DataFrame:
+    """``(ord, block_no, kind, text)``: headings, paragraphs (cut to ``chars``) and page breaks in order."""
 
     def block(kind, text):
         return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
@@ -40,7 +39,7 @@ def export_report_blocks(documents: DataFrame, include_summary: bool = False) ->
         text = blank_to_null(F.col(column))
         return [
             F.when(text.isNotNull(), block("h2", F.lit(name))),
-            F.when(text.isNotNull(), block("paragraph", truncate(text, REPORT_CHARS))),
+            F.when(text.isNotNull(), block("paragraph", truncate(text, chars))),
         ]
 
     summary = [block("h2", F.lit("AI Summary:")), block("paragraph", F.lit(SUMMARY_PLACEHOLDER))]

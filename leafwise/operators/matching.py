@@ -14,7 +14,7 @@ from leafwise.functions.fuzzy import (
 from leafwise.functions.text import strip_ws, tokenize
 from leafwise.plans.joins import join_small, top_per_group
 from leafwise.plans.staging import stage
-from leafwise.schema import FIELDS, MAX_EXPANSIONS
+from leafwise.schema import FIELDS
 
 
 def search_term():
@@ -79,7 +79,7 @@ def _vocabulary(term_stats: DataFrame, longest: int) -> DataFrame:
     return term_stats.filter(F.length("term") <= longest).repartition(parts, "term").groupBy("term").agg(*dfs)
 
 
-def expand_words(words: DataFrame, term_stats: DataFrame, limit=MAX_EXPANSIONS) -> DataFrame:
+def expand_words(words: DataFrame, term_stats: DataFrame, limit: int | None = None) -> DataFrame:
     """``(field, term, term_id, expansion, weight, df, df_max)``, staged.
 
     Both sides are joined on signatures (see ``functions.fuzzy``), so a word meets
@@ -114,10 +114,10 @@ def expand_words(words: DataFrame, term_stats: DataFrame, limit=MAX_EXPANSIONS)
     return stage(_best_expansions(known, limit), "expansions")
 
 
-def _best_expansions(known: DataFrame, limit: int) -> DataFrame:
+def _best_expansions(known: DataFrame, limit: int | None) -> DataFrame:
     """The nearest index terms of each word and field, and the frequency of the commonest."""
     order = [F.desc("weight"), F.asc("expansion")]
-    best = top_per_group(known, ["field", "term"], order, limit, salt_by="expansion").drop("rank")
+    best = known if limit is None else top_per_group(known, ["field", "term"], order, limit, salt_by="expansion").drop("rank")
     return best.withColumn("df_max", F.max("df").over(Window.partitionBy("field", "term")))
 
 
@@ -146,8 +146,8 @@ def _per_query(query_terms: DataFrame, expanded: DataFrame) -> DataFrame:
     )
 
 
-def fuzzy_expand(query_terms: DataFrame, term_stats: DataFrame, limit=MAX_EXPANSIONS) -> DataFrame:
-    """Index terms near each query term, nearest first, at most ``limit`` per field.
+def fuzzy_expand(query_terms: DataFrame, term_stats: DataFrame, limit: int | None = None) -> DataFrame:
+    """Index terms near each query term, at most the nearest ``limit`` per field, if given.
 
     A word is expanded once however many queries use it.
     """

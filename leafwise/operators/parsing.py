@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.functions import text as t
-from leafwise.schema import CONTENT_CHARS, DOCUMENTS, EMBEDDED_CONTENT_CHARS
+from leafwise.schema import DOCUMENTS
 
 
 def file_extension(path):
@@ -71,22 +71,25 @@ def ingest_message(report: DataFrame) -> DataFrame:
     return report.select(message.alias("message"), F.col("success").alias("count"))
 
 
-def parse_documents(files: DataFrame, as_of=None) -> DataFrame:
+def parse_documents(
+    files: DataFrame, as_of=None, content_chars: int | None = None, section_chars: int | None = None, max_headings: int | None = None
+) -> DataFrame:
     """Documents from ``(file_path, text[, id])``; one narrow projection.
 
     Files of unknown type and without text give no document. ``as_of`` is the
-    time stamp of the batch.
+    time stamp of the batch. Whole texts are kept; the other arguments cut the content,
+    sections without an end, and the list of headings.
     """
     classified = classify_files(files).filter("supported").filter(F.length("text") > 0)
     given = F.col("id") if "id" in files.columns else F.lit(None).cast("string")
     stamp = F.lit(as_of).cast("timestamp")
-    with_headings = classified.withColumn("headings", t.extract_headings(F.col("text")))
+    with_headings = classified.withColumn("headings", t.extract_headings(F.col("text"), max_headings))
     values = {
         "id": F.coalesce(t.blank_to_null(given), t.file_stem(F.col("file_path"))),
         "title": F.coalesce(F.try_element_at("headings", F.lit(1)), t.base_name(F.col("file_path"))),
-        "background": t.background(F.col("text")),
-        "scope": t.scope(F.col("text")),
-        "content": t.truncate(F.col("text"), CONTENT_CHARS),
+        "background": t.background(F.col("text"), section_chars),
+        "scope": t.scope(F.col("text"), section_chars),
+        "content": t.truncate(F.col("text"), content_chars),
         "created_at": stamp,
         "updated_at": stamp,
     }
@@ -98,8 +101,8 @@ def parse_documents(files: DataFrame, as_of=None) -> DataFrame:
     return with_headings.select(*columns).drop("embedding")
 
 
-def embedding_text():
-    """The text that stands for a document: its fields, with content cut to 1000."""
+def embedding_text(content_chars: int | None = None):
+    """The text that stands for a document: its fields, with content whole or cut."""
     parts = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "background", "scope")]
-    content = t.truncate(F.coalesce(F.col("content"), F.lit("")), EMBEDDED_CONTENT_CHARS)
+    content = t.truncate(F.coalesce(F.col("content"), F.lit("")), content_chars)
     return F.concat_ws(" ", *parts, content)

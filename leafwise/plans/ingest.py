@@ -3,19 +3,19 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwise.operators.parsing import ingest_report, parse_documents, parse_status
+from leafwise.operators.parsing import embedding_text, ingest_report, parse_documents, parse_status
 from leafwise.sources.tables import append_batch, create_table_if_absent
 
 
-def ingest_batch(files: DataFrame, path: str, batch: int, as_of=None) -> DataFrame:
+def ingest_batch(files: DataFrame, path: str, batch: int, as_of=None, writer: str = "main", encoder=None) -> DataFrame:
     """Parse ``(file_path, text)``, write the documents as a batch, return the counts.
 
     Of several files with one id the last by path stays, as when they are written
-    one after another.
+    one after another. With an ``encoder`` the documents are stored with their vectors.
+    Batches are numbered for each ``writer`` on its own.
     """
     create_table_if_absent(files.sparkSession, path)
-    documents = parse_documents(files, as_of).withColumn(
-        "embedding", F.lit(None).cast("array<float>")
-    )
-    append_batch(documents, path, batch)
+    documents = parse_documents(files, as_of)
+    vector = encoder(embedding_text()) if encoder else F.lit(None)
+    append_batch(documents.withColumn("embedding", vector.cast("array<float>")), path, batch, writer)
     return ingest_report(parse_status(files))

@@ -23,7 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     )
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="leafwise-")
     spark.conf.set("spark.checkpoint.dir", folder)

@@ -6,22 +6,15 @@ from pyspark.sql import types as T
 FIELDS = ("title", "headings", "background", "scope", "content")
 BACKGROUND_KEYWORDS = ("background", "introduction", "overview")
 SCOPE_KEYWORDS = ("scope", "scope of work", "objectives")
-MAX_HEADINGS = 20
-SECTION_CHARS = 1500
 SECTION_LOOKAHEAD = 100
-CONTENT_CHARS = 5000
-EMBEDDED_CONTENT_CHARS = 1000
 SNIPPET_CHARS = 200
 BM25_K1 = 1.2
 BM25_B = 0.75
-MAX_EXPANSIONS = 50
 KNN_K = 10
 KNN_CANDIDATES = 100
 KNN_BOOST = 0.9
-MAX_FRAGMENTS = 5
 SUMMARY_DOCUMENTS = 3
 SUMMARY_SEARCH_LIMIT = 5
-SUMMARY_SENTENCES = 500
 SUMMARY_BULLETS = 5
 MIN_SENTENCE_CHARS = 20
 MARK_OPEN, MARK_CLOSE = "<mark>", "</mark>"
@@ -51,24 +44,3 @@ DOCUMENTS = T.StructType(
         T.StructField("updated_at", T.TimestampType()),
     ]
 )
-
-PARTS = T.StructType(
-    [
-        T.StructField("file_path", T.StringType()),
-        T.StructField("file_type", T.StringType()),
-        T.StructField("part_no", T.LongType()),
-        T.StructField("text", T.StringType()),
-    ]
-)
-
-QUERIES = T.StructType(
-    [
-        T.StructField("query_id", T.LongType()),
-        T.StructField("query", T.StringType()),
-        T.StructField("keyword", T.StringType()),
-        T.StructField("search_fields", T.ArrayType(T.StringType())),
-        T.StructField("page", T.IntegerType()),
-        T.StructField("page_size", T.IntegerType()),
-        T.StructField("limit", T.IntegerType()),
-    ]
-)

@@ -1,9 +1,10 @@
 """Stored document tables and search indexes.
 
-A document table is a folder of generations (``gen=``), each a set of batches
-(``batch=``). Writing a batch never rewrites older ones; reading keeps the latest
-row of each id. ``rewrite`` folds everything into a new generation. Only complete
-generations are read, so a lost job leaves the table as it was.
+A document table is a folder of batches and bases. A batch carries the number of its
+writing and the key of its writer; writing it never touches others, and reading keeps
+the latest row of each id. ``rewrite`` folds all that has been written so far into a
+base; batches written meanwhile have higher numbers and stay. Only complete folders
+are read, so a lost job leaves the table as it was.
 """
 
 from dataclasses import dataclass
@@ -28,60 +29,76 @@ from leafwise.schema import DOCUMENTS
 WRITERS_PER_BUCKET = 4
 
 
-def _numbered(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """Numbers of the complete sub-folders ``prefix=<n>``."""
+def _complete(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Names, without prefix, of the folders ``prefix=<name>`` that a job has finished."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(folder):
         return []
-    names = [status.getPath() for status in files.listStatus(folder)]
-    done = [p for p in names if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(
-        int(p.getName()[len(prefix) + 1 :]) for p in done if p.getName().startswith(prefix + "=")
-    )
+    found = [status.getPath() for status in files.listStatus(folder)]
+    found = [p for p in found if p.getName().startswith(prefix + "=")]
+    return [p.getName()[len(prefix) + 1 :] for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
 
 
-def _generation(spark: SparkSession, path: str) -> int:
-    """The newest generation whose first batch is complete."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return -1
-    names = [status.getPath().getName() for status in files.listStatus(folder)]
-    numbers = sorted(int(n[4:]) for n in names if n.startswith("gen="))
-    complete = [n for n in numbers if _numbered(spark, f"{path}/gen={n}", "batch")]
-    return complete[-1] if complete else -1
+def _written(name: str) -> int:
+    return int(name.split("-")[0])
+
+
+def _newest_base(spark: SparkSession, path: str) -> int:
+    return max(map(int, _complete(spark, path, "base")), default=-1)
 
 
 def create_table_if_absent(spark: SparkSession, path: str, schema=DOCUMENTS) -> bool:
     """Create an empty table; false when there is one already."""
-    if _generation(spark, path) >= 0:
+    if _newest_base(spark, path) >= 0:
         return False
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/gen=0/batch=-1")
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/base=0")
     return True
 
 
-def append_batch(incoming: DataFrame, path: str, batch: int) -> None:
-    """Write a batch; the same number again replaces it, so a replay changes nothing."""
-    generation = _generation(incoming.sparkSession, path)
-    incoming.write.mode("overwrite").parquet(f"{path}/gen={generation}/batch={batch}")
+def _folded(spark: SparkSession, path: str, base: int) -> set[str]:
+    """Names of the batches that are part of a base: as many as there were batches."""
+    if base < 1:
+        return set()
+    return {r["name"] for r in spark.read.schema("name string").parquet(f"{path}/folded={base}").collect()}
+
+
+def _open_batches(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """The newest base and the batches that it does not hold."""
+    base = _newest_base(spark, path)
+    folded = _folded(spark, path, base)
+    return base, [n for n in _complete(spark, path, "batch") if n not in folded]
+
+
+def append_batch(incoming: DataFrame, path: str, batch: int, writer: str = "main") -> None:
+    """Write a batch of ``writer``; the same number of the same writer again replaces it.
+
+    Once a batch is part of a base, writing it again is one more upsert, so nothing is
+    lost. Writers (streams) number their batches independently.
+    """
+    spark = incoming.sparkSession
+    own = f"-{writer}-{batch}"
+    name = next((n for n in _open_batches(spark, path)[1] if n.endswith(own)), None)
+    if name is None:
+        name = f"{1 + max(map(_written, _complete(spark, path, 'batch')), default=0)}{own}"
+    incoming.write.mode("overwrite").parquet(f"{path}/batch={name}")
 
 
 def read_batches(spark: SparkSession, path: str, schema=DOCUMENTS) -> DataFrame:
-    generation = _generation(spark, path)
-    if generation < 0:
+    """The rows of the newest base (number -1) and of the other batches, with the number of their writing."""
+    base, batches = _open_batches(spark, path)
+    if base < 0:
         raise FileNotFoundError(path)
-    root = f"{path}/gen={generation}"
-    folders = [f"{root}/batch={b}" for b in _numbered(spark, root, "batch")]
-    batch = F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(-?\d+)/", 1).cast("bigint")
+    folders = [f"{path}/base={base}", *(f"{path}/batch={n}" for n in batches)]
+    file = F.col("_metadata.file_path")
+    number = F.when(file.rlike(r"/batch=[^/]*/[^/]*$"), F.regexp_extract(file, r"/batch=(\d+)[^/]*/[^/]*$", 1)).otherwise("-1")
     names = [f.name for f in schema]
-    return spark.read.schema(schema).parquet(*folders).select(*names, batch.alias("batch"))
+    return spark.read.schema(schema).parquet(*folders).select(*names, number.cast("bigint").alias("batch"))
 
 
 def read_documents(spark: SparkSession, path: str, schema=DOCUMENTS) -> DataFrame:
-    """The current rows: of each id the one of the latest batch."""
+    """The current rows: of each id the one written last."""
     rows = read_batches(spark, path, schema)
     order = [F.desc("batch")]
     if "file_path" in rows.columns:
@@ -90,13 +107,18 @@ def read_documents(spark: SparkSession, path: str, schema=DOCUMENTS) -> DataFram
 
 
 def rewrite(spark: SparkSession, path: str, predicate=None, schema=DOCUMENTS) -> None:
-    """Fold all batches into a new generation, leaving out rows that match ``predicate``."""
-    current = read_documents(spark, path, schema)
+    """Fold all that is written into a new base, leaving out rows that match ``predicate``.
+
+    The base knows the batches it holds; one that is written meanwhile stays beside it.
+    """
+    base, batches = _open_batches(spark, path)
+    rows = read_documents(spark, path, schema)
     if predicate is not None:
-        current = delete_where(current, predicate)
-    generation = _generation(spark, path)
-    last = max(_numbered(spark, f"{path}/gen={generation}", "batch"))
-    current.write.mode("overwrite").parquet(f"{path}/gen={generation + 1}/batch={last}")
+        rows = delete_where(rows, predicate)
+    names = sorted({*batches, *_folded(spark, path, base)})
+    held = spark.createDataFrame([(n,) for n in names], "name string")
+    held.coalesce(1).write.mode("overwrite").parquet(f"{path}/folded={base + 1}")
+    rows.write.mode("overwrite").parquet(f"{path}/base={base + 1}")
 
 
 @dataclass
@@ -131,12 +153,16 @@ def build_index(documents: DataFrame, encoder, vectors: DataFrame | None = None)
 
 
 def write_index(documents: DataFrame, path: str, encoder, buckets: int = 64) -> None:
-    """Store the index tables below ``path``.
+    """Store the index tables below ``path`` as a new version.
 
     Postings lie in folders by field and hash of the term, documents by hash of the
     id. A search joins on the bucket as well, so that only the folders with its
-    terms and its page are read. ``WRITERS_PER_BUCKET`` tasks share each bucket.
+    terms and its page are read. ``WRITERS_PER_BUCKET`` tasks share each bucket. The
+    layout is written last and publishes the version; until then the one before is read.
     """
+    spark = documents.sparkSession
+    version = f"{path}/version={1 + max(map(int, _versions(spark, path)), default=0)}"
+    documents = stage(documents, "indexed_documents")
     spread = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(WRITERS_PER_BUCKET))
     terms = stage(field_terms(documents), "field_terms")
     postings = postings_of(terms).withColumn("bucket", term_bucket(F.col("term"), buckets))
@@ -145,24 +171,36 @@ def write_index(documents: DataFrame, path: str, encoder, buckets: int = 64) ->
         .sortWithinPartitions("field", "bucket", "term")
         .write.mode("overwrite")
         .partitionBy("field", "bucket")
-        .parquet(f"{path}/postings")
+        .parquet(f"{version}/postings")
     )
-    term_stats(postings_of(terms)).write.mode("overwrite").parquet(f"{path}/term_stats")
-    field_stats_of(terms).coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
+    term_stats(postings_of(terms)).write.mode("overwrite").parquet(f"{version}/term_stats")
+    field_stats_of(terms).coalesce(1).write.mode("overwrite").parquet(f"{version}/field_stats")
     stored = documents.withColumn("bucket", term_bucket(F.col("id"), buckets))
     (
         stored.repartition("bucket", F.pmod(F.hash(F.col("id")), F.lit(WRITERS_PER_BUCKET)))
         .sortWithinPartitions("bucket", "id")
         .write.mode("overwrite")
         .partitionBy("bucket")
-        .parquet(f"{path}/documents")
+        .parquet(f"{version}/documents")
     )
-    embed_documents(documents, encoder).write.mode("overwrite").parquet(f"{path}/vectors")
+    embed_documents(documents, encoder).write.mode("overwrite").parquet(f"{version}/vectors")
+    layout = spark.createDataFrame([(buckets,)], "buckets int")
+    layout.coalesce(1).write.mode("overwrite").parquet(f"{path}/layout={version.rsplit('=', 1)[1]}")
+
 
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    return _complete(spark, path, "layout")
 
-def read_index(spark: SparkSession, path: str, buckets: int = 64) -> Index:
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    """The newest complete version, with the number of buckets it was written with."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(path)
+    newest = max(map(int, versions))
+    buckets = spark.read.parquet(f"{path}/layout={newest}").first()["buckets"]
     tables = {
-        name: spark.read.parquet(f"{path}/{name}")
+        name: spark.read.parquet(f"{path}/version={newest}/{name}")
         for name in ("documents", "postings", "term_stats", "field_stats", "vectors")
     }
     return Index(**tables, buckets=buckets)

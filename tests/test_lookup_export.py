@@ -36,8 +36,8 @@ def test_csv(spark, documents, tmp_path):
     for part in sorted(glob.glob(str(tmp_path / "out" / "*.csv"))):
         with open(part, newline="") as f:
             read += list(csv.DictReader(f))
-    assert read[0]["Title"] == 'Title "A", first' and len(read[0]["Background"]) == 500
-    assert read[0]["Scope"] == "s\nline" and read[0]["Headings"] == "H0 | H1 | H2 | H3 | H4"
+    assert read[0]["Title"] == 'Title "A", first' and len(read[0]["Background"]) == 5000
+    assert read[0]["Scope"] == "s\nline" and read[0]["Headings"] == " | ".join(f"H{i}" for i in range(9))
     assert read[1] == {"Title": "", "File Path": "/d/b.pdf", "Background": "", "Scope": "", "Headings": ""}
 
 
@@ -45,7 +45,7 @@ def test_report(spark, documents, tmp_path):
     found = fetch(spark, documents, "a", "b", "c")
     blocks = exporting.export(found, "pdf")
     rows = [tuple(r) for r in blocks.orderBy("ord", "block_no").collect()]
-    assert rows[0] == (0, 1, "h1", 'Title "A", first') and rows[2] == (0, 3, "paragraph", "b" * 1000)
+    assert rows[0] == (0, 1, "h1", 'Title "A", first') and rows[2] == (0, 3, "paragraph", "b" * 5000)
     assert [r[2] for r in rows] == ["h1", "h2", "paragraph", "h2", "paragraph", "page_break", "h1", "page_break", "h1", "h2", "paragraph"]
     assert rows[6][3] == "Untitled"
     with_summary = exporting.export(found, "docx", include_summary=True)

@@ -50,7 +50,8 @@ def test_parse(documents):
 
 def test_content_is_cut(spark):
     files = spark.createDataFrame([("/a/long.txt", "A" * 10000)], "file_path string, text string")
-    assert len(parse_documents(files).first()["content"]) == 5000
+    assert len(parse_documents(files).first()["content"]) == 10000
+    assert len(parse_documents(files, content_chars=5000).first()["content"]) == 5000
 
 
 def test_scores_by_hand(spark, index):
@@ -136,7 +137,7 @@ def test_stored_index_gives_the_same(spark, tmp_path_factory):
     documents = stage(inputs.parsed(spark, SMALLEST), "documents")
     path = str(tmp_path_factory.mktemp("index"))
     tables.write_index(documents, path, ENCODER, buckets=5)
-    stored = tables.read_index(spark, path, buckets=5)
+    stored = tables.read_index(spark, path)
     fresh = tables.build_index(documents, ENCODER)
     asked = inputs.queries(spark, SMALLEST)
     keys = ["query_id", "rank", "id", "snippet", "total"]

@@ -17,29 +17,6 @@ texts = st.lists(
 quick = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 
 
-def wanted_headings(text):
-    kept = []
-    for line in (part.strip() for part in text.split("\n")):
-        capital = line.isupper() and 3 < len(line) < 100
-        if capital or re.match(r"\d+\.(\d+\.)*\s+[A-Z]", line):
-            kept.append(line)
-    return kept[:20]
-
-
-def wanted_section(text, keywords):
-    for keyword in keywords:
-        hit = re.search(rf"\b{keyword}\b", text.lower())
-        if hit:
-            rest = text[hit.start() :]
-            end = re.search(r"\n[A-Z\d][A-Z\s]{5,}\n", rest[100:])
-            return rest[: 100 + end.start() if end else 1500].strip()
-    return None
-
-
-def wanted_sentences(text):
-    return [s for s in (p.strip() for p in re.split("[.!?]", text)) if len(s) > 20]
-
-
 @quick
 @given(texts)
 def test_strip_equals_python(column, values):
@@ -48,49 +25,68 @@ def test_strip_equals_python(column, values):
 
 @quick
 @given(texts)
-def test_headings_equal_python(column, values):
-    assert column(t.extract_headings, values) == [wanted_headings(v) for v in values]
+def test_headings_are_stripped_lines_in_order(column, values):
+    for text, found in zip(values, column(t.extract_headings, values)):
+        lines = [line.strip() for line in text.split("\n")]
+        left = iter(lines)
+        assert all(h in left for h in found)
+        for heading in found:
+            assert heading.isupper() or heading[0].isnumeric()
+        assert [x for x in lines if x.isascii() and x.isalpha() and x.isupper() and len(x) > 3] == [
+            x for x in found if x.isascii() and x.isalpha() and len(x) < 100
+        ] or any(len(x) >= 100 for x in lines)
 
 
 @quick
 @given(texts)
-def test_sections_equal_python(column, values):
-    assert column(t.background, values) == [wanted_section(v, t.BACKGROUND_KEYWORDS) for v in values]
-    assert column(t.scope, values) == [wanted_section(v, t.SCOPE_KEYWORDS) for v in values]
+def test_sections_start_at_a_keyword_and_hold_no_later_heading(column, values):
+    for function, keywords in ((t.background, t.BACKGROUND_KEYWORDS), (t.scope, t.SCOPE_KEYWORDS)):
+        whole = column(function, values)
+        cut = column(lambda c: function(c, 150), values)
+        for text, section, short in zip(values, whole, cut):
+            if section is None:
+                assert short is None
+                continue
+            assert any(section.lower().startswith(k) for k in keywords)
+            assert section in text and section == section.strip()
+            assert "\nNEXT PART\n" not in section[100:]
+            assert section.startswith(short.strip())
 
 
 @quick
 @given(texts)
-def test_sentences_equal_python(column, values):
-    assert column(t.split_sentences, values) == [wanted_sentences(v) for v in values]
+def test_sentences_cover_the_long_pieces(column, values):
+    for text, found in zip(values, column(t.split_sentences, values)):
+        assert all(len(s) > 20 and s == s.strip() and not set(s) & set(".!?") for s in found)
+        at = 0
+        for sentence in found:
+            at = text.index(sentence, at) + len(sentence)
 
 
 def test_heading_cases(column):
-    prose = "Intro text\n   INTRODUCTION\nwords here\n  BACKGROUND\nmore\n SCOPE OF WORK\nend"
-    numbered = "1. Introduction\n2.1. Background\n3.2.1. Detailed Scope\n3.1 Visual Inspection"
-    many = "\n".join(f"HEADING NUMBER {i}" for i in range(30))
-    short = "AB\nABC\nXY\nABCD"
-    found = column(t.extract_headings, [prose, numbered, many, short, ""])
-    assert found[0] == ["INTRODUCTION", "BACKGROUND", "SCOPE OF WORK"]
-    assert found[1] == ["1. Introduction", "2.1. Background", "3.2.1. Detailed Scope"]
-    assert len(found[2]) == 20
-    assert found[3:] == [["ABCD"], []]
+    plain = "On tides\n\t TIDES AND MOONS  \nlow water\nHARBOUR 7\nhigh water\nNeap Tide"
+    dotted = "4. Moorings\n4.1. Ropes\n4.1.12. Hemp Ropes\n4.2 Chains\n5.knots"
+    many = "\n".join(f"PIER {i:03}" for i in range(45))
+    found = column(t.extract_headings, [plain, dotted, many, "OX\nYAK\nGNUS", ""])
+    assert found[0] == ["TIDES AND MOONS", "HARBOUR 7"]
+    assert found[1] == ["4. Moorings", "4.1. Ropes", "4.1.12. Hemp Ropes"]
+    assert len(found[2]) == 45
+    assert found[3:] == [["GNUS"], []]
+    assert len(column(lambda c: t.extract_headings(c, 20), [many])[0]) == 20
 
 
 def test_section_cases(column):
-    both = "Introduction comes first. Then the background of it."
-    assert column(t.background, [both, "nothing", "backgrounds only"]) == ["background of it.", None, None]
-    ended = "Scope\n" + "x" * 120 + "\nNEXT SECTION\nrest"
-    assert column(t.scope, [ended]) == ["Scope\n" + "x" * 120]
-    assert len(column(t.scope, ["scope " + "y" * 5000])[0]) == 1500
+    both = "An introduction to boats. What is the background here?"
+    assert column(t.background, [both, "boats", "backgrounded"]) == ["background here?", None, None]
+    ended = "Scope\n" + "m" * 130 + "\nHARBOUR RULES\nno anchors"
+    assert column(t.scope, [ended]) == ["Scope\n" + "m" * 130]
+    assert len(column(t.scope, ["scope " + "m" * 7000])[0]) == 7006
+    assert len(column(lambda c: t.scope(c, 900), ["scope " + "m" * 7000])[0]) == 900
 
 
 def test_sentence_cases(column):
-    texts = ["OK. This is a longer sentence with enough content. No.", "", "Is this long enough to keep? Yes, this one is long enough!"]
-    found = column(t.split_sentences, texts)
-    assert found[0] == ["This is a longer sentence with enough content"]
-    assert found[1] == []
-    assert len(found[2]) == 2
+    found = column(t.split_sentences, ["Aye. The tide turns twice a day in this harbour! So?", "", "Who ties the boats up at night? The harbour master ties them up."])
+    assert found == [["The tide turns twice a day in this harbour"], [], ["Who ties the boats up at night", "The harbour master ties them up"]]
 
 
 def test_tokens(column):

@@ -8,17 +8,15 @@ from leafwise.plans.staging import spread, stage
 from leafwise.sources.corpus import read_table
 from leafwise.sources.tables import Index, build_index
 
-# Every document becomes a report with one of five shapes, so that each branch of
-# the parser is met: heading lines, numbered headings, keywords inside the text,
-# no section at all or an empty text, and an unsupported type.
+# Every document becomes a report with one of four shapes, so that each branch of
+# the parser is met: heading lines, numbered headings, keywords inside the text and
+# no section at all. Further rows have an unsupported type or an empty text.
 REPORTS = """
 SELECT doc_id, source || '-' || doc_id AS id,
        '/corpus/' || source || '/' || source || '-' || doc_id ||
          CASE WHEN doc_id % 10 = 6 THEN '.DOCX' WHEN doc_id % 5 = 1 THEN '.docx'
-              WHEN doc_id % 5 = 2 THEN '.txt' WHEN doc_id % 5 = 4 THEN '.xyz'
-              ELSE '.pdf' END AS file_path,
-       CASE WHEN doc_id % 20 = 13 THEN ''
-            WHEN doc_id % 5 = 0 THEN upper(source) || ' REPORT ' || doc_id || chr(10) || chr(10) ||
+              WHEN doc_id % 5 = 2 THEN '.txt' ELSE '.pdf' END AS file_path,
+       CASE WHEN doc_id % 5 = 0 THEN upper(source) || ' REPORT ' || doc_id || chr(10) || chr(10) ||
                  '1. BACKGROUND' || chr(10) || text || chr(10) || chr(10) ||
                  'SCOPE OF WORK' || chr(10) || text || chr(10) ||
                  'TIMELINE AND COST' || chr(10) || text
@@ -27,6 +25,12 @@ SELECT doc_id, source || '-' || doc_id AS id,
             WHEN doc_id % 5 = 2 THEN text || ' an overview of the objectives ' || text
             ELSE text END AS text
 FROM documents
+UNION ALL
+SELECT doc_id, source || '-' || doc_id || 'x', '/corpus/' || source || '/' || source || '-' || doc_id || 'x.xyz', text
+FROM documents WHERE doc_id % 5 = 4
+UNION ALL
+SELECT doc_id, source || '-' || doc_id || 'e', '/corpus/' || source || '/' || source || '-' || doc_id || 'e.pdf', ''
+FROM documents WHERE doc_id % 20 = 13
 """
 
 # Every benchmark text is a query, whole.

@@ -4,9 +4,12 @@ The queries share building blocks, each a common table expression named after wh
 it holds.
 """
 
-from leafwise.schema import BACKGROUND_KEYWORDS, SCOPE_KEYWORDS
 from workload import inputs
 
+# Fixed values, stated here too so that the comparison does not rest on the library.
+BACKGROUND_KEYWORDS = ("background", "introduction", "overview")
+SCOPE_KEYWORDS = ("scope", "scope of work", "objectives")
+
 WS = r"\x09-\x0D\x1C-\x20\x85\p{Z}"
 WORD = r"\p{L}\p{M}\p{N}_"
 TOKEN = rf"[{WORD}]+(?:[''’.][{WORD}]+)*"
@@ -44,7 +47,7 @@ def section(name, keywords):
   SELECT id, rest, regexp_matches(substr(rest, 101), '{nxt}') AS ends,
          length(regexp_extract(substr(rest, 101), '{nxt}', 1)) AS more FROM {name}_rest
 ), {name} AS (
-  SELECT id, {strip("substr(rest, 1, CASE WHEN ends THEN 100 + more ELSE 1500 END)")} AS value
+  SELECT id, {strip("substr(rest, 1, CASE WHEN ends THEN 100 + more ELSE length(rest) END)")} AS value
   FROM {name}_cut
 )"""
 
@@ -72,11 +75,11 @@ lowered AS MATERIALIZED (SELECT id, text, lower(text) AS low FROM usable),
 {section("background_of", BACKGROUND_KEYWORDS)},
 {section("scope_of", SCOPE_KEYWORDS)},
 lines AS MATERIALIZED (
-  SELECT id, [l FOR l IN [{strip("r")} FOR r IN string_split(text, chr(10))] IF {heading}][1:20] AS headings
+  SELECT id, [l FOR l IN [{strip("r")} FOR r IN string_split(text, chr(10))] IF {heading}] AS headings
   FROM usable
 ), {name} AS MATERIALIZED (
   SELECT u.id, coalesce(headings[1], regexp_extract(file_path, '[^/]*$')) AS title, file_path, file_type,
-         headings, b.value AS background, s.value AS scope, substr(text, 1, 5000) AS content
+         headings, b.value AS background, s.value AS scope, text AS content
   FROM usable u JOIN lines USING (id) JOIN background_of b USING (id) JOIN scope_of s USING (id)
 )"""
 
@@ -93,7 +96,7 @@ parts AS (
 
 EMBEDDED = (
     "concat(coalesce(title, ''), ' ', coalesce(background, ''), ' ', coalesce(scope, ''), ' ', "
-    "substr(coalesce(content, ''), 1, 1000))"
+    "coalesce(content, ''))"
 )
 
 
@@ -197,9 +200,7 @@ characters AS (
   WHERE d < shorter
 ), expansions AS MATERIALIZED (
   SELECT query_id, field, term, mult, expansion, weight, df
-  FROM (SELECT * FROM expanded
-        QUALIFY row_number() OVER (PARTITION BY field, term ORDER BY weight DESC, expansion) <= 50)
-  JOIN query_terms USING (field, term)
+  FROM expanded JOIN query_terms USING (field, term)
 )"""
 
 EXACT = """
@@ -276,7 +277,7 @@ field_values AS (
   SELECT * EXCLUDE (ps, fragment), unnest(ps) AS piece, unnest(range(len(ps))) AS piece_no
   FROM (SELECT *, regexp_extract_all(fragment, '(?s){TOKEN}|.') AS ps FROM fragments)
 ), marked AS (
-  SELECT query_id, doc_id, field, field_no, fragment_no,
+  SELECT p.query_id, p.doc_id, p.field, field_no, fragment_no,
          string_agg(CASE WHEN x.expansion IS NULL THEN piece ELSE '<mark>' || piece || '</mark>' END, ''
                     ORDER BY piece_no) AS fragment,
          count(x.expansion) AS marks
@@ -288,7 +289,6 @@ field_values AS (
   SELECT query_id, doc_id, field, field_no, no, fragment
   FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, field ORDER BY fragment_no) - 1 AS no
         FROM marked)
-  WHERE no < 5
 ), shown AS (
   SELECT query_id, doc_id, min_by(fragment, (field_no, no)) AS first,
          string_agg(line, ' || ' ORDER BY field_no) AS highlights
@@ -306,10 +306,6 @@ field_values AS (
   FROM pages JOIN queries USING (query_id) JOIN totals USING (query_id) JOIN docs d ON d.id = doc_id
   LEFT JOIN shown USING (query_id, doc_id)
 )"""
-HIGHLIGHTS = HIGHLIGHTS.replace(
-    "SELECT query_id, doc_id, field, field_no, fragment_no,\n         string_agg(CASE",
-    "SELECT p.query_id, p.doc_id, p.field, field_no, fragment_no,\n         string_agg(CASE",
-)
 
 CONTEXT = """
 context AS MATERIALIZED (
@@ -329,7 +325,6 @@ pool AS MATERIALIZED (
   FROM (SELECT query_id, sentence, row_number() OVER (PARTITION BY query_id ORDER BY rank, no) AS pos
         FROM (SELECT query_id, rank, unnest(ss) AS sentence, unnest(range(len(ss))) AS no
               FROM (SELECT query_id, rank, {sentences("text")} AS ss FROM context)))
-  WHERE pos <= 500
 )"""
 
 RANKED_SENTENCES = f"""
@@ -364,9 +359,9 @@ def report(include_summary):
 SELECT ord, row_number() OVER (PARTITION BY ord ORDER BY place)::INTEGER AS block_no, kind, text FROM (
   SELECT ord, 1 AS place, 'h1' AS kind, coalesce(title, 'Untitled') AS text FROM fetched
   UNION ALL SELECT ord, 2, 'h2', 'Background:' FROM fetched WHERE length(background) > 0
-  UNION ALL SELECT ord, 3, 'paragraph', substr(background, 1, 1000) FROM fetched WHERE length(background) > 0
+  UNION ALL SELECT ord, 3, 'paragraph', background FROM fetched WHERE length(background) > 0
   UNION ALL SELECT ord, 4, 'h2', 'Scope:' FROM fetched WHERE length(scope) > 0
-  UNION ALL SELECT ord, 5, 'paragraph', substr(scope, 1, 1000) FROM fetched WHERE length(scope) > 0{extra}
+  UNION ALL SELECT ord, 5, 'paragraph', scope FROM fetched WHERE length(scope) > 0{extra}
   UNION ALL SELECT ord, 8, 'page_break', '' FROM fetched WHERE ord < (SELECT max(ord) FROM fetched)
 )"""
     )
@@ -510,8 +505,8 @@ SELECT r.ord, r.doc_id, b.file_path, b.match_rank::INTEGER AS match_rank
 FROM requests r LEFT JOIN best b USING (ord)""",
     "export_csv": with_(DOCS, EXPORTS)
     + """SELECT coalesce(title, '') AS Title, coalesce(file_path, '') AS "File Path",
-coalesce(substr(background, 1, 500), '') AS Background, coalesce(substr(scope, 1, 500), '') AS Scope,
-coalesce(array_to_string(headings[1:5], ' | '), '') AS Headings FROM fetched""",
+coalesce(background, '') AS Background, coalesce(scope, '') AS Scope,
+coalesce(array_to_string(headings, ' | '), '') AS Headings FROM fetched""",
     "export_report": report(False),
     "export_report_with_summary": report(True),
 }
