@@ -285,6 +285,7 @@ def _flat(found):
 
 def highlights(spark, folder):
     found = s.search_documents(queries(spark, folder), index(spark, folder), ENCODER)
+    found = stage(found.select("query_id", "id", "highlights"), "highlights")  # marked once, then taken apart
     fields = found.select("query_id", "id", F.explode("highlights").alias("field", "fragments"))
     return fields.select("query_id", "id", "field", F.posexplode("fragments").alias("no", "fragment")).withColumn(
         "no", F.col("no").cast("bigint")
