@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from leafwise.functions.text import base_name, file_stem
 from leafwise.plans.joins import join_small
+from leafwise.plans.staging import stage
 
 # Types that can be looked up, case-sensitively, in order of preference.
 LOOKUP_TYPES = (".pdf", ".docx")
@@ -44,10 +45,10 @@ def resolve_document_ids(files: DataFrame, ids: DataFrame) -> DataFrame:
             F.array(*[F.concat("doc_id", F.lit(suffix)) for suffix in LOOKUP_TYPES], F.col("doc_id"))
         ).alias("position", "file_name"),
     )
-    exact = _best(
-        join_small(names, guesses, "file_name").withColumn("match_rank", F.col("position") + 1)
+    exact = stage(
+        _best(join_small(names, guesses, "file_name").withColumn("match_rank", F.col("position") + 1)), "exact_ids"
     )
-    open_ids = asked.join(exact.select("ord"), "ord", "left_anti")
+    open_ids = stage(asked.join(exact.select("ord"), "ord", "left_anti"), "open_ids")
     by_type = F.lit(False)
     for suffix in LOOKUP_TYPES:
         by_type = by_type | F.col("file_name").endswith(suffix)

@@ -3,19 +3,25 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafwise.operators.maintenance import latest
 from leafwise.operators.parsing import embedding_text, ingest_report, parse_documents, parse_status
-from leafwise.sources.tables import append_batch, create_table_if_absent
+from leafwise.sources.tables import add_to_index, append_batch, create_table_if_absent
 
 
-def ingest_batch(files: DataFrame, path: str, batch: int, as_of=None, writer: str = "main", encoder=None) -> DataFrame:
+def ingest_batch(files: DataFrame, path: str, batch: int, as_of=None, writer: str = "main", encoder=None, index: str | None = None) -> DataFrame:
     """Parse ``(file_path, text)``, write the documents as a batch, return the counts.
 
     Of several files with one id the last by path stays, as when they are written
     one after another. With an ``encoder`` the documents are stored with their vectors.
-    Batches are numbered for each ``writer`` on its own.
+    Batches are numbered for each ``writer`` on its own. With the path of an ``index``
+    the batch can be searched at once, and its ids' earlier documents no longer.
     """
+    if index and not encoder:
+        raise ValueError("an index needs an encoder")
     create_table_if_absent(files.sparkSession, path)
     documents = parse_documents(files, as_of)
     vector = encoder(embedding_text()) if encoder else F.lit(None)
     append_batch(documents.withColumn("embedding", vector.cast("array<float>")), path, batch, writer)
+    if index:
+        add_to_index(latest(documents, "id", [F.desc("file_path")]), index, encoder)
     return ingest_report(parse_status(files))

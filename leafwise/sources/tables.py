@@ -5,9 +5,12 @@ writing and the key of its writer; writing it never touches others, and reading
 the latest row of each id. ``rewrite`` folds all that has been written so far into a
 base; batches written meanwhile have higher numbers and stay. Only complete folders
 are read, so a lost job leaves the table as it was.
+
+An index is a list of parts, one for each batch added since it was last written whole.
 """
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +24,15 @@ from leafwise.operators.indexing import (
 )
 from leafwise.operators.maintenance import delete_where, latest
 from leafwise.operators.scoring import term_bucket
+from leafwise.plans.joins import fits_broadcast, join_small
 from leafwise.plans.staging import stage
 from leafwise.schema import DOCUMENTS
 
 # Tasks that share the writing of one index partition, so that the posting list of
 # a frequent term is not one task's work.
 WRITERS_PER_BUCKET = 4
+LAYOUT = "buckets int, parts array<int>, replacing array<int>"
+STORED_POSTINGS = "term string, doc_id string, tf bigint, dl bigint, field string, bucket int"
 
 
 def _complete(spark: SparkSession, path: str, prefix: str) -> list[str]:
@@ -152,17 +158,8 @@ def build_index(documents: DataFrame, encoder, vectors: DataFrame | None = None)
     )
 
 
-def write_index(documents: DataFrame, path: str, encoder, buckets: int = 64) -> None:
-    """Store the index tables below ``path`` as a new version.
-
-    Postings lie in folders by field and hash of the term, documents by hash of the
-    id. A search joins on the bucket as well, so that only the folders with its
-    terms and its page are read. ``WRITERS_PER_BUCKET`` tasks share each bucket. The
-    layout is written last and publishes the version; until then the one before is read.
-    """
-    spark = documents.sparkSession
-    version = f"{path}/version={1 + max(map(int, _versions(spark, path)), default=0)}"
-    documents = stage(documents, "indexed_documents")
+def _write_part(documents: DataFrame, folder: str, encoder, buckets: int) -> DataFrame:
+    """Write postings, documents and vectors of a staged table; returns its staged term lists."""
     spread = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(WRITERS_PER_BUCKET))
     terms = stage(field_terms(documents), "field_terms")
     postings = postings_of(terms).withColumn("bucket", term_bucket(F.col("term"), buckets))
@@ -171,36 +168,123 @@ def write_index(documents: DataFrame, path: str, encoder, buckets: int = 64) ->
         .sortWithinPartitions("field", "bucket", "term")
         .write.mode("overwrite")
         .partitionBy("field", "bucket")
-        .parquet(f"{version}/postings")
+        .parquet(f"{folder}/postings")
     )
-    term_stats(postings_of(terms)).write.mode("overwrite").parquet(f"{version}/term_stats")
-    field_stats_of(terms).coalesce(1).write.mode("overwrite").parquet(f"{version}/field_stats")
     stored = documents.withColumn("bucket", term_bucket(F.col("id"), buckets))
     (
         stored.repartition("bucket", F.pmod(F.hash(F.col("id")), F.lit(WRITERS_PER_BUCKET)))
         .sortWithinPartitions("bucket", "id")
         .write.mode("overwrite")
         .partitionBy("bucket")
-        .parquet(f"{version}/documents")
+        .parquet(f"{folder}/documents")
     )
-    embed_documents(documents, encoder).write.mode("overwrite").parquet(f"{version}/vectors")
-    layout = spark.createDataFrame([(buckets,)], "buckets int")
-    layout.coalesce(1).write.mode("overwrite").parquet(f"{path}/layout={version.rsplit('=', 1)[1]}")
+    embed_documents(documents, encoder).write.mode("overwrite").parquet(f"{folder}/vectors")
+    return terms
+
+
+def _publish(spark: SparkSession, path: str, version: int, buckets: int, parts: list[int], replacing: list[int]) -> None:
+    """Write the layout of a version, from which on it is read."""
+    layout = spark.createDataFrame([(buckets, parts, replacing)], LAYOUT)
+    layout.coalesce(1).write.mode("overwrite").parquet(f"{path}/layout={version}")
+
+
+def write_index(documents: DataFrame, path: str, encoder, buckets: int = 64) -> None:
+    """Store the index tables below ``path`` as a new version of one part.
+
+    Postings lie in folders by field and hash of the term, documents by hash of the
+    id. A search joins on the bucket as well, so that only the folders with its
+    terms and its page are read. ``WRITERS_PER_BUCKET`` tasks share each bucket. The
+    layout is written last and publishes the version; until then the one before is read.
+    """
+    spark = documents.sparkSession
+    version = 1 + max(map(int, _versions(spark, path)), default=0)
+    folder = f"{path}/version={version}"
+    terms = _write_part(stage(documents, "indexed_documents"), folder, encoder, buckets)
+    term_stats(postings_of(terms)).write.mode("overwrite").parquet(f"{folder}/term_stats")
+    field_stats_of(terms).coalesce(1).write.mode("overwrite").parquet(f"{folder}/field_stats")
+    _publish(spark, path, version, buckets, [version], [])
+
+
+def add_to_index(documents: DataFrame, path: str, encoder) -> None:
+    """Make a batch of documents (one row per id) searchable; ids that are there already are replaced.
+
+    The batch becomes one more part of the index, with the ids it replaces in earlier
+    parts; no earlier file is read for that but the documents of those ids. Statistics
+    are those before, plus the batch's, less the replaced documents'. The same batch
+    again changes nothing that a search sees. ``write_index`` makes one part of all.
+    One writer at a time adds to an index; a missing one is created.
+    """
+    spark = documents.sparkSession
+    documents = stage(documents, "indexed_documents")
+    if documents.isEmpty():
+        return
+    if not _versions(spark, path):
+        return write_index(documents, path, encoder)
+    number, layout = _layout(spark, path)
+    before, buckets = _read_parts(spark, path, number, layout), layout["buckets"]
+    folder = f"{path}/version={number + 1}"
+    terms = _write_part(documents, folder, encoder, buckets)
+    ids = documents.select("id", term_bucket(F.col("id"), buckets).alias("bucket"))
+    old = stage(join_small(before["documents"], ids, ["id", "bucket"]), "replaced_documents")
+    gone = field_terms(old)
+    old.select("id", "part").write.mode("overwrite").parquet(f"{folder}/replaced")
+
+    columns = ("field", "term", "df")
+    less = term_stats(postings_of(gone)).withColumn("df", -F.col("df"))
+    counted = before["term_stats"].select(*columns).unionByName(term_stats(postings_of(terms))).unionByName(less)
+    counted = counted.groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df > 0")
+    counted.write.mode("overwrite").parquet(f"{folder}/term_stats")
+
+    def totals(stats, sign):
+        tokens = F.round(F.col("avgdl") * F.col("n_docs")).cast("bigint")
+        return stats.select("field", (sign * F.col("n_docs")).alias("n_docs"), (sign * tokens).alias("tokens"))
+
+    lengths = totals(before["field_stats"], 1).unionByName(totals(field_stats_of(terms), 1)).unionByName(totals(field_stats_of(gone), -1))
+    lengths = lengths.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens")).filter("n_docs > 0")
+    lengths = lengths.select("field", "n_docs", (F.col("tokens") / F.col("n_docs")).alias("avgdl"))
+    lengths.coalesce(1).write.mode("overwrite").parquet(f"{folder}/field_stats")
+    replacing = layout["replacing"] + ([] if old.isEmpty() else [number + 1])
+    _publish(spark, path, number + 1, buckets, [*layout["parts"], number + 1], replacing)
 
 
 def _versions(spark: SparkSession, path: str) -> list[str]:
     return _complete(spark, path, "layout")
 
 
-def read_index(spark: SparkSession, path: str) -> Index:
-    """The newest complete version, with the number of buckets it was written with."""
+def _layout(spark: SparkSession, path: str):
+    """The newest version's number and its layout row."""
     versions = _versions(spark, path)
     if not versions:
         raise FileNotFoundError(path)
-    newest = max(map(int, versions))
-    buckets = spark.read.parquet(f"{path}/layout={newest}").first()["buckets"]
-    tables = {
-        name: spark.read.parquet(f"{path}/version={newest}/{name}")
-        for name in ("documents", "postings", "term_stats", "field_stats", "vectors")
+    number = max(map(int, versions))
+    return number, spark.read.schema(LAYOUT).parquet(f"{path}/layout={number}").first()
+
+
+def _read_parts(spark: SparkSession, path: str, number: int, layout) -> dict[str, DataFrame]:
+    """Tables of a version; those in parts name the part and leave out what a later part replaces."""
+    hidden = None
+    if layout["replacing"]:
+        hidden = spark.read.schema("id string, part int").parquet(*(f"{path}/version={v}/replaced" for v in layout["replacing"]))
+        if fits_broadcast(hidden):
+            hidden = F.broadcast(hidden)
+
+    def parts_of(name, key, schema=None):
+        reader = spark.read.schema(schema) if schema else spark.read
+        tables = [reader.parquet(f"{path}/version={p}/{name}").withColumn("part", F.lit(p)) for p in layout["parts"]]
+        whole = reduce(DataFrame.unionByName, tables)
+        return whole if hidden is None else whole.join(hidden.withColumnRenamed("id", key), [key, "part"], "left_anti")
+
+    stats = {name: spark.read.parquet(f"{path}/version={number}/{name}") for name in ("term_stats", "field_stats")}
+    return {
+        "documents": parts_of("documents", "id"),
+        "postings": parts_of("postings", "doc_id", STORED_POSTINGS),
+        "vectors": parts_of("vectors", "id"),
+        **stats,
     }
-    return Index(**tables, buckets=buckets)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    """The newest complete version, with the number of buckets it was written with."""
+    number, layout = _layout(spark, path)
+    tables = _read_parts(spark, path, number, layout)
+    return Index(**{name: table.drop("part") for name, table in tables.items()}, buckets=layout["buckets"])

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from leafwise.functions.encoders import hash_encoder
 from leafwise.operators import maintenance, parsing
 from leafwise.plans.ingest import ingest_batch
+from leafwise.plans.search import search_documents
+from leafwise.plans.staging import stage
 from leafwise.sources import files, tables
 from leafwise.streaming.ingest import stream_ingest
 
@@ -120,6 +122,31 @@ def test_ingest_with_vectors(spark, tmp_path):
     assert len(tables.read_documents(spark, path).first()["embedding"]) == 16
 
 
+def test_an_ingested_batch_can_be_searched(spark, tmp_path):
+    path, index, encoder = str(tmp_path / "table"), str(tmp_path / "index"), hash_encoder(16)
+
+    def add(number, *rows):
+        ingest_batch(batch(spark, *rows), path, number, encoder=encoder, index=index)
+
+    first = batch(spark, ("a", "red apples"), ("b", "green pears"), ("d", "apples and pears"))
+    ingest_batch(first, path, 0)
+    tables.write_index(parsing.parse_documents(first), index, encoder, buckets=2)
+    for _ in range(2):  # the second time as a replay
+        add(1, ("a", "blue plums"), ("c", "more apples"), ("e", ""))
+    asked = spark.createDataFrame([(0, "red apples"), (1, "plums")], "query_id long, query string")
+    found = search_documents(asked, tables.read_index(spark, index), encoder, fuzzy=False, knn=False)
+    assert {tuple(r) for r in found.select("query_id", "id").collect()} == {(0, "c"), (0, "d"), (1, "a")}
+    add(2, ("e", ""))  # no document
+    whole = tables.build_index(stage(tables.read_documents(spark, path), "documents"), encoder)
+    parts = tables.read_index(spark, index)
+    for name in ("term_stats", "field_stats", "postings", "vectors"):
+        table = getattr(whole, name)
+        rows = [sorted(map(str, df.select(*table.columns).collect())) for df in (table, getattr(parts, name))]
+        assert rows[0] == rows[1], name
+    with pytest.raises(ValueError):
+        ingest_batch(batch(spark, ("a", "x")), path, 3, index=index)
+
+
 def test_stream(spark, tmp_path):
     root, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
 

@@ -435,6 +435,7 @@ SELECT doc_id, unnest(range(len(ss))) AS pos, unnest(ss) AS sentence
 FROM (SELECT doc_id, {sentences("text")} AS ss FROM documents)""",
     "postings": with_(INDEXED) + "SELECT field, term, doc_id, tf, dl FROM postings",
     "term_stats": with_(INDEXED) + "SELECT field, term, df FROM term_stats",
+    "term_stats_in_batches": with_(INDEXED) + "SELECT field, term, df FROM term_stats",
     "field_stats": with_(INDEXED) + "SELECT field, n_docs, round(avgdl, 6) AS avgdl FROM field_stats",
     "hash_embedding": with_(DOCS)
     + f"""SELECT id, unnest(range(64)) AS dim, unnest([round(x, 6) FOR x IN v]) AS value

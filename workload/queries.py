@@ -1,5 +1,7 @@
 """Registered queries: each takes (spark, folder) and covers whole tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leafwise.functions.text import file_stem, split_sentences, strip_ws, tokenize
@@ -9,8 +11,9 @@ from leafwise.operators import indexing as ix
 from leafwise.operators.neighbours import ann_knn, knn_expression, knn_top_k
 from leafwise.operators.summarizing import rank_sentences, sentence_pool, summary_context
 from leafwise.plans import search as s
-from leafwise.plans.staging import stage
+from leafwise.plans.staging import shared_dir, stage
 from leafwise.plans.summaries import summarize
+from leafwise.sources import tables
 from leafwise.sources.corpus import read_corpus, read_table
 from workload.inputs import (
     ENCODER,
@@ -137,6 +140,20 @@ def term_stats(spark, folder):
     return ix.term_stats(ix.build_postings(parsed(spark, folder)))
 
 
+def term_stats_in_batches(spark, folder):
+    """Statistics of a stored index: every other document has another text at first, which a second batch replaces."""
+    documents = stage(parsed(spark, folder), "documents")
+    late = F.pmod(F.xxhash64("id"), F.lit(2)) == 1
+    path = f"{shared_dir(spark)}/leafwise/{uuid.uuid4().hex}/index"
+    early = documents.withColumn("content", F.when(late, F.lit("text that goes")).otherwise(F.col("content")))
+    tables.write_index(early, path, ENCODER, buckets=4)
+    tables.add_to_index(documents.filter(late), path, ENCODER)
+    found = tables.read_index(spark, path)
+    # postings and statistics are kept apart; both must be those of one build
+    counted = ix.term_stats(found.postings)
+    return counted.join(found.term_stats, ["field", "term", "df"]).select("field", "term", "df")
+
+
 def field_stats(spark, folder):
     stats = ix.field_stats(ix.build_postings(parsed(spark, folder)))
     return stats.select("field", "n_docs", F.round("avgdl", 6).alias("avgdl"))
@@ -373,6 +390,7 @@ REGISTERED = {
         sentences,
         postings,
         term_stats,
+        term_stats_in_batches,
         field_stats,
         hash_embedding,
         query_terms,
