@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from leafwise.llm import decontamination, language, near_duplicates, packing, quality, scoring, secrets, sharding, substrings, url_filters
+from leafwise.llm import decontamination, language, near_duplicates, packing, quality, scoring, secrets, sharding, sql, substrings, url_filters
 
 
 def _table(spark, sf_dir, name):
@@ -41,7 +41,8 @@ def op5_substring_dedup(spark, sf_dir):
 
 
 def op6_benchmark_decontamination(spark, sf_dir):
-    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("n_near")
 
 
 def op7_secret_scans(spark, sf_dir):
@@ -64,29 +65,12 @@ def op10_lm_scoring(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_sharding, op4_minhash_near_dedup, op5_substring_dedup, op6_benchmark_decontamination, op7_secret_scans, op8_quality_rules, op9_language_id, op10_lm_scoring)}
 
+#: Of the other queries' methods SQL has no counterpart; tests hold them against brute force.
 SQL = {
-    "op2_url_filters": r"""
-        WITH parts AS (
-          SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0
-                               THEN substr(url, strpos(url, '://') + 3) END AS rest
-          FROM pages),
-        named AS (
-          SELECT page_id,
-                 coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                                    'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-                 coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
-          FROM parts),
-        fits AS (
-          SELECT *, CASE
-              WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
-              WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
-              WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
-              WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
-              WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/'
-            END AS rule
-          FROM named)
-        SELECT page_id, host, path, rule,
-               CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/')
-                    THEN 'block' ELSE 'allow' END AS verdict
-        FROM fits""",
+    "op2_url_filters": sql.URL_FILTERS,
+    "op4_minhash_near_dedup": sql.NEAR_DEDUP,
+    "op5_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op6_benchmark_decontamination": sql.DECONTAMINATION,
+    "op7_secret_scans": sql.SECRET_SCANS,
+    "op8_quality_rules": sql.QUALITY_RULES,
 }
