@@ -2,9 +2,9 @@
 
 The terms are the words of the benchmark's windows. A first pass over the documents
 counts them, so that each window knows its rarest terms. A second pass stores the index:
-for documents in which some window's two rarest terms stand at the right distance, the
-postings (positions by term) of every benchmark term; no other document can hold a
-window. Phrases are then found on the postings alone: the positions of a window's rarest
+for documents in which some window's two rarest terms stand at the right distance, or
+its three rarest come close, the postings (positions by term) of every benchmark term;
+no other document can hold a window or come near one. Phrases are then found on the postings alone: the positions of a window's rarest
 term, less its offset in the window, are intersected with those of the next rarest and
 so on until nothing is left or the phrase is exact. Windows whose rarest terms come
 close without being the phrase are proximity matches.
@@ -57,6 +57,7 @@ class Queries:
         self.first_place = np.array([o[0] for o in self.order], dtype=np.int64)
         self.next_place = np.array([o[min(1, len(o) - 1)] for o in self.order], dtype=np.int64)
         self.next_term = np.array([w[o[min(1, len(o) - 1)]] for w, o in zip(self.windows, self.order)], dtype=np.int64)
+        self.third_term = np.array([w[o[NEAR_TERMS - 1]] if len(o) >= NEAR_TERMS else -1 for w, o in zip(self.windows, self.order)], dtype=np.int64)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Term number of each word, -1 for others."""
@@ -67,12 +68,21 @@ class Queries:
         return np.where(self.terms[at] == hashes, at, -1)
 
     def promising(self, words, number: np.ndarray) -> np.ndarray:
-        """The texts in which some window's two rarest terms stand as in the window."""
+        """The texts in which some window's two rarest terms stand as in the window, or its three rarest come close."""
         at = np.flatnonzero(number >= 0)
-        term = number[at]
+        n, term = len(number), number[at]
+        keys = np.sort(term * n + at)
         times = self.term_begin[term + 1] - self.term_begin[term]
         at, term = at[times > 0], term[times > 0]
         text, found = words.text_of(), np.zeros(len(words.first) - 1, dtype=bool)
+
+        def close(term, place):
+            """Whether ``term`` stands in the same text fewer than ``NEAR_SPAN`` words away."""
+            low = np.maximum(place - NEAR_SPAN + 1, words.first[text[place]])
+            high = np.minimum(place + NEAR_SPAN, words.first[text[place] + 1])
+            nearest = np.minimum(np.searchsorted(keys, term * n + low), len(keys) - 1)
+            return (keys[nearest] >= term * n + low) & (keys[nearest] < term * n + high)
+
         for a in range(0, len(at), 1 << 16):  # bounded, however many windows a term has
             t = term[a : a + (1 << 16)]
             times = self.term_begin[t + 1] - self.term_begin[t]
@@ -82,8 +92,12 @@ class Queries:
             place = np.repeat(at[a : a + (1 << 16)], times)
             start, own = place - self.first_place[window], text[place]
             fits = (start >= words.first[own]) & (start + self.size[window] <= words.first[own + 1])
-            start, window, own = start[fits], window[fits], own[fits]
-            found[own[number[start + self.next_place[window]] == self.next_term[window]]] = True
+            other = np.where(fits, start + self.next_place[window], place)
+            found[own[fits & (number[other] == self.next_term[window])]] = True
+            open_ = np.flatnonzero(~found[own] & (self.third_term[window] >= 0))
+            open_ = open_[close(self.next_term[window[open_]], place[open_])]
+            open_ = open_[close(self.third_term[window[open_]], place[open_])]
+            found[own[open_]] = True
         return found
 
     def matches(self, postings: dict[int, np.ndarray]):

@@ -55,6 +55,13 @@ def test_proximity(spark):
     assert found == {1: (1, 1), 2: (3, 0), 3: (1, 0)}
 
 
+def test_proximity_without_a_phrase(spark):
+    docs = [(1, "x alpha y beta gamma z delta", "en", "s"), (2, "alpha beta " + "filler " * 60 + "gamma delta", "en", "s"), (3, "delta gamma", "en", "s"), (4, "beta alpha", "en", "s")]
+    benchmark = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    found = {r["doc_id"]: (r["n_items"], r["n_near"]) for r in contamination(frame(spark, docs), benchmark).collect()}
+    assert found == {1: (0, 1), 2: (0, 0), 3: (0, 0), 4: (0, 0)}
+
+
 def test_nothing_to_find(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r["n_hit"] for r in contamination(frame(spark, documents()), none).collect()} == {0}

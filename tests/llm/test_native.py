@@ -7,9 +7,8 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from leafwise.llm import sharding
-from leafwise.llm.queries import URL_RULES, SQL, op2_url_filters
+from leafwise.llm.queries import URL_RULES
 from leafwise.llm.url_filters import judge_urls
-from tests.compare import connect, oracle_rows, spark_rows
 from tests.llm.cases import SMALL, documents, empty, frame, rows
 
 URLS = [
@@ -60,10 +59,6 @@ def test_no_rules_and_no_pages(spark):
     assert judge_urls(pages(spark).limit(0), rules).collect() == []
 
 
-def test_urls_match_sql(spark):
-    assert spark_rows(op2_url_filters(spark, SMALL)) == oracle_rows(connect(SMALL), SQL["op2_url_filters"])
-
-
 def test_shards(spark):
     docs = documents() + [(9, "copy", "en", "s")] * 300 + [(None, None, None, None)] * 3
     found = sharding.shard_rows(frame(spark, docs), shards=7).collect()
