@@ -46,6 +46,11 @@ def op6_benchmark_decontamination(spark, sf_dir):
 
 
 def op7_secret_scans(spark, sf_dir):
+    """With the columns that its SQL has; ``op7_secret_classes`` has those of the base spans' classes too."""
+    return op7_secret_classes(spark, sf_dir).drop("base_classes", "n_base_live", "n_base_copied")
+
+
+def op7_secret_classes(spark, sf_dir):
     return secrets.scan_secrets(_table(spark, sf_dir, "documents")).drop("found")
 
 
@@ -63,7 +68,7 @@ def op10_lm_scoring(spark, sf_dir):
     return scoring.score_documents(_table(spark, sf_dir, "documents"), training)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_sharding, op4_minhash_near_dedup, op5_substring_dedup, op6_benchmark_decontamination, op7_secret_scans, op8_quality_rules, op9_language_id, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_sharding, op4_minhash_near_dedup, op5_substring_dedup, op6_benchmark_decontamination, op7_secret_scans, op7_secret_classes, op8_quality_rules, op9_language_id, op10_lm_scoring)}
 
 #: Of the other queries' methods SQL has no counterpart; tests hold them against brute force.
 SQL = {

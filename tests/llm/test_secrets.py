@@ -54,6 +54,28 @@ def test_owners_tell_live_from_copied(spark):
     assert found[300_001]["spans"] == joined(base(EXTRA[0][1]))
 
 
+def test_base_spans_have_classes(spark):
+    """An assigned value, access key or hex value of several owners is copied, whatever stands before it."""
+    example, own, token = "AKIA" + "E" * 16, "AKIA" + "F" * 16, "c0ffee" * 5
+    docs = [
+        (1, f"key {example} and {own}", "en", "src1"),
+        (2, f"key {example} Password='{token}'", "en", "src2"),
+        (3, f"see {token} api_key: hunter22", "en", "src3"),
+        (4, f"secret={COPIED}", "en", "src1"),
+        (5, f"sample {COPIED}", "en", "src2"),
+        (6, "nothing", "en", "src2"),
+    ]
+    found = {r["doc_id"]: r for r in secrets.scan_secrets(frame(spark, docs)).collect()}
+    assert found[1]["base_classes"] == "access:4:24:copied,access:29:49:live"
+    assert found[2]["base_classes"] == "access:4:24:copied,assign:25:65:copied,hex:35:65:copied"
+    assert found[3]["base_classes"] == "hex:4:34:copied,assign:35:52:live"
+    assert found[4]["base_classes"] == "assign:0:27:copied" and found[5]["n_copied"] == 1
+    assert found[6]["base_classes"] == found[6]["spans"] == ""
+    assert [(found[i]["n_base_live"], found[i]["n_base_copied"]) for i in range(1, 7)] == [(1, 1), (0, 3), (1, 1), (0, 1), (0, 0), (0, 0)]
+    assert all(found[d[0]]["base_sha256"] == hashlib.sha256(joined(base(d[1])).encode()).hexdigest() for d in docs)
+    assert all(found[d[0]]["spans"] == joined(base(d[1])) for d in docs)
+
+
 def test_masking(spark):
     docs = frame(spark, EXTRA[:3] + [(1, None, None, None), (2, "plain", "en", "s")])
     found = secrets.scan_secrets(docs, carry=("text",)).withColumn("masked", secrets.masked(F.col("text"), F.col("found")))
