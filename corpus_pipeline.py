@@ -63,7 +63,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask every base span and every candidate of one owner; copied examples stay."""
+    """Mask every base span and every candidate that looks live; copied candidates stay."""
     rest = [c for c in _columns(docs) if c != "doc_id"]
     found = secrets.scan_secrets(docs, carry=tuple(rest))
     text = secrets.masked(F.col("text"), F.col("found"))

@@ -5,7 +5,8 @@ lies between its matches, so running sums over the lengths of both give their pl
 Beside the base kinds there are candidates: long mixed tokens that look like
 credentials. The hash of each value, of base spans and of candidates alike, is counted
 over the corpus by distinct owners and repositories. A value that many owners hold is
-an example that was copied about; one of a single owner looks live. Live candidates
+an example that was copied about, and so is one that stands in many repositories of
+one owner; one of a single owner and few repositories looks live. Live candidates
 become spans of their own; base spans stay and are told by their class. Hashes are
 shuffled, and the rows of those documents only that have a span.
 """
@@ -26,6 +27,8 @@ KINDS = ("assign", "access", "hex", "live")
 LEAST_ASSIGNED = 6
 #: A value held by more owners than this is a copied example.
 MAX_OWNERS = 1
+#: So is one in more repositories than this, whoever owns them.
+MAX_REPOSITORIES = 10
 
 
 def running_sums(values: Column, size: Column) -> Column:
@@ -76,6 +79,7 @@ def scan_secrets(
     text_column: str = "text",
     owner_column: str = "source",
     carry: tuple[str, ...] = (),
+    max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
     """One row per document: the base spans, and those of candidates that look live.
 
@@ -83,12 +87,12 @@ def scan_secrets(
     base_classes, n_base_live, n_base_copied, found`` and the columns named in
     ``carry``. ``found`` is the sorted array of all spans; ``n_live`` and ``n_copied``
     count candidates, the latter those whose value more than ``max_owners`` owners
-    hold. ``base_classes`` lists the base spans with ``live`` or ``copied`` behind
+    hold or more than ``max_repositories`` repositories. ``base_classes`` lists the base spans with ``live`` or ``copied`` behind
     each, by the same rule; they are in ``spans`` and ``found`` either way. The value
     of an assignment is what is assigned, so the same key counts as one value in
     whatever way it was found. A candidate that overlaps a base span is not listed
-    again. A repository is a document id; a null id or owner counts as one repository
-    or owner of its own kind. A null text is empty and has no spans; rows that repeat
+    again. A repository is a document id of an owner; a null id or owner counts as one
+    repository or owner of its own kind. A null text is empty and has no spans; rows that repeat
     are all returned; an empty table gives no rows.
     """
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
@@ -118,7 +122,8 @@ def scan_secrets(
     holders = each.groupBy("hash", "owner", "doc_id").agg(F.count(F.lit(1)).alias("times"))
     owners = holders.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     owned = owners.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
-    copied = stage(owned.filter(F.col("owners") > max_owners).select("hash", F.lit(True).alias("copied")), "copied")
+    many = (F.col("owners") > max_owners) | (F.col("repositories") > max_repositories)
+    copied = stage(owned.filter(many).select("hash", F.lit(True).alias("copied")), "copied")
     judged = join_small(each.select("row", "span", "hash"), copied, "hash", salt_by="row", how="left")
     known = F.struct("span.start", "span.kind", "span.end", F.col("copied").isNull().alias("live"))
     by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(known)).alias("judged"))

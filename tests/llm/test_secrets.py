@@ -76,6 +76,26 @@ def test_base_spans_have_classes(spark):
     assert all(found[d[0]]["spans"] == joined(base(d[1])) for d in docs)
 
 
+def test_many_repositories_of_one_owner_are_copies(spark):
+    """Repositories are told apart by id: a value that one document repeats stays live."""
+    most = secrets.MAX_REPOSITORIES
+    docs = [(i, f"code {COPIED} end", "en", "hot") for i in range(most + 1)]
+    docs += [(100 + i, f"code {LIVE} end", "en", "hot") for i in range(most)] + [(100, f"code {LIVE} end", "en", "hot")]
+    docs += [(200, f"AKIA{'D' * 16} " * 50, "en", "hot")] + [(300 + i, f"token={'ab1' * 4}", "en", "hot") for i in range(most + 1)]
+    found = secrets.scan_secrets(frame(spark, docs), carry=("text",)).withColumn("masked", secrets.masked(F.col("text"), F.col("found")))
+    for r in found.collect():
+        if r["doc_id"] < 100:
+            assert (r["n_live"], r["n_copied"], r["masked"]) == (0, 1, r["text"])
+        elif r["doc_id"] < 200:
+            assert (r["n_live"], r["n_copied"], r["masked"]) == (1, 0, "code [SECRET] end")
+        elif r["doc_id"] == 200:
+            assert (r["n_base_live"], r["n_base_copied"]) == (50, 0)
+        else:
+            assert (r["n_base_live"], r["n_base_copied"], r["masked"]) == (0, 1, "[SECRET]")
+    kept = secrets.scan_secrets(frame(spark, docs), max_repositories=most + 1)
+    assert {(r["n_copied"], r["n_base_copied"]) for r in kept.collect()} == {(0, 0)}
+
+
 def test_masking(spark):
     docs = frame(spark, EXTRA[:3] + [(1, None, None, None), (2, "plain", "en", "s")])
     found = secrets.scan_secrets(docs, carry=("text",)).withColumn("masked", secrets.masked(F.col("text"), F.col("found")))
