@@ -18,14 +18,21 @@ def _columns(docs: DataFrame) -> list[str]:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out documents in which no language can be told, for want of letters.
+    """Leave out documents without letters, and those whose cosine with every language may be chance.
 
-    A low cosine is no reason: short clean texts have one too. Languages are learned
-    from the labels of all documents of this stage. The columns stay as they are:
-    ``lang`` is the label, not the prediction.
+    Languages, and the length from which on a low cosine tells, are learned from all
+    labelled documents of this stage. Shorter texts pass if they have a letter: clean
+    ones have low cosines too. So do all with letters if too few are labelled. A long
+    text in a language without labels goes. The columns stay as they are: ``lang`` is
+    the label, not the prediction.
     """
-    judged = language.nearest(docs.select(*_columns(docs)), language.prototypes(docs))
-    return judged.filter(F.col("lang_pred") != language.UNKNOWN).drop("lang_pred", "score")
+    profile = stage(language.prototypes(docs), "profile")
+    least = language.least_triples(language.nearest(docs.select("text", "lang").dropna(), profile))
+    judged = language.nearest(docs.select(*_columns(docs)), profile)
+    told = F.col("n_triples") > 0
+    if least is not None:
+        told &= (F.col("n_triples") < least) | (F.col("score") >= language.chance())
+    return judged.filter(told).drop("lang_pred", "score", "n_triples")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

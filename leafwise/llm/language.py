@@ -23,6 +23,10 @@ LETTERS = 4096
 UNKNOWN = "und"
 #: Texts are cut into pieces of so many characters before their n-grams are counted.
 PIECE = 1 << 20
+#: Cosines of unrelated vectors lie within so many of their standard deviations.
+CHANCE = 3
+#: Texts of a length class tell a language if their median cosine is so many times that bound, in so many learned texts.
+CLEAR, LEAST_LEARNED = 4, 100
 
 
 def letter_vectors(dimensions: int) -> np.ndarray:
@@ -70,7 +74,10 @@ class Encoder:
 
     def vector(self, text: str | None) -> np.ndarray | None:
         """The unit vector of a text; none without letters."""
-        code, n = self.grams(text or "")
+        return self.bundle(*self.grams(text or ""))
+
+    def bundle(self, code: np.ndarray, n: np.ndarray) -> np.ndarray | None:
+        """The unit vector of letter triples."""
         if not len(code):
             return None
         total = np.zeros(self.tables[2].shape[1], dtype=np.float32)
@@ -107,7 +114,7 @@ def prototypes(documents: DataFrame, dimensions: int = DIMENSIONS, text_column:
 
 
 def nearest(documents: DataFrame, profile: DataFrame, dimensions: int = DIMENSIONS, text_column: str = "text", unknown: str = UNKNOWN) -> DataFrame:
-    """``documents`` with ``lang_pred`` and ``score``.
+    """``documents`` with ``lang_pred``, ``score`` and ``n_triples``, the text's count of letter triples.
 
     The profile holds one vector per language and is read to the driver: its size is
     that of the languages. Ties go to the label that sorts first. Without any learned
@@ -127,9 +134,11 @@ def nearest(documents: DataFrame, profile: DataFrame, dimensions: int = DIMENSIO
     def compare(batches):
         encoder = Encoder(dimensions)
         for batch in batches:
-            found, scores = [], []
+            found, scores, triples = [], [], []
             for text in batch.column(text_column).to_pylist():
-                vector = encoder.vector(text) if names else None
+                code, n = encoder.grams(text or "")
+                triples.append(int(n.sum()))
+                vector = encoder.bundle(code, n) if names else None
                 if vector is None:
                     found.append(unknown)
                     scores.append(0.0)
@@ -138,10 +147,29 @@ def nearest(documents: DataFrame, profile: DataFrame, dimensions: int = DIMENSIO
                     best = int(cosine.argmax())
                     found.append(names[best])
                     scores.append(float(min(max(cosine[best], 0.0), 1.0)))
-            columns = [*(batch.column(c) for c in kept), pa.array(found, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score"])
+            columns = [*(batch.column(c) for c in kept), pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(triples, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score", "n_triples"])
+
+    return documents.mapInArrow(compare, f"{schema}, lang_pred string, score double, n_triples long")
+
+
+def chance(dimensions: int = DIMENSIONS) -> float:
+    """The cosine that a text unlike all learned ones may have with a prototype."""
+    return CHANCE / dimensions**0.5
 
-    return documents.mapInArrow(compare, f"{schema}, lang_pred string, score double")
+
+def least_triples(judged: DataFrame, dimensions: int = DIMENSIONS) -> int | None:
+    """Letter triples from which on a cosine within ``chance`` means that a text is in no learned language.
+
+    Learned from ``judged``, the labelled texts as ``nearest`` returns them. Texts of a
+    few words lie near chance even if they are clean, so their cosine decides nothing.
+    Of the lengths between powers of two, the shortest counts whose texts stand clear
+    of chance. None if no length has texts enough.
+    """
+    size = F.floor(F.log2("n_triples")).alias("size")
+    each = judged.filter("n_triples > 0").groupBy(size).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", 0.5).alias("middle"))
+    clear = [r["size"] for r in each.collect() if r["n"] >= LEAST_LEARNED and r["middle"] >= CLEAR * chance(dimensions)]
+    return 2 ** min(clear) if clear else None
 
 
 def identify_languages(
@@ -164,4 +192,4 @@ def identify_languages(
     learned = F.coalesce(training, F.lit(False))
     profile = prototypes(documents.filter(learned), dimensions, text_column, label_column)
     chosen = documents.select(F.col(f"`{id_column}`").alias("doc_id"), (~learned).alias("held_out"), F.col(f"`{text_column}`").alias("text"))
-    return nearest(chosen, profile, dimensions).drop("text")
+    return nearest(chosen, profile, dimensions).drop("text", "n_triples")

@@ -1,3 +1,4 @@
+import random
 import sys
 from pathlib import Path
 
@@ -50,3 +51,21 @@ def test_stages_one_after_another(spark):
 @pytest.mark.parametrize("sf", [SF])
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 100
+
+
+def test_language_stage_rejects_by_cosine(spark):
+    """Gibberish and code go, labelled or not; clean texts, short ones and a table without labels stay."""
+    rng = random.Random(5)
+    noise = lambda: " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxyz", k=7)) for _ in range(200))
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in given.collect()]
+    junk = [(900_000 + i, noise(), (None, "en")[i % 2], "s") for i in range(6)]
+    junk += [(900_010, "qx[i]=zk(jj,vv)^wq;kk++;" * 90, None, "s")]
+    short = [(900_020, "Avec.", "fr", "s"), (900_021, "Von.", None, "s")]
+    none = [(900_030, "12 + 3", "en", "s"), (900_031, None, "en", "s")]
+    everything = clean + junk + short + none
+    kept = {r[0] for r in corpus_pipeline.language_id(spark, frame(spark, everything), SF).select("doc_id").collect()}
+    assert {d[0] for d in everything} - kept == {d[0] for d in junk + none}
+    bare = [(i, text, None, s) for i, text, _, s in everything]
+    kept = {r[0] for r in corpus_pipeline.language_id(spark, frame(spark, bare), SF).select("doc_id").collect()}
+    assert {d[0] for d in bare} - kept == {d[0] for d in none}
