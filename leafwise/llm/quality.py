@@ -7,7 +7,8 @@ The union of these spans is what repeats, the longest of them the longest repeat
 
 Only words inside windows of ``WINDOW`` words that occur twice can be part of a
 repeat, so the suffix array is built over those, by doubling prefixes; in most texts
-they are few.
+they are few. The base rule counts the words in those windows; the method's fraction
+is that of the union of the spans.
 """
 
 import numpy as np
@@ -28,7 +29,7 @@ _NOT_WORD_CHARS = b" \t\n\v\f\r" + bytes(range(0x80, 0xC0))
 
 
 def repeats(words, hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """For each word the length of the longest repeat that starts there, and whether one covers it.
+    """For each word the length of the longest repeat that starts there, and whether a repeated window covers it.
 
     Positions are those of all texts together; a repeat lies within one text.
     """
@@ -71,6 +72,13 @@ def repeats(words, hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray
     return length, covered
 
 
+def covered_by(length: np.ndarray) -> np.ndarray:
+    """Whether each word lies in one of the repeats that start at the words and have these lengths."""
+    at = np.arange(len(length))
+    ends = np.maximum.accumulate(at + length) if len(length) else at
+    return ends > at
+
+
 class Spans:
     """Hashes of any span of words, from sums made once."""
 
@@ -114,7 +122,7 @@ def quality_rules(
     """Counts, the base rule and the verdict of every row of ``documents``.
 
     ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept, longest_repeat``. A text fails the method when repeats cover more than
+    kept, longest_repeat``. A text fails the method when the spans of shared prefixes cover more than
     ``max_covered_percent`` of its words or the longest has more than ``max_longest``
     words. A null or blank text has no words and fails the base rule. Rows that repeat
     are judged alike; an empty table gives no rows. Other columns are left out.
@@ -132,6 +140,8 @@ def quality_rules(
                 n = words.counts
                 totals = np.concatenate(([0], np.cumsum(covered)))
                 n_repeat = totals[words.first[1:]] - totals[words.first[:-1]]
+                totals = np.concatenate(([0], np.cumsum(covered_by(length))))
+                n_covered = totals[words.first[1:]] - totals[words.first[:-1]]
                 longest = np.zeros(len(own), dtype=np.int64)
                 np.maximum.at(longest, words.text_of(), length)
                 chars = [len(t.translate(None, _NOT_WORD_CHARS)) for t in own]
@@ -139,7 +149,7 @@ def quality_rules(
                 lines = [[x for x in t.split(b"\n") if x and not x.isspace()] for t in own]
                 dup = [len(x) - len(set(x)) for x in lines]
                 failed = (n < MIN_WORDS) | (100 * n_repeat > MAX_REPEATED_PERCENT * n)
-                kept = ~failed & (100 * n_repeat <= max_covered_percent * n) & (longest <= max_longest)
+                kept = ~failed & (100 * n_covered <= max_covered_percent * n) & (longest <= max_longest)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),

@@ -1,6 +1,9 @@
 import re
 
-from leafwise.llm.quality import quality_rules
+import numpy as np
+
+from leafwise.llm.quality import covered_by, quality_rules, repeats
+from leafwise.llm.words import as_bytes, hash_words, split_words
 from tests.llm.cases import documents, empty, frame, rows
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "longest_repeat"]
@@ -44,5 +47,15 @@ def test_against_brute_force(spark):
     assert len(found) == len(wanted)
 
 
+def test_spans_of_shared_prefixes_cover_what_windows_do():
+    assert covered_by(np.array([0, 3, 0, 0, 0, 2, 1, 0])).tolist() == [False, True, True, True, False, True, True, False]
+    assert covered_by(np.zeros(0, dtype=np.int64)).tolist() == []
+    import pyarrow as pa
+
+    words = split_words(as_bytes(pa.array([d[1] for d in documents()] + ["same " * 300, "a b c d e f g h " * 9 + "x"])))
+    length, windows = repeats(words, hash_words(words))
+    assert windows.any() and (covered_by(length) == windows).all()
+
+
 def test_empty_table(spark):
     assert quality_rules(empty(spark)).collect() == []
