@@ -2,7 +2,22 @@
 
 from pyspark.sql import functions as F
 
-from leafwise.llm import decontamination, language, near_duplicates, packing, quality, scoring, secrets, sharding, sql, substrings, url_filters
+from leafwise.llm import (
+    decontamination,
+    language,
+    manifest,
+    near_duplicates,
+    packing,
+    prefix_forest,
+    quality,
+    scoring,
+    secrets,
+    sharding,
+    sql,
+    substrings,
+    url_filters,
+    whitening,
+)
 
 
 def _table(spark, sf_dir, name):
@@ -68,7 +83,23 @@ def op10_lm_scoring(spark, sf_dir):
     return scoring.score_documents(_table(spark, sf_dir, "documents"), training)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_sharding, op4_minhash_near_dedup, op5_substring_dedup, op6_benchmark_decontamination, op7_secret_scans, op7_secret_classes, op8_quality_rules, op9_language_id, op10_lm_scoring)}
+def op11_approximate_neighbours(spark, sf_dir):
+    embeddings = _table(spark, sf_dir, "embeddings")
+    return prefix_forest.nearest(embeddings, embeddings.filter("vec_id % 20 = 0"))
+
+
+def op12_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    """Where 2 divides the CRC of the id, the text is shown without its line feeds."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest.merkle_manifest(_table(spark, sf_dir, "documents"), shown={"text": text})
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_sharding, op4_minhash_near_dedup, op5_substring_dedup, op6_benchmark_decontamination, op7_secret_scans, op7_secret_classes, op8_quality_rules, op9_language_id, op10_lm_scoring, op11_approximate_neighbours, op12_embedding_whitening, op13_merkle_manifest)}
 
 #: Of the other queries' methods SQL has no counterpart; tests hold them against brute force.
 SQL = {
