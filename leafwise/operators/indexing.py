@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwise.functions.arrays import run_lengths
+from leafwise.functions.arrays import let, run_lengths
 from leafwise.functions.text import tokenize
 from leafwise.operators.parsing import embedding_text
 from leafwise.schema import FIELDS
@@ -15,22 +15,26 @@ def _field_text(field, data_type):
     return F.coalesce(column, F.lit(""))
 
 
+def document_terms(documents: DataFrame, fields=FIELDS) -> DataFrame:
+    """``(doc_id, fields)`` per document: of each non-empty field ``(field, dl, terms)``; narrow, no shuffle."""
+    types = {f.name: f.dataType.typeName() for f in documents.schema}
+
+    def counted(field):
+        tokens = F.sort_array(tokenize(_field_text(field, types[field])))
+        return let(tokens, lambda t: F.struct(F.lit(field).alias("field"), F.size(t).cast("bigint").alias("dl"), run_lengths(t).alias("terms")))
+
+    full = F.filter(F.array(*[counted(f) for f in fields]), lambda f: f["dl"] > 0)
+    return documents.select(F.col("id").alias("doc_id"), full.alias("fields"))
+
+
+def by_field(terms: DataFrame) -> DataFrame:
+    """``(field, doc_id, dl, terms)``: a row per field of ``document_terms``."""
+    return terms.select("doc_id", F.explode("fields").alias("f")).select("f.field", "doc_id", "f.dl", "f.terms")
+
+
 def field_terms(documents: DataFrame, fields=FIELDS) -> DataFrame:
     """``(field, doc_id, dl, terms)`` per non-empty field; narrow, no shuffle."""
-    types = {f.name: f.dataType.typeName() for f in documents.schema}
-    tokens = [
-        F.struct(
-            F.lit(f).alias("field"), F.sort_array(tokenize(_field_text(f, types[f]))).alias("tokens")
-        )
-        for f in fields
-    ]
-    exploded = documents.select(F.col("id").alias("doc_id"), F.explode(F.array(*tokens)).alias("f"))
-    return exploded.filter(F.size("f.tokens") > 0).select(
-        "f.field",
-        "doc_id",
-        F.size("f.tokens").cast("bigint").alias("dl"),
-        run_lengths(F.col("f.tokens")).alias("terms"),
-    )
+    return by_field(document_terms(documents, fields))
 
 
 def postings_of(terms: DataFrame) -> DataFrame:

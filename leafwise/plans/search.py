@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.functions.text import blank_to_null
+from leafwise.operators.blocks import best_rows, hit_counts, page_scores
 from leafwise.operators.highlighting import highlight, query_expansions, snippet
 from leafwise.operators.matching import (
     exact_words,
@@ -15,8 +16,7 @@ from leafwise.operators.matching import (
     word_table,
 )
 from leafwise.operators.neighbours import knn_top_k
-from leafwise.operators.ranking import count_total, deepest_rank, page_bounds, rank_and_page
-from leafwise.operators.scoring import hybrid_fuse, keyword_scores
+from leafwise.operators.ranking import deepest_rank, page_bounds, rank_and_page
 from leafwise.operators.summarizing import join_documents
 from leafwise.plans.joins import join_small, top_per_group
 from leafwise.plans.staging import stage
@@ -49,24 +49,28 @@ def expand(terms: DataFrame, index, fuzzy=True) -> DataFrame:
     return expand_words(words, index.term_stats) if fuzzy else exact_words(words, index.term_stats)
 
 
-def search_pages(queries: DataFrame, index, encoder, terms: DataFrame, expanded: DataFrame, knn=True):
+def search_pages(queries: DataFrame, index, encoder, terms: DataFrame, expanded: DataFrame, knn=True, skip=True):
     """``(pages, totals)``: ranked rows on each query's page, and hits per query.
 
-    Hits are staged once, since both results read all of them.
+    Both come from one pass over the blocks of the batch's words, which gives out the
+    rows of pages and counts only; see ``operators.blocks``.
     """
-    hits = keyword_scores(terms, expanded, index.postings, index.field_stats, index.buckets)
-    if knn:
-        hits = hybrid_fuse(hits, knn_top_k(index.vectors, query_vectors(queries, encoder)))
-    hits = stage(hits, "hits")
-    blanks, deepest = page_bounds(queries.withColumn("blank", is_blank()), "blank").agg(
+    blanks = is_blank()
+    spoken = queries.filter(~blanks)
+    bounds = page_bounds(spoken)
+    # no row of a page without rows is wanted
+    depths = bounds.select("query_id", F.when(F.col("last_rank") >= F.col("first_rank"), F.col("last_rank")).otherwise(0).alias("depth"))
+    near = knn_top_k(index.vectors, query_vectors(queries, encoder)) if knn else None
+    best = best_rows(terms, expanded, depths, index.blocks, index.places, index.field_stats, near, index.dead, index.buckets, skip)
+    n_blank, deepest = page_bounds(queries.withColumn("blank", blanks), "blank").agg(
         F.count_if("blank"), F.max(F.when(~F.col("blank"), F.col("last_rank")))
     ).first()
-    spoken = queries.filter(~is_blank())
-    pages, totals = rank_and_page(hits, spoken, deepest or 0), count_total(hits, spoken)
-    if blanks:
+    pages = rank_and_page(page_scores(best, index.places), spoken, deepest or 0)
+    totals = hit_counts(best, spoken)
+    if n_blank:
         every = F.lit(index.documents.count()).cast("bigint")
         pages = pages.unionByName(blank_pages(queries, index.documents))
-        totals = totals.unionByName(queries.filter(is_blank()).select("query_id", every.alias("total")))
+        totals = totals.unionByName(queries.filter(blanks).select("query_id", every.alias("total")))
     return pages, totals
 
 

@@ -15,7 +15,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafwise.operators.blocks import BLOCKS, block_postings, places_of, postings_from
 from leafwise.operators.indexing import (
+    by_field,
+    document_terms,
     embed_documents,
     field_stats_of,
     field_terms,
@@ -32,7 +35,9 @@ from leafwise.schema import DOCUMENTS
 # a frequent term is not one task's work.
 WRITERS_PER_BUCKET = 4
 LAYOUT = "buckets int, parts array<int>, replacing array<int>"
-STORED_POSTINGS = "term string, doc_id string, tf bigint, dl bigint, field string, bucket int"
+STORED_BLOCKS = f"{BLOCKS}, bucket int"
+# Bits of a shard's number below those of the part it belongs to.
+PART_SHIFT = 52
 
 
 def _complete(spark: SparkSession, path: str, prefix: str) -> list[str]:
@@ -129,46 +134,60 @@ def rewrite(spark: SparkSession, path: str, predicate=None, schema=DOCUMENTS) ->
 
 @dataclass
 class Index:
-    """The tables a search reads. ``buckets`` is set when they are stored by bucket."""
+    """The tables a search reads. ``buckets`` is set when they are stored by bucket.
+
+    ``places`` numbers the documents by shard, ``dead`` those places whose document a
+    later part replaces; see ``operators.blocks``.
+    """
 
     documents: DataFrame
-    postings: DataFrame
+    blocks: DataFrame
+    places: DataFrame
     term_stats: DataFrame
     field_stats: DataFrame
     vectors: DataFrame
+    postings: DataFrame
+    dead: DataFrame | None = None
     buckets: int | None = None
 
 
 def build_index(documents: DataFrame, encoder, vectors: DataFrame | None = None) -> Index:
     """Index tables of a document table that is cheap to read again.
 
-    Texts are tokenised once: the term counts per document are staged, and postings
-    and statistics are read from them.
+    Texts are tokenised once: the term counts per document are staged, and postings,
+    blocks and statistics are read from them.
     """
-    terms = stage(field_terms(documents), "field_terms")
-    postings = postings_of(terms)
+    terms = stage(document_terms(documents), "document_terms")
+    fields = by_field(terms)
+    postings = postings_of(fields)
     if vectors is None:
         vectors = stage(embed_documents(documents, encoder), "vectors")
+    blocks = stage(block_postings(terms), "blocks")
     return Index(
         documents=documents,
+        blocks=blocks,
+        places=places_of(blocks),
         postings=postings,
         term_stats=stage(term_stats(postings), "term_stats"),
-        field_stats=stage(field_stats_of(terms), "field_stats"),
+        field_stats=stage(field_stats_of(fields), "field_stats"),
         vectors=vectors,
     )
 
 
 def _write_part(documents: DataFrame, folder: str, encoder, buckets: int) -> DataFrame:
-    """Write postings, documents and vectors of a staged table; returns its staged term lists."""
-    spread = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(WRITERS_PER_BUCKET))
-    terms = stage(field_terms(documents), "field_terms")
-    postings = postings_of(terms).withColumn("bucket", term_bucket(F.col("term"), buckets))
+    """Write blocks, documents and vectors of a staged table; returns its staged term lists."""
+    spread = F.pmod(F.xxhash64(F.col("shard")), F.lit(WRITERS_PER_BUCKET))
+    terms = stage(document_terms(documents), "document_terms")
+    blocks = stage(block_postings(terms), "blocks").withColumn("bucket", term_bucket(F.col("term"), buckets))
+    listed = F.col("ids").isNotNull()
+    blocks.filter(listed).drop("field", "bucket").write.mode("overwrite").parquet(f"{folder}/shards")
     (
-        postings.repartition("field", "bucket", spread)
+        blocks.filter(~listed).drop("ids")
+        .repartition("field", "bucket", spread)
         .sortWithinPartitions("field", "bucket", "term")
         .write.mode("overwrite")
         .partitionBy("field", "bucket")
-        .parquet(f"{folder}/postings")
+        .parquet(f"{folder}/blocks")
     )
     stored = documents.withColumn("bucket", term_bucket(F.col("id"), buckets))
     (
@@ -179,7 +198,7 @@ def _write_part(documents: DataFrame, folder: str, encoder, buckets: int) -> Dat
         .parquet(f"{folder}/documents")
     )
     embed_documents(documents, encoder).write.mode("overwrite").parquet(f"{folder}/vectors")
-    return terms
+    return by_field(terms)
 
 
 def _publish(spark: SparkSession, path: str, version: int, buckets: int, parts: list[int], replacing: list[int]) -> None:
@@ -191,8 +210,8 @@ def _publish(spark: SparkSession, path: str, version: int, buckets: int, parts:
 def write_index(documents: DataFrame, path: str, encoder, buckets: int = 64) -> None:
     """Store the index tables below ``path`` as a new version of one part.
 
-    Postings lie in folders by field and hash of the term, documents by hash of the
-    id. A search joins on the bucket as well, so that only the folders with its
+    Blocks of postings lie in folders by field and hash of the term, documents by hash
+    of the id. A search joins on the bucket as well, so that only the folders with its
     terms and its page are read. ``WRITERS_PER_BUCKET`` tasks share each bucket. The
     layout is written last and publishes the version; until then the one before is read.
     """
@@ -262,23 +281,42 @@ def _layout(spark: SparkSession, path: str):
 
 def _read_parts(spark: SparkSession, path: str, number: int, layout) -> dict[str, DataFrame]:
     """Tables of a version; those in parts name the part and leave out what a later part replaces."""
-    hidden = None
+    hidden, small = None, False
     if layout["replacing"]:
-        hidden = spark.read.schema("id string, part int").parquet(*(f"{path}/version={v}/replaced" for v in layout["replacing"]))
-        if fits_broadcast(hidden):
-            hidden = F.broadcast(hidden)
-
-    def parts_of(name, key, schema=None):
-        reader = spark.read.schema(schema) if schema else spark.read
-        tables = [reader.parquet(f"{path}/version={p}/{name}").withColumn("part", F.lit(p)) for p in layout["parts"]]
-        whole = reduce(DataFrame.unionByName, tables)
-        return whole if hidden is None else whole.join(hidden.withColumnRenamed("id", key), [key, "part"], "left_anti")
-
+        hidden = spark.read.schema("id string, part int").parquet(*(f"{path}/version={v}/replaced" for v in layout["replacing"])).distinct()
+        small = fits_broadcast(hidden)
+
+    def alive(rows, key):
+        if hidden is None:
+            return rows
+        gone = hidden.withColumnRenamed("id", key)
+        return rows.join(F.broadcast(gone) if small else gone, [key, "part"], "left_anti")
+
+    def parts_of(name):
+        tables = [spark.read.parquet(f"{path}/version={p}/{name}").withColumn("part", F.lit(p)) for p in layout["parts"]]
+        return alive(reduce(DataFrame.unionByName, tables), "id")
+
+    def shard(part):
+        return F.col("shard") + F.lit(part << PART_SHIFT)
+
+    stored = [spark.read.schema(STORED_BLOCKS.replace("ids array<string>, ", "")).parquet(f"{path}/version={p}/blocks").withColumn("shard", shard(p)) for p in layout["parts"]]
+    listed = [spark.read.schema("shard long, ids array<string>").parquet(f"{path}/version={p}/shards").withColumn("shard", shard(p)) for p in layout["parts"]]
+    blocks = reduce(DataFrame.unionByName, stored).withColumn("ids", F.lit(None).cast("array<string>"))
+    shards = reduce(DataFrame.unionByName, listed)
+    blocks = blocks.unionByName(shards, allowMissingColumns=True)
+    every = places_of(shards).withColumn("part", F.shiftright("shard", PART_SHIFT).cast("int"))
+    places = alive(every, "doc_id").drop("part")
+    dead = None
+    if hidden is not None:
+        dead = join_small(every, hidden.withColumnRenamed("id", "doc_id"), ["doc_id", "part"], salt_by="ord").select("shard", "ord")
     stats = {name: spark.read.parquet(f"{path}/version={number}/{name}") for name in ("term_stats", "field_stats")}
     return {
-        "documents": parts_of("documents", "id"),
-        "postings": parts_of("postings", "doc_id", STORED_POSTINGS),
-        "vectors": parts_of("vectors", "id"),
+        "documents": parts_of("documents"),
+        "vectors": parts_of("vectors"),
+        "blocks": blocks,
+        "places": places,
+        "dead": dead,
+        "postings": postings_from(blocks, places),
         **stats,
     }
 
@@ -287,4 +325,6 @@ def read_index(spark: SparkSession, path: str) -> Index:
     """The newest complete version, with the number of buckets it was written with."""
     number, layout = _layout(spark, path)
     tables = _read_parts(spark, path, number, layout)
-    return Index(**{name: table.drop("part") for name, table in tables.items()}, buckets=layout["buckets"])
+    for name in ("documents", "vectors"):
+        tables[name] = tables[name].drop("part")
+    return Index(**tables, buckets=layout["buckets"])
