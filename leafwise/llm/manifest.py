@@ -89,29 +89,28 @@ def numbered(rows: DataFrame, order: list) -> DataFrame:
     return joined.withColumn("pos", F.col("at") - F.col("shift")).drop("part", "at", "shift")
 
 
-def stored_nodes(leaves: DataFrame, whole: bool) -> DataFrame:
+def stored_nodes(leaves: DataFrame, whole: bool, height: int) -> DataFrame:
     """Nodes of all trees of ``leaves`` (``tree, size, pos, digest``).
 
-    Blocks of nodes are worked through ``LEVELS`` levels at a time. With ``whole`` all
+    Blocks of nodes are worked through ``height`` levels at a time. With ``whole`` all
     nodes are returned, else those that no leaf block can derive: from its top upwards.
     """
     found, base = None, 0
     most = leaves.agg(F.max("size")).first()[0] or 0
     nodes = leaves.select("tree", F.lit(0).alias("level"), "pos", "digest", "size")
     while True:
-        block = WIDTH**LEVELS
-        dealt = nodes.withColumn("block", F.expr(f"pos div {block}"))
+        dealt = nodes.withColumn("block", F.expr(f"pos div {WIDTH**height}"))
         dealt = dealt.repartition("tree", "block").sortWithinPartitions("tree", "block", "pos")
 
         def grow(batches, base=base):
             for (tree, number), group in sorted_groups(batches, ["tree", "block"]):
                 size = group.column("size")[0].as_py()
                 left = len(counts_of(size)) - 1 - base  # levels above these nodes
-                levels = levels_above(group.column("digest").to_pylist(), min(LEVELS, left))
+                levels = levels_above(group.column("digest").to_pylist(), min(height, left))
                 first = 0 if whole and base == 0 else 1 if base else len(levels) - 1
                 for level in range(first, len(levels)):
                     n = len(levels[level])
-                    at = number * WIDTH ** (LEVELS - level)
+                    at = number * WIDTH ** (height - level)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([tree] * n, pa.string()),
@@ -126,13 +125,13 @@ def stored_nodes(leaves: DataFrame, whole: bool) -> DataFrame:
 
         made = stage(dealt.mapInArrow(grow, NODES), "nodes")
         found = made if found is None else found.unionByName(made)
-        base += LEVELS
+        base += height
         if -(-most // WIDTH**base) <= 1:
             return found
         nodes = made.filter((F.col("level") == base) & (F.col("size") > WIDTH**base))
 
 
-def _missing(blocks: DataFrame) -> DataFrame:
+def _missing(blocks: DataFrame, height: int) -> DataFrame:
     """``tree, block, of, level, pos``: nodes that proofs of a block need and that it cannot derive.
 
     Also the root of the top tree, against which the proofs are verified.
@@ -143,8 +142,8 @@ def _missing(blocks: DataFrame) -> DataFrame:
             rows = []
             for tree, block, size, rank, groups in zip(*(batch.column(c).to_pylist() for c in ("tree", "block", "size", "rank", "groups"))):
                 counts = counts_of(size)
-                for level in range(LEVELS, len(counts) - 1):
-                    left, right = siblings(block // WIDTH ** (level - LEVELS), counts[level])
+                for level in range(height, len(counts) - 1):
+                    left, right = siblings(block // WIDTH ** (level - height), counts[level])
                     rows += [(tree, block, tree, level, p) for p in left + right]
                 counts = counts_of(groups)
                 for level in range(len(counts) - 1):
@@ -164,7 +163,7 @@ def _folded(digest: str, place: int, runs: list[tuple[list[str], list[str]]]) ->
     return digest
 
 
-def _expand(kind, batches):
+def _expand(proofs, most, batches):
     """Task function: proofs of the leaves of each block, from its leaves and the nodes fetched for it."""
     names = ["id", "digest", "subroot", "root", "proof", "proof_sha256", "folded_root", "verified"]
     for (tree, block), group in sorted_groups(batches, ["tree", "block"]):
@@ -173,7 +172,7 @@ def _expand(kind, batches):
         known = {(o, n, p): d for o, n, p, d in zip(*(fetched.column(c).to_pylist() for c in ("of", "level", "pos", "digest")))}
         size, rank, groups = (rows.column(c)[0].as_py() for c in ("size", "rank", "groups"))
         counts = counts_of(size)
-        own = levels_above(rows.column("digest").to_pylist(), min(LEVELS, len(counts) - 1))
+        own = levels_above(rows.column("digest").to_pylist(), min(most, len(counts) - 1))
         height = len(own) - 1
 
         def runs(of, place, levels, counts):
@@ -216,7 +215,7 @@ def _expand(kind, batches):
                 rows.column("digest").combine_chunks(),
                 pa.array([subroot] * n, pa.string()),
                 pa.array([root] * n, pa.string()),
-                pa.array(paths if kind else [None] * n, pa.string()),
+                pa.array(paths if proofs else [None] * n, pa.string()),
                 pa.array([hashlib.sha256(p.encode()).hexdigest() for p in paths], pa.string()),
                 pa.array(folded, pa.string()),
                 pa.array([f == root for f in folded], pa.bool_()),
@@ -232,12 +231,13 @@ def merkle_manifest(
     id_column: str = "doc_id",
     group_column: str = "source",
     proofs: bool = False,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """``doc_id, leaf, subroot, root, proof_sha256, folded_root, verified`` of every row.
 
     ``shown`` gives columns of the rows as they are shown for verification, where they
     differ; ``folded_root`` comes from that leaf and the original siblings. With
-    ``proofs`` the siblings' digests are returned, too, joined in order (``proof``).
+    ``proofs`` the siblings' digests are returned, too, joined in order (``proof``). Blocks have ``levels`` levels.
 
     A null field is ``-`` in its leaf, an empty one ``0:``. Rows without a group make a
     group of their own, the first. Leaves are ordered by id, null first, and rows with
@@ -251,17 +251,17 @@ def merkle_manifest(
     rows = documents.select(column(id_column).alias("id"), group.alias("source"), encoded(group).alias("tree"), leaf.alias("digest"), other.alias("shown"))
     leaves = numbered(rows, [F.asc_nulls_first("source"), F.asc_nulls_first("id"), F.asc("digest")])
     leaves = stage(leaves, "leaves")
-    nodes = stored_nodes(leaves, whole=False)
+    nodes = stored_nodes(leaves, False, levels)
     sizes = leaves.groupBy("tree").agg(F.min("source").alias("source"), F.max("size").alias("size"))
     ranked = numbered(sizes.select(F.col("tree").alias("group"), "source", F.lit(TOP).alias("tree"), F.col("size").alias("leaves")), [F.asc_nulls_first("source")])
     ranked = stage(ranked.select(F.col("group").alias("tree"), F.col("leaves").alias("size"), F.col("pos").alias("rank"), F.col("size").alias("groups")), "groups")
     roots = nodes.filter("is_root").select("tree", "digest")
     tops = ranked.join(roots, "tree").select(F.lit(TOP).alias("tree"), F.col("groups").alias("size"), F.col("rank").alias("pos"), "digest")
-    nodes = nodes.unionByName(stored_nodes(stage(tops, "subroots"), whole=True)).select(F.col("tree").alias("of"), "level", "pos", "digest")
+    nodes = nodes.unionByName(stored_nodes(stage(tops, "subroots"), True, levels)).select(F.col("tree").alias("of"), "level", "pos", "digest")
 
-    block = WIDTH**LEVELS
+    block = WIDTH**levels
     blocks = ranked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {block}"))))
-    needed = join_small(_missing(blocks), nodes, ["of", "level", "pos"], salt_by="block")
+    needed = join_small(_missing(blocks, levels), nodes, ["of", "level", "pos"], salt_by="block")
     none = lambda kind: F.lit(None).cast(kind)
     kind = leaves.schema["id"].dataType.simpleString()
     needed = needed.select(
@@ -272,6 +272,6 @@ def merkle_manifest(
     )
     both = placed.unionByName(needed).repartition("tree", "block").sortWithinPartitions("tree", "block")
     schema = f"id {kind}, digest string, subroot string, root string, proof string, proof_sha256 string, folded_root string, verified boolean"
-    done = both.mapInArrow(lambda batches: _expand(proofs, batches), schema)
+    done = both.mapInArrow(lambda batches: _expand(proofs, levels, batches), schema)
     named = done.withColumnsRenamed({"id": "doc_id", "digest": "leaf"})
     return named if proofs else named.drop("proof")

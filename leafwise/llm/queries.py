@@ -109,4 +109,5 @@ SQL = {
     "op6_benchmark_decontamination": sql.DECONTAMINATION,
     "op7_secret_scans": sql.SECRET_SCANS,
     "op8_quality_rules": sql.QUALITY_RULES,
+    "op13_merkle_manifest": sql.MANIFEST,
 }

@@ -178,3 +178,72 @@ QUALITY_RULES = rf"""
     SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
            n_words >= 20 AND 100 * n_repeat_words <= 30 * n_words AND longest_repeat <= 200 AS kept
     FROM counted"""
+
+
+def _encoded(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value} END"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256(concat({', '.join(_encoded(v) for v in ('doc_id', 'source', 'lang', 'n_chars', text))}))"
+
+
+#: The unsigned CRC-32 of the decimal id, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::UBIGINT], [ascii(c)::UBIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
+         lambda crc, c: list_reduce(list_concat([xor(crc, c)], [0::UBIGINT FOR bit IN range(8)]),
+         lambda x, zero: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))), 4294967295::UBIGINT)"""
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes ``tree, level, pos, digest, n`` (nodes of the level) over ``leaves``."""
+    return f"""
+    {name} AS (
+      SELECT tree, 0 AS level, pos, digest, n FROM {leaves}
+      UNION ALL
+      SELECT tree, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + 2) // 3)
+      FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 3)"""
+
+
+def _way_up(name: str, begin: str, nodes: str) -> str:
+    """From each row of ``begin`` up to the root, with its digest in place of the stored one."""
+    return f"""
+    {name} AS (
+      SELECT rid, tree, 0 AS level, pos, digest, n FROM {begin}
+      UNION ALL
+      SELECT rid, f.tree, f.level + 1, f.pos // 3,
+             sha256(string_agg(CASE WHEN x.pos = f.pos THEN f.digest ELSE x.digest END, '' ORDER BY x.pos)), any_value((f.n + 2) // 3)
+      FROM {name} f JOIN {nodes} x ON x.tree = f.tree AND x.level = f.level AND x.pos // 3 = f.pos // 3
+      WHERE f.n > 1 GROUP BY rid, f.tree, f.level, f.pos)"""
+
+
+MANIFEST = f"""
+    WITH RECURSIVE rows AS (
+      SELECT *, row_number() OVER () AS rid, {_encoded('source')} AS tree, {_leaf('text')} AS digest,
+             CASE WHEN {_CRC} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS shown
+      FROM documents),
+    leaves AS MATERIALIZED (
+      SELECT rid, doc_id, source, tree, digest, shown, count(*) OVER (PARTITION BY tree) AS n,
+             row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest, rid) - 1 AS pos
+      FROM rows), {_tree('nodes', 'leaves')},
+    ranks AS (
+      SELECT tree, count(*) OVER () AS n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos
+      FROM (SELECT DISTINCT tree, source FROM leaves)),
+    tops AS MATERIALIZED (
+      SELECT '' AS tree, r.tree AS own, pos, r.n, digest
+      FROM ranks r JOIN (SELECT tree, digest FROM nodes WHERE n = 1) USING (tree)), {_tree('top_nodes', 'tops')},
+    begins AS MATERIALIZED (SELECT rid, tree, pos, n, shown AS digest FROM leaves), {_way_up('inside', 'begins', 'nodes')},
+    reached AS MATERIALIZED (
+      SELECT rid, t.tree, t.pos, t.n, i.digest FROM inside i JOIN tops t ON t.own = i.tree WHERE i.n = 1),
+    {_way_up('above', 'reached', 'top_nodes')},
+    steps AS (
+      SELECT i.rid, 0 AS part, x.level, x.pos, x.digest FROM inside i
+      JOIN nodes x ON x.tree = i.tree AND x.level = i.level AND x.pos // 3 = i.pos // 3 AND x.pos <> i.pos
+      UNION ALL
+      SELECT i.rid, 1, x.level, x.pos, x.digest FROM above i
+      JOIN top_nodes x ON x.level = i.level AND x.pos // 3 = i.pos // 3 AND x.pos <> i.pos),
+    proofs AS (SELECT rid, string_agg(digest, '' ORDER BY part, level, pos) AS proof FROM steps GROUP BY rid),
+    roots AS (SELECT digest AS root FROM top_nodes WHERE n = 1)
+    SELECT doc_id, l.digest AS leaf, t.digest AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256,
+           a.digest AS folded_root, a.digest = root AS verified
+    FROM leaves l JOIN tops t ON t.own = l.tree JOIN above a ON a.rid = l.rid AND a.n = 1 CROSS JOIN roots
+    LEFT JOIN proofs p ON p.rid = l.rid"""
