@@ -1,26 +1,27 @@
-"""Nearest neighbours by cosine, exact and approximate."""
+"""Nearest neighbours by cosine, exact; ``operators.cells`` has the approximate ones."""
 
 import sys
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.functions.vectors import cosine_similarity
 from leafwise.operators.ranking import score_order
+from leafwise.plans.groups import runs_of
 from leafwise.plans.joins import join_small, top_per_group
-from leafwise.plans.staging import stage
-from leafwise.schema import KNN_BOOST, KNN_CANDIDATES, KNN_K, SCORE_DIGITS
+from leafwise.schema import KNN_BOOST, KNN_K, SCORE_DIGITS
 
 # Send the task functions below along with the job, so that executors need not have
 # this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Query vectors held by a task at a time; a larger batch makes several passes.
+# Query vectors held by a task at a time, and vectors that meet a block of a larger batch.
 QUERIES_AT_ONCE = 2048
+VECTORS_AT_ONCE = 32768
 ROWS_AT_ONCE = 4096
 
 
@@ -85,55 +86,93 @@ def _partial_top_k(query_ids, query_matrix, k, boost):
     return run
 
 
-def _knn_pass(vectors, rows, k, boost):
+def _empty(vectors):
     id_type = vectors.schema["id"].dataType.simpleString()
     schema = f"query_id bigint, doc_id {id_type}, score double"
-    dims = {len(r["embedding"]) for r in rows if r["embedding"] is not None}
-    empty = vectors.sparkSession.createDataFrame([], schema)
+    return vectors.sparkSession.createDataFrame([], schema), schema
+
+
+def _batch_of(query_id, ids, scores, arrow_id):
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(ids), query_id), pa.int64()), pa.array(list(ids), arrow_id), pa.array(scores, pa.float64())],
+        names=["query_id", "doc_id", "score"],
+    )
+
+
+def _arrow_id(vectors):
+    return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[vectors.schema["id"].dataType.simpleString()]
+
+
+def _knn_small(vectors, rows, k, boost):
+    """The best of each partition for a batch that every task holds."""
+    empty, schema = _empty(vectors)
+    rows = [r for r in rows if r["embedding"] is not None]
+    dims = {len(r["embedding"]) for r in rows}
     if not dims:
         return empty
     if len(dims) > 1:
         raise ValueError(f"query vectors of different lengths: {sorted(dims)}")
-    rows = [r for r in rows if r["embedding"] is not None]
     query_ids = np.array([r["query_id"] for r in rows])
     matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
-    top_k = _partial_top_k(query_ids, matrix, k, boost)
-    arrow_id = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[id_type]
+    top_k, arrow_id = _partial_top_k(query_ids, matrix, k, boost), _arrow_id(vectors)
 
     def run(batches):
         for query_id, ids, scores in top_k(batches):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(ids), query_id), pa.int64()),
-                    pa.array(list(ids), arrow_id),
-                    pa.array(scores, pa.float64()),
-                ],
-                names=["query_id", "doc_id", "score"],
-            )
+            yield _batch_of(query_id, ids, scores, arrow_id)
 
     return vectors.select("id", "embedding").mapInArrow(run, schema)
 
 
+def _knn_blocks(vectors, queries, k, boost):
+    """The same for a batch of any size: blocks of queries meet parts of the vectors.
+
+    One plan for all blocks. A group has a part of the vectors and a block of queries,
+    so that what a task holds has a bound; vectors go to one group for each block.
+    """
+    _, schema = _empty(vectors)
+    arrow_id = _arrow_id(vectors)
+    n_queries, n_vectors = queries.count(), vectors.count()
+    blocks, parts = -(-2 * n_queries // QUERIES_AT_ONCE), max(1, -(-n_vectors // VECTORS_AT_ONCE))
+    none = lambda c, table: F.lit(None).cast(table.schema[c].dataType).alias(c)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    rows = vectors.select(every(blocks).alias("block"), place("id", parts).alias("part"), none("query_id", queries), "id", "embedding")
+    asked = queries.select(place("query_id", blocks).alias("block"), every(parts).alias("part"), "query_id", none("id", vectors), F.col("embedding").cast(vectors.schema["embedding"].dataType))
+    on = ["block", "part"]
+    met = rows.unionByName(asked).repartition(*on).sortWithinPartitions(*on)
+
+    def run(batches):
+        for _, group in runs_of(batches, on):
+            stored = group.column("query_id").is_null()
+            vectors_here, asked_here = group.filter(stored), group.filter(pc.invert(stored))
+            column = asked_here.column("embedding").combine_chunks() if asked_here.num_rows else None
+            if column is None or not vectors_here.num_rows:
+                continue
+            lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            if len(set(lengths[lengths >= 0].tolist())) > 1:
+                raise ValueError("query vectors of different lengths")
+            if lengths.max() < 0:
+                continue
+            matrix, keep = _matrix(column, int(lengths.max()))
+            names = asked_here.column("query_id").to_numpy(zero_copy_only=False)[keep]
+            pieces = vectors_here.select(["id", "embedding"]).combine_chunks().to_batches()
+            for query_id, ids, scores in _partial_top_k(names, matrix, k, boost)(pieces):
+                yield _batch_of(query_id, ids, scores, arrow_id)
+
+    return met.mapInArrow(run, schema)
+
+
 def knn_top_k(vectors: DataFrame, queries: DataFrame, k=KNN_K, boost=KNN_BOOST) -> DataFrame:
     """``(query_id, doc_id, score)`` of each query's k nearest vectors.
 
-    Vectors are not shuffled: each task multiplies its vectors with the query
-    matrix and passes on its k best per query, and a ranked window merges those.
-    A batch beyond ``QUERIES_AT_ONCE`` is split by hash and takes one pass over
-    the vectors per part, so that no task holds more.
+    A batch of up to ``QUERIES_AT_ONCE`` queries goes to the tasks whole, and vectors
+    are not shuffled: each task multiplies its vectors with the query matrix and passes
+    on its k best per query. Of a larger batch nothing reaches the driver; its blocks
+    and parts of the vectors are brought together. A ranked window merges the best.
     """
-    queries = queries.select("query_id", "embedding")
+    queries = queries.select(F.col("query_id").cast("bigint"), "embedding")
     rows = queries.limit(QUERIES_AT_ONCE + 1).collect()
-    if len(rows) <= QUERIES_AT_ONCE:
-        partial = _knn_pass(vectors, rows, k, boost)
-    else:
-        parts = -(-2 * queries.count() // QUERIES_AT_ONCE)
-        part_of = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-        passes = [
-            _knn_pass(vectors, queries.filter(part_of == part).collect(), k, boost)
-            for part in range(parts)
-        ]
-        partial = reduce(DataFrame.unionByName, passes)
+    partial = _knn_small(vectors, rows, k, boost) if len(rows) <= QUERIES_AT_ONCE else _knn_blocks(vectors, queries, k, boost)
     best = top_per_group(partial, "query_id", score_order(), k, salt_by="doc_id")
     return best.select("query_id", "doc_id", "score")
 
@@ -142,65 +181,8 @@ def knn_expression(vectors: DataFrame, queries: DataFrame, pairs: DataFrame, boo
     """Scores of given ``(query_id, doc_id)`` pairs with built-in functions only."""
     asked = queries.select("query_id", F.col("embedding").alias("query_vector"))
     stored = vectors.select(F.col("id").alias("doc_id"), "embedding")
-    joined = join_small(join_small(stored, pairs, "doc_id"), asked, "query_id")
+    met = join_small(stored, pairs, "doc_id", salt_by="embedding")
+    joined = join_small(met, asked, "query_id", salt_by="doc_id")
     cosine = cosine_similarity(F.col("query_vector"), F.col("embedding"))
     scored = joined.select("query_id", "doc_id", knn_score(cosine, boost).alias("score"))
     return scored.filter(F.col("score").isNotNull())
-
-
-def hyperplane_bands(vectors: DataFrame, bands=24, bits=8, seed=7) -> DataFrame:
-    """``(id, bands)``: per band the signs of products with random directions, as a number."""
-    powers = 1 << np.arange(bits)
-
-    def run(batches):
-        planes = None
-        for batch in batches:
-            column = batch.column(1)
-            lengths = column.value_lengths().drop_null()
-            if not len(lengths):
-                continue
-            dim = lengths[0].as_py()
-            if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((dim, bands * bits))
-            matrix, rows = _matrix(column, dim)
-            signs = (matrix @ planes > 0).reshape(-1, bands, bits)
-            keys = (signs * powers).sum(axis=2).astype(np.int32)
-            offsets = pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), lists], names=["id", "bands"]
-            )
-
-    id_type = vectors.schema["id"].dataType.simpleString()
-    return vectors.select("id", "embedding").mapInArrow(run, f"id {id_type}, bands array<int>")
-
-
-def ann_knn(
-    vectors: DataFrame,
-    queries: DataFrame,
-    k=KNN_K,
-    num_candidates=KNN_CANDIDATES,
-    boost=KNN_BOOST,
-    bands=24,
-    bits=8,
-    seed=7,
-) -> DataFrame:
-    """Approximate neighbours: the vectors that share most bands with the query, re-ranked exactly.
-
-    ``num_candidates`` is the work allowed per query, as in the exact definition
-    of the approximate search; ``knn_top_k`` is the variant without it.
-    """
-    named = queries.select(F.col("query_id").alias("id"), "embedding")
-    asked = hyperplane_bands(named, bands, bits, seed).select(
-        F.col("id").alias("query_id"), F.posexplode("bands").alias("band", "key")
-    )
-    stored = hyperplane_bands(vectors, bands, bits, seed).select(
-        F.col("id").alias("doc_id"), F.posexplode("bands").alias("band", "key")
-    )
-    met = join_small(stored, asked, ["band", "key"], salt_by="doc_id")
-    shared = met.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    order = [F.desc("shared"), F.asc("doc_id")]
-    candidates = top_per_group(shared, "query_id", order, num_candidates, salt_by="doc_id").drop("rank", "shared")
-    scored = knn_expression(vectors, queries, stage(candidates, "candidates"), boost)
-    best = top_per_group(scored, "query_id", score_order(), k, salt_by="doc_id")
-    return best.select("query_id", "doc_id", "score")

@@ -56,7 +56,7 @@ def bm25_score(
     is computed once per batch, then shared by all queries with that term.
     """
     expanded = expansions.select("field", "term", "expansion", "weight", "df").distinct()
-    of_term = Window.partitionBy("field", "term")  # at most 50 rows
+    of_term = Window.partitionBy("field", "term")
     expanded = expanded.withColumn("df_max", F.max("df").over(of_term))
     scored = posting_scores(with_factor(expanded, field_stats), postings, buckets)
     best = scored.groupBy("field", "term", "doc_id").agg(F.max("score").alias("score"))
@@ -109,19 +109,15 @@ def match_all(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """Every document with score 1 for each blank query.
 
     The result is this large by definition; search itself ranks the documents
-    once for all blank queries instead (see ``plans.search``).
+    once for all blank queries instead (see ``plans.search``). Query ids travel in
+    lists of about ``BLANK_QUERIES_AT_ONCE``, to which all documents are joined.
     """
     blank = queries.filter(is_blank()).select("query_id")
     groups = -(-blank.count() // BLANK_QUERIES_AT_ONCE) or 1
-    ids = documents.select(F.col("id").alias("doc_id"))
-    result = None
-    for group in range(groups):
-        member = F.pmod(F.xxhash64("query_id"), F.lit(groups)) == group
-        wanted = [row[0] for row in blank.filter(member).collect()]
-        values = F.array(*[F.lit(w) for w in wanted]).cast("array<bigint>")
-        part = ids.select(F.explode(values).alias("query_id"), "doc_id", F.lit(1.0).alias("score"))
-        result = part if result is None else result.unionByName(part)
-    return result
+    group = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("group")
+    lists = blank.groupBy(group).agg(F.collect_list("query_id").alias("asked"))
+    ids = documents.select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    return join_small(ids, lists, "group", salt_by="doc_id").select(F.explode("asked").alias("query_id"), "doc_id", F.lit(1.0).alias("score"))
 
 
 def hybrid_fuse(keyword: DataFrame, knn: DataFrame) -> DataFrame:

@@ -89,8 +89,14 @@ def test_best_fifty(spark):
     vocabulary += [f"a{chr(98 + i)}aa" for i in range(24)]
     stats = spark.createDataFrame([("title", v, 2) for v in vocabulary], "field string, term string, df long")
     terms = spark.createDataFrame([(1, "title", "aaaa", 1)], "query_id long, field string, term string, mult long")
-    found = [r["expansion"] for r in matching.fuzzy_expand(terms, stats).orderBy(F.desc("weight"), "expansion").collect()]
-    assert found == (["aaaa"] + sorted(set(vocabulary) - {"aaaa"}))[:50]
+    every = ["aaaa"] + sorted(set(vocabulary) - {"aaaa"})
+
+    def found(**limit):
+        rows = matching.fuzzy_expand(terms, stats, **limit).orderBy(F.desc("weight"), "expansion").collect()
+        return [r["expansion"] for r in rows]
+
+    assert found(limit=50) == every[:50]
+    assert found() == every
 
 
 def test_edit_limits(column):

@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
 
+from leafwise.operators import cells
 from leafwise.operators import neighbours as nb
 from leafwise.functions.vectors import cosine_similarity
 from pyspark.sql import functions as F
+from workload import queries
 
 
 @pytest.fixture(scope="module")
@@ -37,9 +39,10 @@ def test_exact_equals_brute_force(data):
     assert found == {q: brute(points, q) for q in range(30)}
 
 
-def test_a_large_batch_takes_several_passes(data, monkeypatch):
+def test_a_large_batch_goes_by_blocks(data, monkeypatch):
     points, vectors, queries = data
     monkeypatch.setattr(nb, "QUERIES_AT_ONCE", 8)
+    monkeypatch.setattr(nb, "VECTORS_AT_ONCE", 50)
     found = by_query(nb.knn_top_k(vectors, queries, k=3).collect())
     assert found == {q: brute(points, q, 3) for q in range(30)}
 
@@ -50,14 +53,59 @@ def test_small_blocks(data, monkeypatch):
     assert by_query(nb.knn_top_k(vectors, queries).collect())[3] == brute(points, 3)
 
 
-def test_approximate_recall(data):
+def recall(found, exact):
+    return sum(len(set(exact[q]) & set(found.get(q, []))) for q in exact) / sum(map(len, exact.values()))
+
+
+def test_approximate_recall(spark, data):
     points, vectors, queries = data
     exact = by_query(nb.knn_top_k(vectors, queries).collect())
-    near = by_query(nb.ann_knn(vectors, queries).collect())
-    hits = sum(len(set(exact[q]) & set(near.get(q, []))) for q in exact)
-    assert hits / sum(map(len, exact.values())) > 0.6
-    everything = by_query(nb.ann_knn(vectors, queries, num_candidates=1000, bits=1).collect())
-    assert everything == exact
+    assert recall(by_query(cells.ann_knn(vectors, queries).collect()), exact) >= 0.9
+    everything = cells.ann_knn(vectors, queries, num_candidates=1000, probes=cells.MAX_CELLS)
+    assert by_query(everything.collect()) == exact
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_recall_on_the_registered_vectors(spark, folder):
+    exact = by_query(queries.knn(spark, f"/root/testdata/{folder}").collect())
+    share = recall(by_query(queries.ann(spark, f"/root/testdata/{folder}").collect()), exact)
+    print(f"recall at 10 on {folder}: {share:.3f}")
+    assert share >= 0.9
+
+
+def test_stored_cells_give_the_same(spark, data, tmp_path):
+    points, vectors, asked = data
+    fresh = cells.index_vectors(vectors)
+    cells.write_vector_index(vectors, str(tmp_path / "index"))
+    stored = cells.read_vector_index(spark, str(tmp_path / "index"))
+    assert by_query(cells.search_cells(stored, asked).collect()) == by_query(cells.search_cells(fresh, asked).collect())
+    assert stored.codes.count() == len(points)  # zero, null and vectors of another length have no cell
+    few = cells.candidates(stored, asked, probes=1)
+    assert "dynamicpruning" in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_and_blocks_of_a_crowded_cell(spark, data, monkeypatch):
+    points, vectors, asked = data
+    monkeypatch.setattr(cells, "ROWS", 16)
+    monkeypatch.setattr(cells, "QUERIES", 4)
+    exact = by_query(nb.knn_top_k(vectors, asked).collect())
+    assert by_query(cells.ann_knn(vectors, asked, num_candidates=1000, probes=cells.MAX_CELLS, cells=3).collect()) == exact
+
+
+def test_no_vectors(spark, data):
+    points, vectors, asked = data
+    assert cells.ann_knn(vectors.limit(0), asked).collect() == []
+    assert cells.ann_knn(vectors, asked.limit(0)).collect() == []
+
+
+def test_codes_are_near_the_vectors(data):
+    points, _, _ = data
+    unit = points.astype(float) / np.linalg.norm(points.astype(float), axis=1)[:, None]
+    centres = cells.k_means(unit, 8, 5)
+    cell = cells.nearest_centres(unit, centres).argmax(axis=1)
+    pieces = np.stack([cells.k_means(s, 64, 10) for s in cells._stretches(unit - centres[cell])])
+    again = centres[cell] + cells._decoded(cells._encoded(unit - centres[cell], pieces), pieces, 12)
+    assert ((again - unit) ** 2).sum(axis=1).mean() < 0.15
 
 
 def test_cosine(spark):

@@ -387,6 +387,35 @@ NEIGHBOURS = """
 SELECT a.vec_id AS query_id, b.vec_id AS doc_id,
        0.9::DOUBLE * (1 + list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) / 2 AS score
 FROM embeddings a, embeddings b"""
+
+
+def _cells(rounds):
+    """k-means over unit vectors, begun at the first vectors by MD5 of the id; a round is two tables."""
+    nearest = """
+  SELECT id, v, cell FROM points, {centres}
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY list_inner_product(v, c) - list_inner_product(c, c) / 2 DESC, cell) = 1"""
+    parts = [
+        """
+units AS MATERIALIZED (
+  SELECT vec_id AS id, [x / sqrt(list_inner_product(e, e)) FOR x IN e] AS v, md5(vec_id::VARCHAR) AS mark
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+)""",
+        "points AS MATERIALIZED (SELECT id, v, row_number() OVER (ORDER BY mark) - 1 AS place FROM units)",
+        "centres_0 AS MATERIALIZED (SELECT place AS cell, v AS c FROM points WHERE place < (SELECT round(sqrt(count(*))) FROM points))",
+    ]
+    for i in range(rounds):
+        parts.append(f"assigned_{i} AS MATERIALIZED ({nearest.format(centres=f'centres_{i}')})")
+        parts.append(f"""
+centres_{i + 1} AS MATERIALIZED (
+  SELECT o.cell, coalesce(n.c, o.c) AS c FROM centres_{i} o LEFT JOIN (
+    SELECT cell, list(x ORDER BY d) AS c FROM (
+      SELECT cell, d, avg(x) AS x FROM (
+        SELECT cell, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM assigned_{i}) GROUP BY cell, d) GROUP BY cell) n USING (cell)
+)""")
+    parts.append(f"assigned AS ({nearest.format(centres=f'centres_{rounds}')})")
+    return parts
+
+
 RESULT_COLUMNS = (
     "query_id, rank, id, title, snippet, file_path, file_type, download_url, round(score, 6) AS score, "
     "highlights, total, page, page_size"
@@ -457,6 +486,10 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "knn": f"""
 SELECT query_id, doc_id, round(score, 6) AS score FROM ({NEIGHBOURS})
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 10""",
+    "ann_all_cells": f"""
+SELECT query_id, doc_id, round(score, 6) AS score FROM ({NEIGHBOURS})
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 10""",
+    "vector_cells": with_(*_cells(8)) + "SELECT id AS vec_id, cell::INTEGER AS cell FROM assigned",
     "knn_pairs": f"""
 SELECT query_id, doc_id, round(score, 6) AS score FROM ({NEIGHBOURS} WHERE a.vec_id = b.label)""",
     "hybrid": with_(HYBRID) + "SELECT query_id, doc_id, round(score, 6) AS score FROM hits",

@@ -8,7 +8,8 @@ from leafwise.functions.text import file_stem, split_sentences, strip_ws, tokeni
 from leafwise.functions.vectors import cosine_similarity
 from leafwise.operators import exporting, lookup, maintenance, matching, parsing, ranking, scoring
 from leafwise.operators import indexing as ix
-from leafwise.operators.neighbours import ann_knn, knn_expression, knn_top_k
+from leafwise.operators.cells import MAX_CELLS, ann_knn, assign_cells, fit_cells
+from leafwise.operators.neighbours import knn_expression, knn_top_k
 from leafwise.operators.summarizing import rank_sentences, sentence_pool, summary_context
 from leafwise.plans import search as s
 from leafwise.plans.staging import shared_dir, stage
@@ -249,6 +250,19 @@ def ann(spark, folder):
     return found.select("query_id", "doc_id", score())
 
 
+def ann_all_cells(spark, folder):
+    """Every cell read and every vector a candidate: codes decide nothing, and the exact scores are those of ``knn``."""
+    vectors = _vectors(spark, folder)
+    found = ann_knn(vectors, _vector_queries(spark, folder), num_candidates=vectors.count(), probes=MAX_CELLS)
+    return found.select("query_id", "doc_id", score())
+
+
+def vector_cells(spark, folder):
+    """The cell of every vector."""
+    vectors = _vectors(spark, folder)
+    return assign_cells(vectors, fit_cells(vectors)).select(F.col("id").alias("vec_id"), "cell")
+
+
 def _hits(spark, folder):
     i, asked = index(spark, folder), matching.with_defaults(queries(spark, folder))
     keyword = _keyword_scores(spark, folder)
@@ -404,6 +418,8 @@ REGISTERED = {
         knn,
         knn_pairs,
         ann,
+        ann_all_cells,
+        vector_cells,
         hybrid,
         ranked_page,
         totals,
