@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.functions.text import base_name, file_stem
+from leafwise.operators.containment import least_match
 from leafwise.plans.joins import join_small
 from leafwise.plans.staging import stage
 
@@ -28,9 +29,8 @@ def resolve_document_ids(files: DataFrame, ids: DataFrame) -> DataFrame:
     """``(ord, doc_id, file_path, match_rank)``: the file each requested id stands for.
 
     In turn: the id with ``.pdf``, with ``.docx``, as a file name, and last any PDF or
-    DOCX file whose stem contains the id or is contained in it. All four are
-    equi-joins: for the last one, stems are cut into substrings as long as some
-    open id, and open ids into all their substrings.
+    DOCX file whose stem contains the id or is contained in it. The first three are
+    equi-joins, the last one reads distinct stems and the ids still open with automata.
     """
     names = files.select(
         "file_path",
@@ -46,7 +46,7 @@ def resolve_document_ids(files: DataFrame, ids: DataFrame) -> DataFrame:
         ).alias("position", "file_name"),
     )
     exact = stage(
-        _best(join_small(names, guesses, "file_name").withColumn("match_rank", F.col("position") + 1)), "exact_ids"
+        _best(join_small(names, guesses, "file_name", salt_by="file_path").withColumn("match_rank", F.col("position") + 1)), "exact_ids"
     )
     open_ids = stage(asked.join(exact.select("ord"), "ord", "left_anti"), "open_ids")
     by_type = F.lit(False)
@@ -54,32 +54,16 @@ def resolve_document_ids(files: DataFrame, ids: DataFrame) -> DataFrame:
         by_type = by_type | F.col("file_name").endswith(suffix)
     candidates = names.filter(by_type)
 
-    # At most as many lengths as the longest id has characters.
-    lengths = [row[0] for row in open_ids.select(F.length("doc_id")).distinct().collect()]
-    none = F.array().cast("array<string>")
-
-    def cuts(size):
-        starts = F.sequence(F.lit(1), F.length("stem") - size + 1)
-        parts = F.transform(starts, lambda i: F.substring(F.col("stem"), i, F.lit(size)))
-        return F.when(F.length("stem") >= size, parts).otherwise(none)
-
-    parts = F.array_distinct(F.concat(none, *[cuts(size) for size in sorted(lengths)]))
-    cut_stems = candidates.select("file_path", "file_name", F.explode(parts).alias("part"))
-    stem_holds_id = join_small(cut_stems, open_ids.withColumn("part", F.col("doc_id")), "part", salt_by="file_path")
-
-    size = F.length("doc_id")
-    substrings = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), size),
-            lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("doc_id"), i, n)),
-        )
+    value = F.min(F.struct("file_name", "file_path")).alias("value")
+    stems = stage(candidates.filter(F.length("stem") > 0).groupBy("stem").agg(value), "stems")
+    wanted = open_ids.select("doc_id").distinct()
+    stem_holds_id = least_match(stems.withColumnRenamed("stem", "text"), wanted.withColumnRenamed("doc_id", "pattern"), by="pattern")
+    id_holds_stem = least_match(wanted.withColumnRenamed("doc_id", "text"), stems.withColumnRenamed("stem", "pattern"), by="text")
+    loose = stem_holds_id.withColumnRenamed("pattern", "doc_id").unionByName(id_holds_stem.withColumnRenamed("text", "doc_id"))
+    loose = loose.groupBy("doc_id").agg(F.min("value").alias("value"))
+    contained = join_small(open_ids, loose, "doc_id", salt_by="ord").select(
+        "ord", "doc_id", F.struct(F.lit(4).alias("match_rank"), "value.file_name", "value.file_path").alias("best")
     )
-    cut_ids = open_ids.select("ord", "doc_id", F.explode(F.array_distinct(substrings)).alias("stem"))
-    id_holds_stem = join_small(candidates, cut_ids, "stem", salt_by="file_path")
-
-    columns = ["ord", "doc_id", "file_name", "file_path"]
-    loose = stem_holds_id.select(*columns).unionByName(id_holds_stem.select(*columns))
-    contained = _best(loose.withColumn("match_rank", F.lit(4)))
 
     found = exact.unionByName(contained).select(
         "ord", F.col("best.file_path").alias("file_path"), F.col("best.match_rank").cast("int").alias("match_rank")
