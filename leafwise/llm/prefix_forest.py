@@ -5,12 +5,12 @@ of 128 random directions (64 and their opposites). A tree is the sorted array of
 strings, cut into parts by range; rows with one string are told apart by a mixed
 number, so that a string that a third of all rows share still takes many parts.
 
-A query first descends in each tree to the longest prefix that enough rows of its part
-share, whatever its length there. The scores found are a lower bound on those of its
+A query first descends, in the first trees, to the longest prefix that enough rows of
+its part share, whatever its length there. The scores found are a lower bound on those of its
 neighbours, and with the chance that two vectors of such a score share a symbol they
 tell how deep a prefix finds the wanted share of them. To that depth it then ascends in
 all trees at once, and every row of the nodes reached is a candidate. A query for which
-no prefix is safe meets all rows, in one tree. Nothing is left out of a node.
+no prefix is safe, or whose prefixes too few rows share, meets all rows, in one tree. Nothing is left out of a node.
 
 Inner products become cosines by one more dimension, which fills shorter vectors up to
 the longest length. Vectors that are alike are indexed once, with their least ids.
@@ -28,6 +28,8 @@ from leafwise.plans.joins import join_small
 from leafwise.plans.staging import stage
 
 TREES = 40
+#: Trees in which a query descends; it ascends in all.
+DESCENT = 16
 #: Symbols of a string, random directions to choose from (each and its opposite), bits of a symbol.
 SYMBOLS, DIRECTIONS, BITS = 8, 64, 7
 #: Share of the neighbours that the chosen prefixes are expected to find.
@@ -345,7 +347,7 @@ def _depths(found: DataFrame, k: int, longest: float, trees: int, recall: float)
 
 
 def _ranked(found: DataFrame, k: int, keep: int) -> DataFrame:
-    """``query_id, rank, vec_id, score`` from what each query found in all parts."""
+    """``q, query_id, rank, vec_id, score`` from what each query found in all parts."""
     kind = found.schema["own"].dataType.simpleString()
 
     def run(batches):
@@ -363,15 +365,21 @@ def _ranked(found: DataFrame, k: int, keep: int) -> DataFrame:
             n = len(best)
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array([q] * n, pa.int64()),
                     pa.array([own] * n, group.schema.field("own").type),
                     pa.array(range(1, n + 1), pa.int32()),
                     pa.array([i for i, _ in best], group.schema.field("own").type),
                     pa.array([s for _, s in best], pa.float64()),
                 ],
-                ["query_id", "rank", "vec_id", "score"],
+                ["q", "query_id", "rank", "vec_id", "score"],
             )
 
-    return found.mapInArrow(run, f"query_id {kind}, rank int, vec_id {kind}, score double")
+    return found.mapInArrow(run, f"q long, query_id {kind}, rank int, vec_id {kind}, score double")
+
+
+def _ascended(stored: DataFrame, climbing: DataFrame, parts: Parts, trees: int, k: int, keep: int) -> DataFrame:
+    met = _met(_routed(stored, parts, "stored", trees), _routed(climbing, parts, "up", trees))
+    return _ranked(_searched(met, keep, down=False), k, keep)
 
 
 def nearest(
@@ -413,9 +421,16 @@ def nearest(
     sample = stored if total <= SAMPLE else stored.sample(SAMPLE / total, seed=seed)
     parts = Parts([(r["dim"], r["cls"], r["keys"]) for r in sample.select("dim", "cls", "keys").limit(2 * SAMPLE).collect()], totals, trees)
 
-    down = _met(_routed(stored, parts, "stored", trees), _routed(wanted, parts, "down", trees))
+    some = min(trees, DESCENT)
+    down = _met(_routed(stored, parts, "stored", some), _routed(wanted, parts, "down", some))
     depths = stage(_depths(_searched(down, keep, down=True), k, longest, trees, recall), "depths")
     climbing = stage(wanted.join(depths, "cls", "left").withColumn("depth", F.coalesce("depth", F.lit(0))), "climbing")
     needed = trees if climbing.filter("depth > 0").limit(1).count() else 1
-    up = _met(_routed(stored, parts, "stored", needed), _routed(climbing, parts, "up", needed))
-    return _ranked(_searched(up, keep, down=False), k, keep)
+    found = stage(_ascended(stored, climbing, parts, needed, k, keep), "found")
+    counts = found.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
+    short = climbing.filter("depth > 0").join(counts, climbing["cls"] == counts["q"], "left").filter(F.coalesce("n", F.lit(0)) < k).drop("q", "n")
+    short = stage(short.withColumn("depth", F.lit(0)), "short")
+    if not short.isEmpty():  # too few rows share their prefixes: all rows, then
+        rest = found.join(short.select(F.col("cls").alias("q")), "q", "left_anti")
+        found = rest.unionByName(_ascended(stored, short, parts, 1, k, keep))
+    return found.drop("q")
