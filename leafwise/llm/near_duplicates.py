@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from leafwise.llm import blooms
 from leafwise.llm.words import U64, as_bytes, hash_windows, hash_words, mix, slices, sorted_groups, split_words
+from leafwise.plans.joins import fits_broadcast, join_small
 from leafwise.plans.staging import stage
 
 #: Words of a shingle.
@@ -35,6 +36,8 @@ BANDS, ROWS = 26, 5
 AGREEMENT = 80
 #: Classes of a band, and shingles of them, that are compared with each other in one task.
 BLOCK, SHINGLES = 1024, 1 << 20
+#: Rows of a class from which on its rows are joined apart from the others.
+COPIES = 1000
 #: Members of a band's smallest class that are verified in one group.
 MEMBERS = 512
 
@@ -282,16 +285,48 @@ def _sets(wanted: DataFrame, documents: DataFrame, id_column: str, text_column:
     return found.mapInArrow(build, "class binary, elements binary").groupBy("class").agg(F.first("elements").alias("elements"))
 
 
+def _partners(i: int, group: dict, percent: int, least: int) -> np.ndarray:
+    """Rows that row ``i`` of a group has to be compared with, the most alike first."""
+    label, size, keys, brief = (group[c] for c in ("label", "size", "keys", "brief"))
+    right = group["right"]
+    j = right[(label[right] != label[i]) & (right > i if group["one"] == group["two"] else True)]
+    j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
+    earlier = group["earlier"]
+    j = j[~(keys[j, :earlier] == keys[i, :earlier]).any(axis=1)]
+    alike = (brief[j] == brief[i]).sum(axis=1)
+    return j[np.argsort(-alike, kind="stable")][: int((alike >= least).sum())]
+
+
+def _arrays(key: int, one: int, two: int, rows: pa.Table) -> dict:
+    """The columns of a group by which partners are chosen."""
+    own = rows.column("own").to_numpy()
+    keys = np.array(rows.column("bands").to_pylist(), dtype=np.int64)
+    return {
+        "one": one,
+        "two": two,
+        "own": own,
+        "left": np.flatnonzero(own == one),
+        "right": np.flatnonzero(own == two),
+        "label": np.unique(np.array([x.hex() for x in rows.column("label").to_pylist()]), return_inverse=True)[1],
+        "size": rows.column("n_shingles").to_numpy(),
+        "keys": keys,
+        "earlier": int((keys[0] == key).argmax()),
+        "brief": np.frombuffer(b"".join(rows.column("brief").to_pylist()), dtype="<u2").reshape(rows.num_rows, -1),
+    }
+
+
 def _other_links(
     bands: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, least: int
 ) -> DataFrame:
     """Links between classes of a band that no chain of links connects so far.
 
-    A large band is cut into blocks, and each two blocks meet in a task of their own,
-    which gets the full sets. There, two classes are compared when they belong to
-    different components, agree in ``least`` places, are of similar size, and meet in
-    no earlier band. Links found unite components at once, so of the many links within
-    a group only those are compared and given out that still connect something.
+    A large band is cut into blocks, and each two blocks meet in a group of their own.
+    Two classes are to be compared when they belong to different components, agree in
+    ``least`` places, are of similar size, and meet in no earlier band. Groups meet
+    twice: first without the sets, which leaves the classes that have a partner; then
+    these with their full sets. Links found unite components at once, so of the many
+    links within a group only those are compared and given out that still connect
+    something.
     """
     shown = labels.select(F.col("node").alias("class"), "label")
     marked = bands.join(shown, "class", "left").withColumn("label", F.coalesce("label", "class"))
@@ -301,23 +336,41 @@ def _other_links(
     )
     blocks = F.ceil(F.greatest(F.col("size") / SHINGLES, F.col("n") / BLOCK)).cast("int")
     mixed = stage(mixed.filter(F.col("low") != F.col("high")).select("key", blocks.alias("blocks")), "mixed_bands")
-    inside = marked.join(mixed, "key").select("key", "class", "label", "blocks", "rep.bands", "rep.brief")
+    inside = marked.join(mixed, "key").select("key", "class", "label", "blocks", "n_shingles", "rep.bands", "rep.brief")
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda other: F.struct(F.least("own", other).alias("one"), F.greatest("own", other).alias("two")),
     )
-    dealt = (
-        inside.join(sets, "class")
-        .withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-        .select("key", "class", "label", "bands", "brief", "elements", "own", F.explode(meets).alias("meet"))
-        .select("key", "meet.one", "meet.two", "class", "label", "bands", "brief", "elements", "own")
-        .repartition("key", "one", "two")
-        .sortWithinPartitions("key", "one", "two")
+    on, kept = ["key", "one", "two"], ["class", "label", "n_shingles", "bands", "brief", "own"]
+    first = (
+        inside.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+        .select("key", *kept, F.explode(meets).alias("meet"))
+        .select("key", "meet.one", "meet.two", *kept)
+        .repartition(*on)
+        .sortWithinPartitions(*on)
     )
 
+    def with_partner(batches):
+        for (key, one, two), rows in sorted_groups(batches, on):
+            group = _arrays(key, one, two, rows)
+            has = np.zeros(rows.num_rows, dtype=bool)
+            for i in group["left"]:
+                partners = _partners(i, group, percent, least)
+                has[partners] = True
+                has[i] |= len(partners) > 0
+            if has.any():
+                yield from rows.filter(pa.array(has)).combine_chunks().to_batches()
+
+    schema = "key long, one int, two int, class binary, label binary, n_shingles long, bands array<long>, brief binary, own int"
+    chosen = stage(first.mapInArrow(with_partner, schema), "with_partner")
+    dealt = chosen.join(sets, "class").select(*on, *kept, "elements").repartition(*on).sortWithinPartitions(*on)
+
     def compare(batches):
-        for (key, one, two), group in sorted_groups(batches, ["key", "one", "two"]):
-            names, own = group.column("class").to_pylist(), np.array(group.column("own").to_pylist())
+        for (key, one, two), rows in sorted_groups(batches, on):
+            group = _arrays(key, one, two, rows)
+            names, label = rows.column("class").to_pylist(), rows.column("label").to_pylist()
+            sets = [np.frombuffer(x, dtype="<u8") for x in rows.column("elements").to_pylist()]
+            size = group["size"]
             parent: dict[bytes, bytes] = {}
 
             def root(x):
@@ -325,20 +378,9 @@ def _other_links(
                     x = up
                 return x
 
-            label = group.column("label").to_pylist()
-            number = np.unique(np.array([x.hex() for x in label]), return_inverse=True)[1]
-            brief = np.frombuffer(b"".join(group.column("brief").to_pylist()), dtype="<u2").reshape(len(names), -1)
-            keys = np.array(group.column("bands").to_pylist(), dtype=np.int64)
-            sets = [np.frombuffer(x, dtype="<u8") for x in group.column("elements").to_pylist()]
-            size = np.array([len(x) for x in sets])
-            earlier = int((keys[0] == key).argmax())
-            right, links = np.flatnonzero(own == two), []
-            for i in np.flatnonzero(own == one):
-                j = right[(number[right] != number[i]) & (right > i if one == two else True)]
-                j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
-                j = j[~(keys[j, :earlier] == keys[i, :earlier]).any(axis=1)]
-                alike = (brief[j] == brief[i]).sum(axis=1)
-                j = j[np.argsort(-alike, kind="stable")][: int((alike >= least).sum())]
+            links = []
+            for i in group["left"]:
+                j = _partners(i, group, percent, least)
                 while len(j):
                     now, j = j[:64], j[64:]
                     now = [x for x in now if root(label[x]) != root(label[i])]
@@ -359,6 +401,20 @@ def _other_links(
     return dealt.mapInArrow(compare, "a binary, b binary")
 
 
+def _named(signed: DataFrame, classes: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows with the component of their class; the rows of a large class are not shuffled by it, or salted."""
+    every = classes.select("class", "low", "n").join(named, "class", "left")
+    every = every.select("class", F.coalesce("component_id", "low").alias("component_id"), "n")
+    hot = stage(every.filter(F.col("n") > COPIES).drop("n"), "large_classes")
+    rest = every.filter(F.col("n") <= COPIES).drop("n")
+    if hot.isEmpty():
+        return signed.join(rest, "class", "left")
+    copies = join_small(signed, hot, "class", salt_by="doc_id")
+    gone = hot.select("class")
+    others = signed.join(F.broadcast(gone) if fits_broadcast(gone) else gone, "class", "left_anti")
+    return copies.unionByName(others.join(rest, "class", "left"))
+
+
 def near_duplicates(
     documents: DataFrame,
     percent: int = 85,
@@ -383,6 +439,7 @@ def near_duplicates(
         F.min("doc_id").alias("low"),
         F.min("n_shingles").alias("n_shingles"),
         F.min(F.struct("doc_id", "text_key", "bands", "brief")).alias("rep"),
+        F.count(F.lit(1)).alias("n"),
     )
     classes = stage(ids, "classes")
     briefs = classes.select("class", F.col("rep.brief").alias("brief"))
@@ -401,8 +458,7 @@ def near_duplicates(
     labels = stage(labels, "labels")
     low = labels.join(classes.select(F.col("class").alias("node"), "low"), "node").groupBy("label").agg(F.min("low").alias("component_id"))
     named = labels.join(low, "label").select(F.col("node").alias("class"), "component_id")
-    every = classes.select("class", "low").join(named, "class", "left").select("class", F.coalesce("component_id", "low").alias("component_id"))
-    found = signed.drop("text_key", "bands", "brief").join(every, "class", "left")
+    found = _named(signed.drop("text_key", "bands", "brief"), classes, named)
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.coalesce(F.col("doc_id") == component, component.isNull())
     return found.select(
