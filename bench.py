@@ -57,8 +57,8 @@ def main():
     )
     index = read_index(spark, f"{work}/index")
     terms = query_terms(with_defaults(asked))
-    run(fuzzy_expand(terms, index.term_stats))  # warm-up of the search path
-    timed("fuzzy_expand", lambda: run(fuzzy_expand(terms, index.term_stats)))
+    run(fuzzy_expand(terms, index.term_stats, signatures=index.signatures))  # warm-up of the search path
+    timed("fuzzy_expand", lambda: run(fuzzy_expand(terms, index.term_stats, signatures=index.signatures)))
     timed("search_exact", lambda: run(search_documents(asked, index, encoder, fuzzy=False, knn=False)))
     timed("search_hybrid", lambda: run(search_documents(asked, index, encoder)))
     timed("summarize", lambda: run(summarize(asked, index, encoder)))

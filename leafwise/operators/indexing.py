@@ -74,5 +74,8 @@ def field_stats_of(terms: DataFrame) -> DataFrame:
     )
 
 
-def embed_documents(documents: DataFrame, encoder) -> DataFrame:
+def embed_documents(documents: DataFrame, encoder, terms: DataFrame | None = None) -> DataFrame:
+    """``(id, embedding)``; from the term counts in ``terms`` if the encoder can."""
+    if terms is not None and hasattr(encoder, "of_terms"):
+        return encoder.of_terms(terms)
     return documents.select("id", encoder(embedding_text()).alias("embedding"))

@@ -13,10 +13,14 @@ LOOKUP_TYPES = (".pdf", ".docx")
 
 
 def fetch_by_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(ord, document columns)`` in request order; repeats repeat, unknown ids vanish."""
+    """``(ord, document columns)`` in request order; repeats repeat, unknown ids vanish.
+
+    What was asked for is staged: sorting reads its input twice, to find ranges first. A
+    sink that sorts by ``ord`` again takes the place of this order.
+    """
     asked = ids.select("ord", F.col("doc_id").alias("id"))
-    joined = join_small(documents, asked, "id")
-    return joined.select("ord", *documents.columns).orderBy("ord")
+    joined = stage(join_small(documents, asked, "id", salt_by="id").select("ord", *documents.columns), "fetched")
+    return joined.orderBy("ord")
 
 
 def _best(candidates):

@@ -67,34 +67,35 @@ def word_table(query_terms: DataFrame) -> DataFrame:
     return stage(words.withColumn("term_id", F.monotonically_increasing_id()), "words")
 
 
-def _vocabulary(term_stats: DataFrame, longest: int) -> DataFrame:
-    """``(expansion, <field>_df...)``: one row per index term.
+def term_signatures(terms: DataFrame) -> DataFrame:
+    """``(sig, expansion, expansion_parity)`` of index terms (``term``, distinct).
 
     Few bytes but much work per row: the partitions are set so that every core gets
-    its part, however small the table.
+    its part, however small the table. An index keeps them, as they depend on nothing
+    but the term.
     """
-    spark = term_stats.sparkSession
+    spark = terms.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dfs = [F.max(F.when(F.col("field") == f, F.col("df"))).alias(f"{f}_df") for f in FIELDS]
-    return term_stats.filter(F.length("term") <= longest).repartition(parts, "term").groupBy("term").agg(*dfs)
+    distinct = terms.select("term").repartition(parts, "term").distinct()
+    signed = vocabulary_signatures(distinct.withColumn("expansion_parity", letter_parity(F.col("term"))))
+    return signed.select("sig", F.col("term").alias("expansion"), "expansion_parity")
 
 
-def expand_words(words: DataFrame, term_stats: DataFrame, limit: int | None = None) -> DataFrame:
+def expand_words(words: DataFrame, term_stats: DataFrame, limit: int | None = None, signatures: DataFrame | None = None) -> DataFrame:
     """``(field, term, term_id, expansion, weight, df, df_max)``, staged.
 
     Both sides are joined on signatures (see ``functions.fuzzy``), so a word meets
     only the few index terms that can lie within its edits, and similarity, which
     does not depend on the field, is found once per pair. The vocabulary is the big
-    side and stays where it is when the signatures of the words fit a broadcast.
+    side and stays where it is when the signatures of the words fit a broadcast; an
+    index has its ``signatures`` ready.
     """
-    longest = (words.agg(F.max(F.length("term"))).first()[0] or 0) + 2
+    if signatures is None:
+        longest = (words.agg(F.max(F.length("term"))).first()[0] or 0) + 2
+        signatures = term_signatures(term_stats.filter(F.length("term") <= longest))
     wanted = query_signatures(words.select("term", letter_parity(F.col("term")).alias("parity")))
-    vocabulary = _vocabulary(term_stats, longest)
-    stored = vocabulary_signatures(
-        vocabulary.withColumn("expansion_parity", letter_parity(F.col("term")))
-    ).withColumnRenamed("term", "expansion")
     near = F.abs(F.length("term") - F.length("expansion")) <= max_edits(F.col("term"))
-    met = join_small(stored, wanted, "sig", salt_by="expansion").filter(near)
+    met = join_small(signatures, wanted, "sig", salt_by="expansion").filter(near)
     pairs = met.drop("sig").distinct()
     distance = swap_distance(
         F.col("term"), F.col("expansion"), F.col("parity"), F.col("expansion_parity")
@@ -102,15 +103,13 @@ def expand_words(words: DataFrame, term_stats: DataFrame, limit: int | None = No
     shorter = F.least(F.length("term"), F.length("expansion"))
     # Exploding one element keeps the filter from evaluating the distance again.
     similar = pairs.withColumn("weight", F.explode(F.array(1 - distance / shorter))).filter("weight > 0")
-    per_field = F.array(
-        *[
-            F.when(F.col(f"{f}_asked"), F.struct(F.lit(f).alias("field"), F.col(f"{f}_df").alias("df")))
-            for f in FIELDS
-        ]
-    )
-    known = join_small(similar, words, "term", salt_by="expansion")
-    known = known.select("term", "term_id", "expansion", "weight", F.explode(per_field).alias("f"))
-    known = known.select("f.field", "term", "term_id", "expansion", "weight", "f.df").filter("df > 0")
+    fields = F.array(*[F.when(F.col(f"{f}_asked"), F.lit(f)) for f in FIELDS])
+    asked = words.select("term", "term_id", F.explode(fields).alias("field")).filter("field is not null")
+    similar = stage(similar.select("term", "expansion", "weight"), "similar")
+    wanted_in = stage(join_small(similar, asked, "term", salt_by="expansion"), "similar_by_field")
+    frequencies = term_stats.select("field", F.col("term").alias("expansion"), "df")
+    known = join_small(frequencies, wanted_in, ["field", "expansion"], salt_by="df")
+    known = known.select("field", "term", "term_id", "expansion", "weight", "df")
     return stage(_best_expansions(known, limit), "expansions")
 
 
@@ -146,12 +145,12 @@ def _per_query(query_terms: DataFrame, expanded: DataFrame) -> DataFrame:
     )
 
 
-def fuzzy_expand(query_terms: DataFrame, term_stats: DataFrame, limit: int | None = None) -> DataFrame:
+def fuzzy_expand(query_terms: DataFrame, term_stats: DataFrame, limit: int | None = None, signatures: DataFrame | None = None) -> DataFrame:
     """Index terms near each query term, at most the nearest ``limit`` per field, if given.
 
     A word is expanded once however many queries use it.
     """
-    return _per_query(query_terms, expand_words(word_table(query_terms), term_stats, limit))
+    return _per_query(query_terms, expand_words(word_table(query_terms), term_stats, limit, signatures))
 
 
 def exact_terms(query_terms: DataFrame, term_stats: DataFrame) -> DataFrame:

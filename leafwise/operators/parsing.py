@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.functions import text as t
-from leafwise.schema import DOCUMENTS
+from leafwise.schema import DOCUMENTS, EMBEDDED_FIELDS
 
 
 def file_extension(path):
@@ -103,6 +103,5 @@ def parse_documents(
 
 def embedding_text(content_chars: int | None = None):
     """The text that stands for a document: its fields, with content whole or cut."""
-    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "background", "scope")]
-    content = t.truncate(F.coalesce(F.col("content"), F.lit("")), content_chars)
-    return F.concat_ws(" ", *parts, content)
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in EMBEDDED_FIELDS]
+    return F.concat_ws(" ", *parts[:-1], t.truncate(parts[-1], content_chars))

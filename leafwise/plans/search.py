@@ -46,7 +46,7 @@ def blank_pages(queries: DataFrame, documents: DataFrame) -> DataFrame:
 def expand(terms: DataFrame, index, fuzzy=True) -> DataFrame:
     """The index terms that the query terms of a batch stand for."""
     words = word_table(terms)
-    return expand_words(words, index.term_stats) if fuzzy else exact_words(words, index.term_stats)
+    return expand_words(words, index.term_stats, signatures=index.signatures) if fuzzy else exact_words(words, index.term_stats)
 
 
 def search_pages(queries: DataFrame, index, encoder, terms: DataFrame, expanded: DataFrame, knn=True, skip=True):

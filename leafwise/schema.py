@@ -4,6 +4,7 @@ from pyspark.sql import types as T
 
 # Fixed values.
 FIELDS = ("title", "headings", "background", "scope", "content")
+EMBEDDED_FIELDS = ("title", "background", "scope", "content")
 BACKGROUND_KEYWORDS = ("background", "introduction", "overview")
 SCOPE_KEYWORDS = ("scope", "scope of work", "objectives")
 SECTION_LOOKAHEAD = 100

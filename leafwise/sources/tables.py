@@ -26,6 +26,7 @@ from leafwise.operators.indexing import (
     term_stats,
 )
 from leafwise.operators.maintenance import delete_where, latest
+from leafwise.operators.matching import term_signatures
 from leafwise.operators.scoring import term_bucket
 from leafwise.plans.joins import fits_broadcast, join_small
 from leafwise.plans.staging import stage
@@ -147,6 +148,7 @@ class Index:
     field_stats: DataFrame
     vectors: DataFrame
     postings: DataFrame
+    signatures: DataFrame | None = None
     dead: DataFrame | None = None
     buckets: int | None = None
 
@@ -161,16 +163,18 @@ def build_index(documents: DataFrame, encoder, vectors: DataFrame | None = None)
     fields = by_field(terms)
     postings = postings_of(fields)
     if vectors is None:
-        vectors = stage(embed_documents(documents, encoder), "vectors")
+        vectors = stage(embed_documents(documents, encoder, terms), "vectors")
     blocks = stage(block_postings(terms), "blocks")
+    stats = stage(term_stats(postings), "term_stats")
     return Index(
         documents=documents,
         blocks=blocks,
         places=places_of(blocks),
         postings=postings,
-        term_stats=stage(term_stats(postings), "term_stats"),
+        term_stats=stats,
         field_stats=stage(field_stats_of(fields), "field_stats"),
         vectors=vectors,
+        signatures=stage(term_signatures(stats), "signatures"),
     )
 
 
@@ -197,7 +201,8 @@ def _write_part(documents: DataFrame, folder: str, encoder, buckets: int) -> Dat
         .partitionBy("bucket")
         .parquet(f"{folder}/documents")
     )
-    embed_documents(documents, encoder).write.mode("overwrite").parquet(f"{folder}/vectors")
+    embed_documents(documents, encoder, terms).write.mode("overwrite").parquet(f"{folder}/vectors")
+    term_signatures(blocks.filter(~listed)).write.mode("overwrite").parquet(f"{folder}/signatures")
     return by_field(terms)
 
 
@@ -317,6 +322,8 @@ def _read_parts(spark: SparkSession, path: str, number: int, layout) -> dict[str
         "places": places,
         "dead": dead,
         "postings": postings_from(blocks, places),
+        # a term may be in several parts; its pairs are made distinct, whichever part they come from
+        "signatures": spark.read.schema("sig long, expansion string, expansion_parity long").parquet(*(f"{path}/version={p}/signatures" for p in layout["parts"])),
         **stats,
     }
 
