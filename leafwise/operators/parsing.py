@@ -12,15 +12,19 @@ def file_extension(path):
     return F.lower(F.regexp_extract(path, r"[^./]\.*(\.[^./]*)$", 1))
 
 
-def classify_files(files: DataFrame) -> DataFrame:
-    """Add ``file_type`` (null when unsupported) and ``supported``."""
-    extension = file_extension(F.col("file_path"))
-    file_type = (
+def file_type_of(path):
+    """``pdf``, ``docx`` or ``txt``; null when unsupported."""
+    extension = file_extension(path)
+    return (
         F.when(extension == ".pdf", "pdf")
         .when(extension.isin(".docx", ".doc"), "docx")
         .when(extension == ".txt", "txt")
     )
-    return files.withColumn("file_type", file_type).withColumn(
+
+
+def classify_files(files: DataFrame) -> DataFrame:
+    """Add ``file_type`` (null when unsupported) and ``supported``."""
+    return files.withColumn("file_type", file_type_of(F.col("file_path"))).withColumn(
         "supported", F.col("file_type").isNotNull()
     )
 
@@ -42,17 +46,21 @@ def assemble_parts(parts: DataFrame) -> DataFrame:
     return grouped.select("file_path", "file_type", joined.alias("text"))
 
 
-def parse_status(files: DataFrame) -> DataFrame:
-    """``(file_path, status)``: skipped without a type or text, failed on an error.
+def file_status(files: DataFrame):
+    """``skipped`` without a type or text, ``failed`` on an error, else ``success``.
 
-    An optional ``error`` column says what went wrong while indexing the file.
+    An optional ``error`` column of ``files`` says what went wrong while reading a file.
     """
-    files = classify_files(files)
-    usable = F.col("supported") & (F.length(F.coalesce("text", F.lit(""))) > 0)
-    status = F.when(~usable, "skipped")
+    supported = file_type_of(F.col("file_path")).isNotNull()
+    status = F.when(~supported, "skipped")
     if "error" in files.columns:
         status = status.when(F.col("error").isNotNull(), "failed")
-    return files.select("file_path", status.otherwise("success").alias("status"))
+    return status.when(F.length(F.coalesce("text", F.lit(""))) == 0, "skipped").otherwise("success")
+
+
+def parse_status(files: DataFrame) -> DataFrame:
+    """``(file_path, status)``, see ``file_status``."""
+    return files.select("file_path", file_status(files).alias("status"))
 
 
 def ingest_report(status: DataFrame) -> DataFrame:

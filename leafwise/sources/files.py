@@ -40,15 +40,15 @@ def stream_files(spark: SparkSession, root: str, globs=("*.txt",), max_files=Non
 
 
 def decode_text(files: DataFrame) -> DataFrame:
-    """``(file_path, file_type, text)`` of text files: UTF-8 without its bad bytes.
+    """``(file_path, file_type, text, error)`` of text files: UTF-8 without its bad bytes.
 
     Bad bytes are first replaced by U+FFFD and then removed, with which a genuine
-    U+FFFD is lost too. Other types get a null text; their parts come from a
-    decoder of the user's choice through ``assemble_parts``.
+    U+FFFD is lost too. A file of which nothing is left, though it has bytes, has an
+    ``error``. Other types get a null text; their parts come from a decoder of the
+    user's choice through ``assemble_parts``.
     """
     valid = F.make_valid_utf8(F.col("content").cast("string"))
     text = fold_newlines(F.translate(valid, "�", ""))
-    classified = classify_files(files)
-    return classified.select(
-        "file_path", "file_type", F.when(F.col("file_type") == "txt", text).alias("text")
-    )
+    decoded = classify_files(files).withColumn("text", F.when(F.col("file_type") == "txt", text))
+    lost = (F.length("content") > 0) & (F.length("text") == 0)
+    return decoded.select("file_path", "file_type", "text", F.when(lost, F.lit("no valid UTF-8")).alias("error"))

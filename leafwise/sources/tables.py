@@ -1,17 +1,15 @@
-"""Stored document tables and search indexes.
+"""Stored search indexes.
 
-A document table is a folder of batches and bases. A batch carries the number of its
-writing and the key of its writer; writing it never touches others, and reading keeps
-the latest row of each id. ``rewrite`` folds all that has been written so far into a
-base; batches written meanwhile have higher numbers and stay. Only complete folders
-are read, so a lost job leaves the table as it was.
-
-An index is a list of parts, one for each batch added since it was last written whole.
+An index is a set of Parquet tables partitioned by part: the first part is written
+whole, each batch added later is one more. A part is read once the index's log names
+it. Statistics are kept as increments: a part brings its own counts, less those of the
+documents it replaces, and reading adds them up. When there are more than ``MAX_PARTS``
+parts, the next batch makes one of all.
 """
 
 from dataclasses import dataclass
-from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,114 +23,21 @@ from leafwise.operators.indexing import (
     postings_of,
     term_stats,
 )
-from leafwise.operators.maintenance import delete_where, latest
 from leafwise.operators.matching import term_signatures
 from leafwise.operators.scoring import term_bucket
 from leafwise.plans.joins import fits_broadcast, join_small
 from leafwise.plans.staging import stage
-from leafwise.schema import DOCUMENTS
 
 # Tasks that share the writing of one index partition, so that the posting list of
 # a frequent term is not one task's work.
 WRITERS_PER_BUCKET = 4
-LAYOUT = "buckets int, parts array<int>, replacing array<int>"
-STORED_BLOCKS = f"{BLOCKS}, bucket int"
+MAX_PARTS = 16
+LOG = "part int, first int, buckets int"
+STORED_BLOCKS = BLOCKS.replace("ids array<string>, ", "") + ", bucket int, part int"
 # Bits of a shard's number below those of the part it belongs to.
 PART_SHIFT = 52
 
 
-def _complete(spark: SparkSession, path: str, prefix: str) -> list[str]:
-    """Names, without prefix, of the folders ``prefix=<name>`` that a job has finished."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    found = [status.getPath() for status in files.listStatus(folder)]
-    found = [p for p in found if p.getName().startswith(prefix + "=")]
-    return [p.getName()[len(prefix) + 1 :] for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-
-
-def _written(name: str) -> int:
-    return int(name.split("-")[0])
-
-
-def _newest_base(spark: SparkSession, path: str) -> int:
-    return max(map(int, _complete(spark, path, "base")), default=-1)
-
-
-def create_table_if_absent(spark: SparkSession, path: str, schema=DOCUMENTS) -> bool:
-    """Create an empty table; false when there is one already."""
-    if _newest_base(spark, path) >= 0:
-        return False
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/base=0")
-    return True
-
-
-def _folded(spark: SparkSession, path: str, base: int) -> set[str]:
-    """Names of the batches that are part of a base: as many as there were batches."""
-    if base < 1:
-        return set()
-    return {r["name"] for r in spark.read.schema("name string").parquet(f"{path}/folded={base}").collect()}
-
-
-def _open_batches(spark: SparkSession, path: str) -> tuple[int, list[str]]:
-    """The newest base and the batches that it does not hold."""
-    base = _newest_base(spark, path)
-    folded = _folded(spark, path, base)
-    return base, [n for n in _complete(spark, path, "batch") if n not in folded]
-
-
-def append_batch(incoming: DataFrame, path: str, batch: int, writer: str = "main") -> None:
-    """Write a batch of ``writer``; the same number of the same writer again replaces it.
-
-    Once a batch is part of a base, writing it again is one more upsert, so nothing is
-    lost. Writers (streams) number their batches independently.
-    """
-    spark = incoming.sparkSession
-    own = f"-{writer}-{batch}"
-    name = next((n for n in _open_batches(spark, path)[1] if n.endswith(own)), None)
-    if name is None:
-        name = f"{1 + max(map(_written, _complete(spark, path, 'batch')), default=0)}{own}"
-    incoming.write.mode("overwrite").parquet(f"{path}/batch={name}")
-
-
-def read_batches(spark: SparkSession, path: str, schema=DOCUMENTS) -> DataFrame:
-    """The rows of the newest base (number -1) and of the other batches, with the number of their writing."""
-    base, batches = _open_batches(spark, path)
-    if base < 0:
-        raise FileNotFoundError(path)
-    folders = [f"{path}/base={base}", *(f"{path}/batch={n}" for n in batches)]
-    file = F.col("_metadata.file_path")
-    number = F.when(file.rlike(r"/batch=[^/]*/[^/]*$"), F.regexp_extract(file, r"/batch=(\d+)[^/]*/[^/]*$", 1)).otherwise("-1")
-    names = [f.name for f in schema]
-    return spark.read.schema(schema).parquet(*folders).select(*names, number.cast("bigint").alias("batch"))
-
-
-def read_documents(spark: SparkSession, path: str, schema=DOCUMENTS) -> DataFrame:
-    """The current rows: of each id the one written last."""
-    rows = read_batches(spark, path, schema)
-    order = [F.desc("batch")]
-    if "file_path" in rows.columns:
-        order.append(F.desc("file_path"))
-    return latest(rows, "id", order).drop("batch")
-
-
-def rewrite(spark: SparkSession, path: str, predicate=None, schema=DOCUMENTS) -> None:
-    """Fold all that is written into a new base, leaving out rows that match ``predicate``.
-
-    The base knows the batches it holds; one that is written meanwhile stays beside it.
-    """
-    base, batches = _open_batches(spark, path)
-    rows = read_documents(spark, path, schema)
-    if predicate is not None:
-        rows = delete_where(rows, predicate)
-    names = sorted({*batches, *_folded(spark, path, base)})
-    held = spark.createDataFrame([(n,) for n in names], "name string")
-    held.coalesce(1).write.mode("overwrite").parquet(f"{path}/folded={base + 1}")
-    rows.write.mode("overwrite").parquet(f"{path}/base={base + 1}")
-
-
 @dataclass
 class Index:
     """The tables a search reads. ``buckets`` is set when they are stored by bucket.
@@ -178,160 +83,152 @@ def build_index(documents: DataFrame, encoder, vectors: DataFrame | None = None)
     )
 
 
-def _write_part(documents: DataFrame, folder: str, encoder, buckets: int) -> DataFrame:
-    """Write blocks, documents and vectors of a staged table; returns its staged term lists."""
+def _log(spark: SparkSession, path: str):
+    """The newest part, the first of those that belong to it, and the number of buckets; null without an index."""
+    try:
+        rows = spark.read.schema(LOG).parquet(f"{path}/log").collect()
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return None
+    return max((r["part"], r["first"], r["buckets"]) for r in rows) if rows else None
+
+
+def _counts(terms: DataFrame, sign: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Increments of the statistics: documents per term, documents and tokens per field."""
+    words = term_stats(postings_of(terms)).withColumn("df", sign * F.col("df"))
+    fields = terms.groupBy("field").agg((sign * F.count(F.lit(1))).alias("n_docs"), (sign * F.sum("dl")).alias("tokens"))
+    return words, fields
+
+
+def _write_part(documents: DataFrame, path: str, part: int, first: int, encoder, buckets: int, gone: DataFrame | None = None) -> None:
+    """Write the tables of a part, then name it in the log. ``gone``: documents it replaces, with their ``part``."""
+    spark = documents.sparkSession
+
+    def write(rows: DataFrame, table: str, *partitions: str) -> None:
+        # the same part again, left over from a lost job, is replaced
+        rows = rows.withColumn("part", F.lit(part))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", *partitions).parquet(f"{path}/{table}")
+
     spread = F.pmod(F.xxhash64(F.col("shard")), F.lit(WRITERS_PER_BUCKET))
     terms = stage(document_terms(documents), "document_terms")
     blocks = stage(block_postings(terms), "blocks").withColumn("bucket", term_bucket(F.col("term"), buckets))
     listed = F.col("ids").isNotNull()
-    blocks.filter(listed).drop("field", "bucket").write.mode("overwrite").parquet(f"{folder}/shards")
-    (
-        blocks.filter(~listed).drop("ids")
-        .repartition("field", "bucket", spread)
-        .sortWithinPartitions("field", "bucket", "term")
-        .write.mode("overwrite")
-        .partitionBy("field", "bucket")
-        .parquet(f"{folder}/blocks")
-    )
+    write(blocks.filter(listed).select("shard", "ids"), "shards")
+    lists = blocks.filter(~listed).drop("ids").repartition("field", "bucket", spread).sortWithinPartitions("field", "bucket", "term")
+    write(lists, "blocks", "field", "bucket")
     stored = documents.withColumn("bucket", term_bucket(F.col("id"), buckets))
-    (
-        stored.repartition("bucket", F.pmod(F.hash(F.col("id")), F.lit(WRITERS_PER_BUCKET)))
-        .sortWithinPartitions("bucket", "id")
-        .write.mode("overwrite")
-        .partitionBy("bucket")
-        .parquet(f"{folder}/documents")
-    )
-    embed_documents(documents, encoder, terms).write.mode("overwrite").parquet(f"{folder}/vectors")
-    term_signatures(blocks.filter(~listed)).write.mode("overwrite").parquet(f"{folder}/signatures")
-    return by_field(terms)
-
-
-def _publish(spark: SparkSession, path: str, version: int, buckets: int, parts: list[int], replacing: list[int]) -> None:
-    """Write the layout of a version, from which on it is read."""
-    layout = spark.createDataFrame([(buckets, parts, replacing)], LAYOUT)
-    layout.coalesce(1).write.mode("overwrite").parquet(f"{path}/layout={version}")
+    stored = stored.repartition("bucket", F.pmod(F.hash(F.col("id")), F.lit(WRITERS_PER_BUCKET))).sortWithinPartitions("bucket", "id")
+    write(stored, "documents", "bucket")
+    write(embed_documents(documents, encoder, terms), "vectors")
+    write(term_signatures(blocks.filter(~listed)), "signatures")
+    words, fields = _counts(by_field(terms))
+    if gone is not None:
+        less_words, less_fields = _counts(field_terms(gone), -1)
+        words = words.unionByName(less_words).groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df <> 0")
+        fields = fields.unionByName(less_fields)
+        write(gone.select("id", F.col("part").alias("of")), "replaced")
+    write(words, "term_counts")
+    write(fields.coalesce(1), "field_counts")
+    spark.createDataFrame([(part, first, buckets)], LOG).coalesce(1).write.mode("append").parquet(f"{path}/log")
 
 
 def write_index(documents: DataFrame, path: str, encoder, buckets: int = 64) -> None:
-    """Store the index tables below ``path`` as a new version of one part.
+    """Store the index tables below ``path`` as one part, which takes the place of all before.
 
     Blocks of postings lie in folders by field and hash of the term, documents by hash
     of the id. A search joins on the bucket as well, so that only the folders with its
     terms and its page are read. ``WRITERS_PER_BUCKET`` tasks share each bucket. The
-    layout is written last and publishes the version; until then the one before is read.
+    log names the part last; until then the parts before are read.
     """
-    spark = documents.sparkSession
-    version = 1 + max(map(int, _versions(spark, path)), default=0)
-    folder = f"{path}/version={version}"
-    terms = _write_part(stage(documents, "indexed_documents"), folder, encoder, buckets)
-    term_stats(postings_of(terms)).write.mode("overwrite").parquet(f"{folder}/term_stats")
-    field_stats_of(terms).coalesce(1).write.mode("overwrite").parquet(f"{folder}/field_stats")
-    _publish(spark, path, version, buckets, [version], [])
+    log = _log(documents.sparkSession, path)
+    part = 1 + (log[0] if log else 0)
+    _write_part(stage(documents, "indexed_documents"), path, part, part, encoder, buckets)
 
 
 def add_to_index(documents: DataFrame, path: str, encoder) -> None:
     """Make a batch of documents (one row per id) searchable; ids that are there already are replaced.
 
-    The batch becomes one more part of the index, with the ids it replaces in earlier
-    parts; no earlier file is read for that but the documents of those ids. Statistics
-    are those before, plus the batch's, less the replaced documents'. The same batch
-    again changes nothing that a search sees. ``write_index`` makes one part of all.
-    One writer at a time adds to an index; a missing one is created.
+    The batch becomes one more part, with the ids it replaces in earlier parts; no
+    earlier file is read for that but the documents of those ids. The same batch again
+    changes nothing that a search sees. One writer at a time adds to an index; a
+    missing one is created.
     """
     spark = documents.sparkSession
     documents = stage(documents, "indexed_documents")
     if documents.isEmpty():
         return
-    if not _versions(spark, path):
+    log = _log(spark, path)
+    if log is None:
         return write_index(documents, path, encoder)
-    number, layout = _layout(spark, path)
-    before, buckets = _read_parts(spark, path, number, layout), layout["buckets"]
-    folder = f"{path}/version={number + 1}"
-    terms = _write_part(documents, folder, encoder, buckets)
+    part, first, buckets = log
+    alive = _alive(spark, path, "documents", log)
     ids = documents.select("id", term_bucket(F.col("id"), buckets).alias("bucket"))
-    old = stage(join_small(before["documents"], ids, ["id", "bucket"]), "replaced_documents")
-    gone = field_terms(old)
-    old.select("id", "part").write.mode("overwrite").parquet(f"{folder}/replaced")
+    if part - first + 1 >= MAX_PARTS:
+        kept = alive.join(ids.select("id"), "id", "left_anti").select(*documents.columns)
+        return write_index(kept.unionByName(documents), path, encoder, buckets)
+    gone = stage(join_small(alive, ids, ["id", "bucket"]), "replaced_documents")
+    _write_part(documents, path, part + 1, first, encoder, buckets, None if gone.isEmpty() else gone)
+
+
+def _stored(spark: SparkSession, path: str, table: str, log, schema: str | None = None) -> DataFrame:
+    """The rows of a table in the parts that are read."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{path}/{table}").filter(F.col("part").between(log[1], log[0]))
 
-    columns = ("field", "term", "df")
-    less = term_stats(postings_of(gone)).withColumn("df", -F.col("df"))
-    counted = before["term_stats"].select(*columns).unionByName(term_stats(postings_of(terms))).unionByName(less)
-    counted = counted.groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df > 0")
-    counted.write.mode("overwrite").parquet(f"{folder}/term_stats")
 
-    def totals(stats, sign):
-        tokens = F.round(F.col("avgdl") * F.col("n_docs")).cast("bigint")
-        return stats.select("field", (sign * F.col("n_docs")).alias("n_docs"), (sign * tokens).alias("tokens"))
+def _replaced(spark: SparkSession, path: str, log) -> DataFrame | None:
+    """``(id, part)``: documents of parts that a later part replaces."""
+    try:
+        rows = _stored(spark, path, "replaced", log, "id string, of int, part int")
+        return rows.select("id", F.col("of").alias("part")).distinct()
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return None
 
-    lengths = totals(before["field_stats"], 1).unionByName(totals(field_stats_of(terms), 1)).unionByName(totals(field_stats_of(gone), -1))
-    lengths = lengths.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens")).filter("n_docs > 0")
-    lengths = lengths.select("field", "n_docs", (F.col("tokens") / F.col("n_docs")).alias("avgdl"))
-    lengths.coalesce(1).write.mode("overwrite").parquet(f"{folder}/field_stats")
-    replacing = layout["replacing"] + ([] if old.isEmpty() else [number + 1])
-    _publish(spark, path, number + 1, buckets, [*layout["parts"], number + 1], replacing)
 
+def _without(rows: DataFrame, gone: DataFrame | None, key: str) -> DataFrame:
+    if gone is None:
+        return rows
+    gone = gone.withColumnRenamed("id", key)
+    return rows.join(F.broadcast(gone) if fits_broadcast(gone) else gone, [key, "part"], "left_anti")
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    return _complete(spark, path, "layout")
 
+def _alive(spark: SparkSession, path: str, table: str, log) -> DataFrame:
+    return _without(_stored(spark, path, table, log), _replaced(spark, path, log), "id")
 
-def _layout(spark: SparkSession, path: str):
-    """The newest version's number and its layout row."""
-    versions = _versions(spark, path)
-    if not versions:
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    """The index as its log has it, with the number of buckets it was written with."""
+    log = _log(spark, path)
+    if log is None:
         raise FileNotFoundError(path)
-    number = max(map(int, versions))
-    return number, spark.read.schema(LAYOUT).parquet(f"{path}/layout={number}").first()
-
-
-def _read_parts(spark: SparkSession, path: str, number: int, layout) -> dict[str, DataFrame]:
-    """Tables of a version; those in parts name the part and leave out what a later part replaces."""
-    hidden, small = None, False
-    if layout["replacing"]:
-        hidden = spark.read.schema("id string, part int").parquet(*(f"{path}/version={v}/replaced" for v in layout["replacing"])).distinct()
-        small = fits_broadcast(hidden)
-
-    def alive(rows, key):
-        if hidden is None:
-            return rows
-        gone = hidden.withColumnRenamed("id", key)
-        return rows.join(F.broadcast(gone) if small else gone, [key, "part"], "left_anti")
-
-    def parts_of(name):
-        tables = [spark.read.parquet(f"{path}/version={p}/{name}").withColumn("part", F.lit(p)) for p in layout["parts"]]
-        return alive(reduce(DataFrame.unionByName, tables), "id")
-
-    def shard(part):
-        return F.col("shard") + F.lit(part << PART_SHIFT)
-
-    stored = [spark.read.schema(STORED_BLOCKS.replace("ids array<string>, ", "")).parquet(f"{path}/version={p}/blocks").withColumn("shard", shard(p)) for p in layout["parts"]]
-    listed = [spark.read.schema("shard long, ids array<string>").parquet(f"{path}/version={p}/shards").withColumn("shard", shard(p)) for p in layout["parts"]]
-    blocks = reduce(DataFrame.unionByName, stored).withColumn("ids", F.lit(None).cast("array<string>"))
-    shards = reduce(DataFrame.unionByName, listed)
-    blocks = blocks.unionByName(shards, allowMissingColumns=True)
+    shard = F.col("shard") + F.shiftleft(F.col("part").cast("long"), PART_SHIFT)
+    blocks = _stored(spark, path, "blocks", log, STORED_BLOCKS).withColumn("shard", shard)
+    shards = _stored(spark, path, "shards", log, "shard long, ids array<string>, part int").withColumn("shard", shard)
+    gone = _replaced(spark, path, log)
     every = places_of(shards).withColumn("part", F.shiftright("shard", PART_SHIFT).cast("int"))
-    places = alive(every, "doc_id").drop("part")
+    places = _without(every, gone, "doc_id").drop("part")
     dead = None
-    if hidden is not None:
-        dead = join_small(every, hidden.withColumnRenamed("id", "doc_id"), ["doc_id", "part"], salt_by="ord").select("shard", "ord")
-    stats = {name: spark.read.parquet(f"{path}/version={number}/{name}") for name in ("term_stats", "field_stats")}
-    return {
-        "documents": parts_of("documents"),
-        "vectors": parts_of("vectors"),
-        "blocks": blocks,
-        "places": places,
-        "dead": dead,
-        "postings": postings_from(blocks, places),
+    if gone is not None:
+        dead = join_small(every, gone.withColumnRenamed("id", "doc_id"), ["doc_id", "part"], salt_by="ord").select("shard", "ord")
+    words = _stored(spark, path, "term_counts", log, "field string, term string, df long, part int")
+    if log[0] > log[1]:
+        words = words.groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df > 0")
+    fields = _stored(spark, path, "field_counts", log, "field string, n_docs long, tokens long, part int")
+    fields = fields.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens")).filter("n_docs > 0")
+    blocks = blocks.drop("part").unionByName(shards.drop("part"), allowMissingColumns=True)
+    return Index(
+        documents=_alive(spark, path, "documents", log).drop("part"),
+        blocks=blocks,
+        places=places,
+        term_stats=words.select("field", "term", "df"),
+        field_stats=fields.select("field", "n_docs", (F.col("tokens") / F.col("n_docs")).alias("avgdl")),
+        vectors=_alive(spark, path, "vectors", log).drop("part"),
+        postings=postings_from(blocks, places),
         # a term may be in several parts; its pairs are made distinct, whichever part they come from
-        "signatures": spark.read.schema("sig long, expansion string, expansion_parity long").parquet(*(f"{path}/version={p}/signatures" for p in layout["parts"])),
-        **stats,
-    }
-
-
-def read_index(spark: SparkSession, path: str) -> Index:
-    """The newest complete version, with the number of buckets it was written with."""
-    number, layout = _layout(spark, path)
-    tables = _read_parts(spark, path, number, layout)
-    for name in ("documents", "vectors"):
-        tables[name] = tables[name].drop("part")
-    return Index(**tables, buckets=layout["buckets"])
+        signatures=_stored(spark, path, "signatures", log, "sig long, expansion string, expansion_parity long, part int").drop("part"),
+        dead=dead,
+        buckets=log[2],
+    )

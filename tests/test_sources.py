@@ -6,6 +6,7 @@ from leafwise.operators import maintenance, parsing
 from leafwise.plans.ingest import ingest_batch
 from leafwise.plans.search import search_documents
 from leafwise.plans.staging import stage
+from leafwise.sources import documents as stored
 from leafwise.sources import files, tables
 from leafwise.streaming.ingest import stream_ingest
 
@@ -71,55 +72,119 @@ def batch(spark, *rows):
 def test_table_life(spark, tmp_path):
     path = str(tmp_path / "table")
     with pytest.raises(FileNotFoundError):
-        tables.read_documents(spark, path)
-    assert tables.create_table_if_absent(spark, path) and not tables.create_table_if_absent(spark, path)
-    assert tables.read_documents(spark, path).count() == 0
+        stored.read_documents(spark, path)
+    assert stored.create_table_if_absent(spark, path) and not stored.create_table_if_absent(spark, path)
+    assert stored.read_documents(spark, path).count() == 0
     report = ingest_batch(batch(spark, ("a", "first"), ("b", "other"), ("c", "")), path, 0)
     assert tuple(report.first()) == (2, 0, 1)
     ingest_batch(batch(spark, ("a", "second")), path, 1)
     ingest_batch(batch(spark, ("a", "second")), path, 1)
-    found = {r["id"]: r["content"] for r in tables.read_documents(spark, path).collect()}
+    found = {r["id"]: r["content"] for r in stored.read_documents(spark, path).collect()}
     assert found == {"a": "second", "b": "other"}
-    tables.rewrite(spark, path, F.col("id") == "b")
-    found = {r["id"]: r["content"] for r in tables.read_documents(spark, path).collect()}
-    assert found == {"a": "second"}
-    assert tables.read_batches(spark, path).count() == 1
+    stored.delete_documents(spark, path, F.col("id") == "b", 0)
+    for _ in range(2):
+        found = {r["id"]: r["content"] for r in stored.read_documents(spark, path).collect()}
+        assert found == {"a": "second"}
+        stored.compact(spark, path)
     ingest_batch(batch(spark, ("b", "again")), path, 2)
-    assert tables.read_documents(spark, path).count() == 2
+    assert stored.read_documents(spark, path).count() == 2
+    stored.delete_documents(spark, path, F.lit(True), 1)
+    assert stored.read_documents(spark, path).count() == 0
 
 
-def test_a_batch_replayed_after_a_rewrite_loses_nothing(spark, tmp_path):
+def test_a_batch_replayed_after_compaction_loses_nothing(spark, tmp_path):
     path = str(tmp_path / "table")
+    read = lambda: {r["id"]: r["content"] for r in stored.read_documents(spark, path).collect()}
     ingest_batch(batch(spark, ("a", "1"), ("b", "2")), path, 0)
     ingest_batch(batch(spark, ("c", "3")), path, 1)
-    tables.rewrite(spark, path)
-    ingest_batch(batch(spark, ("c", "4")), path, 1)
-    ingest_batch(batch(spark, ("c", "4")), path, 1)
-    read = lambda: {r["id"]: r["content"] for r in tables.read_documents(spark, path).collect()}
-    assert read() == {"a": "1", "b": "2", "c": "4"}
-    tables.rewrite(spark, path)
-    assert read() == {"a": "1", "b": "2", "c": "4"} and tables.read_batches(spark, path).count() == 3
+    ingest_batch(batch(spark, ("c", "5")), path, 2)
+    stored.compact(spark, path)
+    ingest_batch(batch(spark, ("c", "4"), ("d", "4")), path, 1)  # older than batch 2, as before
+    assert read() == {"a": "1", "b": "2", "c": "5", "d": "4"}
+    stored.compact(spark, path)
+    assert read() == {"a": "1", "b": "2", "c": "5", "d": "4"}
 
 
-def test_writers_and_a_rewrite_at_the_same_time(spark, tmp_path, monkeypatch):
+def test_a_batch_written_during_compaction_stays(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "table")
     ingest_batch(batch(spark, ("a", "1")), path, 0, writer="one")
     ingest_batch(batch(spark, ("b", "2")), path, 0, writer="two")
-    whole = tables.delete_where
+    write = stored._insert
 
-    def meanwhile(rows, predicate):
-        ingest_batch(batch(spark, ("d", "5")), path, 1, writer="two")
-        return whole(rows, predicate)
+    def meanwhile(rows, name, buckets):
+        write(rows, name, buckets)
+        if name.endswith("base"):
+            monkeypatch.setattr(stored, "_insert", write)
+            ingest_batch(batch(spark, ("d", "5"), ("b", "6")), path, 1, writer="two")
 
-    monkeypatch.setattr(tables, "delete_where", meanwhile)
-    tables.rewrite(spark, path, F.col("id") == "a")
-    assert {r["id"] for r in tables.read_documents(spark, path).collect()} == {"b", "d"}
+    monkeypatch.setattr(stored, "_insert", meanwhile)
+    stored.compact(spark, path)
+    assert {r["id"]: r["content"] for r in stored.read_documents(spark, path).collect()} == {"a": "1", "b": "6", "d": "5"}
+
+
+def test_an_unfinished_base_is_not_read(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    ingest_batch(batch(spark, ("a", "1"), ("b", "2")), path, 0)
+    monkeypatch.setattr(stored, "_publish", lambda *x: None)  # the job is lost before the log
+    stored.compact(spark, path)
+    assert {r["id"] for r in stored.read_documents(spark, path).collect()} == {"a", "b"}
+    monkeypatch.undo()
+    stored.compact(spark, path)
+    assert {r["id"] for r in stored.read_documents(spark, path).collect()} == {"a", "b"}
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_only_the_batch_is_shuffled(spark, tmp_path, monkeypatch):
+    """Reading joins base and changes bucket by bucket; a batch is dealt out by bucket, once."""
+    path = str(tmp_path / "table")
+    monkeypatch.setattr(stored, "BUCKETS", 4)
+    ingest_batch(batch(spark, ("a", "1"), ("b", "2")), path, 0)
+    stored.compact(spark, path)
+    ingest_batch(batch(spark, ("b", "3")), path, 1)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges(stored.read_documents(spark, path)) == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_opened_by_another_session(spark, tmp_path):
+    path = str(tmp_path / "table")
+    ingest_batch(batch(spark, ("a", "1")), path, 0)
+    for name in ("base", "changes"):
+        spark.sql(f"DROP TABLE {stored._name(path, name)}")  # the catalog of another session does not have them
+    assert [r["id"] for r in stored.read_documents(spark, path).collect()] == ["a"]
+    ingest_batch(batch(spark, ("a", "2")), path, 1)
+    assert [r["content"] for r in stored.read_documents(spark, path).collect()] == ["2"]
+
+
+def test_failed_files_are_counted_in_the_writing_pass(spark, tmp_path):
+    write(tmp_path / "in", good_txt=b"text", broken_txt=b"\xff\xfe\xff", other_pdf=b"x")
+    read = files.decode_text(files.scan_files(spark, str(tmp_path / "in"), globs=()))
+    path = str(tmp_path / "table")
+    assert tuple(ingest_batch(read.drop("file_type"), path, 0).first()) == (1, 1, 1)
+    assert [r["id"] for r in stored.read_documents(spark, path).collect()] == ["good"]
+
+
+def test_parts_are_merged_at_a_threshold(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "MAX_PARTS", 3)
+    index, encoder = str(tmp_path / "index"), hash_encoder(16)
+    for n in range(6):
+        tables.add_to_index(parsing.parse_documents(batch(spark, (f"d{n}", f"word{n} same"), ("x", f"version{n}"))), index, encoder)
+    part, first, _ = tables._log(spark, index)
+    assert part == 6 and part - first < 3
+    found = {(r["field"], r["term"]): r["df"] for r in tables.read_index(spark, index).term_stats.filter("field = 'content'").collect()}
+    assert found[("content", "same")] == 6 and found[("content", "version5")] == 1 and ("content", "version4") not in found
 
 
 def test_ingest_with_vectors(spark, tmp_path):
     path = str(tmp_path / "table")
     ingest_batch(batch(spark, ("a", "some words")), path, 0, encoder=hash_encoder(16))
-    assert len(tables.read_documents(spark, path).first()["embedding"]) == 16
+    assert len(stored.read_documents(spark, path).first()["embedding"]) == 16
 
 
 def test_an_ingested_batch_can_be_searched(spark, tmp_path):
@@ -137,7 +202,7 @@ def test_an_ingested_batch_can_be_searched(spark, tmp_path):
     found = search_documents(asked, tables.read_index(spark, index), encoder, fuzzy=False, knn=False)
     assert {tuple(r) for r in found.select("query_id", "id").collect()} == {(0, "c"), (0, "d"), (1, "a")}
     add(2, ("e", ""))  # no document
-    whole = tables.build_index(stage(tables.read_documents(spark, path), "documents"), encoder)
+    whole = tables.build_index(stage(stored.read_documents(spark, path), "documents"), encoder)
     parts = tables.read_index(spark, index)
     for name in ("term_stats", "field_stats", "postings", "vectors"):
         table = getattr(whole, name)
@@ -152,7 +217,7 @@ def test_stream(spark, tmp_path):
 
     def run():
         stream_ingest(spark, str(root), out, checkpoint, max_files=1).awaitTermination(120)
-        return {r["id"]: r["content"] for r in tables.read_documents(spark, out).collect()}
+        return {r["id"]: r["content"] for r in stored.read_documents(spark, out).collect()}
 
     write(root, a_txt=b"one", b_txt=b"two", skip_pdf=b"x")
     assert run() == {"a": "one", "b": "two"}
