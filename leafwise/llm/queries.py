@@ -61,12 +61,12 @@ def op6_benchmark_decontamination(spark, sf_dir):
 
 
 def op7_secret_scans(spark, sf_dir):
-    """With the columns that its SQL has; ``op7_secret_classes`` has those of the base spans' classes too."""
-    return op7_secret_classes(spark, sf_dir).drop("base_classes", "n_base_live", "n_base_copied")
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents")).drop("found")
 
 
 def op7_secret_classes(spark, sf_dir):
-    return secrets.scan_secrets(_table(spark, sf_dir, "documents")).drop("found")
+    """What ``op7_secret_scans`` tells of the base spans' ownership."""
+    return op7_secret_scans(spark, sf_dir).select("doc_id", "base_classes", "n_base_live", "n_base_copied")
 
 
 def op8_quality_rules(spark, sf_dir):
@@ -108,6 +108,7 @@ SQL = {
     "op5_substring_dedup": sql.SUBSTRING_DEDUP,
     "op6_benchmark_decontamination": sql.DECONTAMINATION,
     "op7_secret_scans": sql.SECRET_SCANS,
+    "op7_secret_classes": f"SELECT doc_id, base_classes, n_base_live, n_base_copied FROM ({sql.SECRET_SCANS})",
     "op8_quality_rules": sql.QUALITY_RULES,
     "op13_merkle_manifest": sql.MANIFEST,
 }

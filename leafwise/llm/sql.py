@@ -108,45 +108,50 @@ _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["''
 def _matches(kind: int, pattern: str, group: int) -> str:
     """Rows of all matches with what stands before each, of which sums give the places."""
     return rf"""
-      SELECT doc_id, {kind} AS kind, unnest(regexp_extract_all(t, '{pattern}')) AS m,
+      SELECT rid, {kind} AS kind, unnest(regexp_extract_all(t, '{pattern}')) AS m,
              unnest(regexp_extract_all(t, '{pattern}', {group})) AS own,
              unnest(string_split_regex(t, '{pattern}')) AS b,
              unnest(range(len(regexp_extract_all(t, '{pattern}')) + 1)) AS nth
       FROM texts"""
 
 
+#: A value of more owners than this, or of more repositories, is copied; see ``secrets``.
 SECRET_SCANS = rf"""
-    WITH texts AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+    WITH texts AS (
+      SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
     matches AS ({_matches(0, _ASSIGN, 1)} UNION ALL {_matches(1, 'AKIA[A-Z0-9]+', 0)}
       UNION ALL {_matches(2, '[0-9a-f]+', 0)} UNION ALL {_matches(3, '[A-Za-z0-9+/_-]+', 0)}),
     placed AS (
-      SELECT doc_id, kind, m, own,
-             sum(length(b) + coalesce(length(m), 0)) OVER (PARTITION BY doc_id, kind ORDER BY nth) - coalesce(length(m), 0) AS a
+      SELECT rid, kind, m, own,
+             sum(length(b) + coalesce(length(m), 0)) OVER (PARTITION BY rid, kind ORDER BY nth) - coalesce(length(m), 0) AS a
       FROM matches),
     spans AS (
-      SELECT doc_id, kind, a::BIGINT AS a, (a + length(m))::BIGINT AS z, m FROM placed
+      SELECT rid, kind, a::BIGINT AS a, (a + length(m))::BIGINT AS z, CASE kind WHEN 0 THEN own ELSE m END AS value FROM placed
       WHERE CASE kind WHEN 0 THEN length(own) >= 6 WHEN 1 THEN length(m) >= 20 WHEN 2 THEN length(m) >= 24
             ELSE length(m) >= 20 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') END),
     base AS (SELECT * FROM spans WHERE kind < 3),
-    more AS (
-      SELECT s.doc_id, s.a, s.z, s.m, owner FROM spans s JOIN texts USING (doc_id)
-      WHERE kind = 3 AND NOT EXISTS (FROM base b WHERE b.doc_id = s.doc_id AND b.a < s.z AND s.a < b.z)),
-    owned AS (SELECT m, count(DISTINCT owner) AS owners FROM more GROUP BY m),
-    judged AS (SELECT more.*, owners <= 1 AS live FROM more JOIN owned USING (m)),
-    every AS (
-      SELECT doc_id, kind, a, z FROM base UNION ALL SELECT doc_id, 3, a, z FROM judged WHERE live),
-    named AS (SELECT *, concat_ws(':', ['assign', 'access', 'hex', 'live'][kind + 1], a, z) AS shown FROM every),
+    counted AS (
+      SELECT * FROM base UNION ALL
+      SELECT * FROM spans s
+      WHERE kind = 3 AND NOT EXISTS (FROM base b WHERE b.rid = s.rid AND b.a < s.z AND s.a < b.z)),
+    holders AS (SELECT DISTINCT value, owner, doc_id FROM counted JOIN texts USING (rid)),
+    owned AS (SELECT value, count(DISTINCT owner) AS owners, count(*) AS repositories FROM holders GROUP BY value),
+    judged AS (SELECT counted.*, owners <= 1 AND repositories <= 10 AS live FROM counted JOIN owned USING (value)),
+    named AS (SELECT *, concat_ws(':', ['assign', 'access', 'hex', 'live'][kind + 1], a, z) AS shown FROM judged),
     joined AS (
-      SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
-             count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_live,
+      SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+             count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3 AND live) AS n_live,
+             count(*) FILTER (kind = 3 AND NOT live) AS n_copied,
+             count(*) FILTER (kind < 3 AND live) AS n_base_live, count(*) FILTER (kind < 3 AND NOT live) AS n_base_copied,
              string_agg(shown, ',' ORDER BY a, kind, z) FILTER (kind < 3) AS base,
-             string_agg(shown, ',' ORDER BY a, kind, z) AS spans
-      FROM named GROUP BY doc_id),
-    copied AS (SELECT doc_id, count(*) AS n_copied FROM judged WHERE NOT live GROUP BY doc_id)
+             string_agg(shown, ',' ORDER BY a, kind, z) FILTER (kind < 3 OR live) AS spans,
+             string_agg(concat(shown, CASE WHEN live THEN ':live' ELSE ':copied' END), ',' ORDER BY a, kind, z) FILTER (kind < 3) AS classes
+      FROM named GROUP BY rid)
     SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
            coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-           coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
-    FROM texts LEFT JOIN joined USING (doc_id) LEFT JOIN copied USING (doc_id)"""
+           coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(classes, '') AS base_classes,
+           coalesce(n_base_live, 0) AS n_base_live, coalesce(n_base_copied, 0) AS n_base_copied
+    FROM texts LEFT JOIN joined USING (rid)"""
 
 QUALITY_RULES = rf"""
     WITH texts AS (
