@@ -134,6 +134,11 @@ field_stats AS MATERIALIZED (
 )"""
 POSTINGS = POSTINGS.replace("term, doc_id, count(*) AS tf, any_value(dl) AS dl", "term, doc_id, count(*) AS tf, dl")
 
+PLACES = """
+places AS MATERIALIZED (
+  SELECT field, doc_id, unnest(ts) AS term, unnest(range(len(ts))) AS place FROM field_tokens
+)"""
+
 ALL_FIELDS = "list_value(" + ", ".join(f"'{f}'" for f in FIELDS) + ")"
 PLAIN_QUERIES = (
     f"SELECT query_id, query, '' AS keyword, {ALL_FIELDS} AS search_fields, 1 AS page, 20 AS page_size, "
@@ -345,7 +350,8 @@ def with_(*parts):
     return "WITH " + ", ".join(p.strip() for p in parts)
 
 
-def report(include_summary):
+def report(include_summary, chars=None):
+    cut = lambda column: column if chars is None else f"substr({column}, 1, {chars})"
     extra = (
         """
   UNION ALL SELECT ord, 6, 'h2', 'AI Summary:' FROM fetched
@@ -359,9 +365,9 @@ def report(include_summary):
 SELECT ord, row_number() OVER (PARTITION BY ord ORDER BY place)::INTEGER AS block_no, kind, text FROM (
   SELECT ord, 1 AS place, 'h1' AS kind, coalesce(title, 'Untitled') AS text FROM fetched
   UNION ALL SELECT ord, 2, 'h2', 'Background:' FROM fetched WHERE length(background) > 0
-  UNION ALL SELECT ord, 3, 'paragraph', background FROM fetched WHERE length(background) > 0
+  UNION ALL SELECT ord, 3, 'paragraph', {cut("background")} FROM fetched WHERE length(background) > 0
   UNION ALL SELECT ord, 4, 'h2', 'Scope:' FROM fetched WHERE length(scope) > 0
-  UNION ALL SELECT ord, 5, 'paragraph', scope FROM fetched WHERE length(scope) > 0{extra}
+  UNION ALL SELECT ord, 5, 'paragraph', {cut("scope")} FROM fetched WHERE length(scope) > 0{extra}
   UNION ALL SELECT ord, 8, 'page_break', '' FROM fetched WHERE ord < (SELECT max(ord) FROM fetched)
 )"""
     )
@@ -449,6 +455,9 @@ ELSE 'No documents found' END AS message, success AS count FROM (SELECT {COUNTS}
     "sections": with_(DOCS) + "SELECT id, background, scope FROM docs",
     "parse_documents": with_(DOCS)
     + "SELECT * REPLACE (array_to_string(headings, ' | ') AS headings), NULL::VARCHAR AS category FROM docs",
+    "parse_documents_cut": with_(DOCS)
+    + "SELECT id, title, array_to_string(headings[1:20], ' | ') AS headings, substr(content, 1, 5000) AS content FROM docs",
+    "document_table": with_(DOCS) + "SELECT id, file_type, title, content FROM docs WHERE file_type <> 'txt'",
     "embedding_text": with_(DOCS) + f"SELECT id, {EMBEDDED} AS text FROM docs",
     "document_ids": with_(CLASSIFIED)
     + r"SELECT file_path, regexp_replace(regexp_extract(file_path, '[^/]*$'), '^(.+)\.[^.]+$', '\1') AS id FROM reports",
@@ -463,6 +472,19 @@ FROM (SELECT doc_id, {tokens("text")} AS ts FROM documents)""",
 SELECT doc_id, unnest(range(len(ss))) AS pos, unnest(ss) AS sentence
 FROM (SELECT doc_id, {sentences("text")} AS ss FROM documents)""",
     "postings": with_(INDEXED) + "SELECT field, term, doc_id, tf, dl FROM postings",
+    "positional_postings": with_(INDEXED, PLACES)
+    + """SELECT field, term, doc_id, string_agg(gap, ' ' ORDER BY place) AS gaps FROM (
+  SELECT *, (place - coalesce(lag(place) OVER (PARTITION BY field, doc_id, term ORDER BY place), -1))::VARCHAR AS gap FROM places)
+GROUP BY field, term, doc_id""",
+    "phrases": with_(INDEXED, PLACES)
+    + f""", asked AS (
+  SELECT DISTINCT array_to_string(w[i:i + 2], ' ') AS phrase
+  FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT {tokens("query")} AS w FROM ({inputs.QUERIES})))
+)
+SELECT phrase, field, doc_id, string_agg(place, ' ' ORDER BY place) AS starts
+FROM (SELECT field, doc_id, i - 1 AS place, array_to_string(ts[i:i + 2], ' ') AS phrase
+      FROM (SELECT field, doc_id, ts, unnest(range(1, len(ts) - 1)) AS i FROM field_tokens)) JOIN asked USING (phrase)
+GROUP BY phrase, field, doc_id""",
     "term_stats": with_(INDEXED) + "SELECT field, term, df FROM term_stats",
     "term_stats_in_batches": with_(INDEXED) + "SELECT field, term, df FROM term_stats",
     "field_stats": with_(INDEXED) + "SELECT field, n_docs, round(avgdl, 6) AS avgdl FROM field_stats",
@@ -541,6 +563,11 @@ FROM requests r LEFT JOIN best b USING (ord)""",
     + """SELECT coalesce(title, '') AS Title, coalesce(file_path, '') AS "File Path",
 coalesce(background, '') AS Background, coalesce(scope, '') AS Scope,
 coalesce(array_to_string(headings, ' | '), '') AS Headings FROM fetched""",
+    "export_csv_cut": with_(DOCS, EXPORTS)
+    + """SELECT coalesce(title, '') AS Title, coalesce(file_path, '') AS "File Path",
+substr(coalesce(background, ''), 1, 500) AS Background, substr(coalesce(scope, ''), 1, 500) AS Scope,
+coalesce(array_to_string(headings[1:5], ' | '), '') AS Headings FROM fetched""",
+    "export_report_cut": report(False, 1000),
     "export_report": report(False),
     "export_report_with_summary": report(True),
 }

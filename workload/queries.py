@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from leafwise.functions.text import file_stem, split_sentences, strip_ws, tokenize
 from leafwise.functions.vectors import cosine_similarity
-from leafwise.operators import exporting, lookup, maintenance, matching, parsing, ranking, scoring
+from leafwise.operators import exporting, lookup, maintenance, matching, parsing, positions, ranking, scoring
 from leafwise.operators import indexing as ix
 from leafwise.operators.cells import MAX_CELLS, ann_knn, assign_cells, fit_cells
 from leafwise.operators.neighbours import knn_expression, knn_top_k
 from leafwise.operators.summarizing import rank_sentences, sentence_pool, summary_context
+from leafwise.operators.parsing import parse_documents as parse
 from leafwise.plans import search as s
 from leafwise.plans.staging import shared_dir, stage
 from leafwise.plans.summaries import summarize
+from leafwise.sources import documents as stored
 from leafwise.sources import tables
 from leafwise.sources.corpus import read_corpus, read_table
 from workload.inputs import (
@@ -63,6 +65,19 @@ def latest_upsert(spark, folder):
     return maintenance.upsert_documents(events.filter(click), new, "user_id", ["ts", "event_id"])
 
 
+def document_table(spark, folder):
+    """A stored table: every other document has another text at first, text files are deleted, old and new are folded."""
+    documents = stage(parsed(spark, folder).withColumn("embedding", F.lit(None).cast("array<float>")), "documents")
+    late = F.pmod(F.xxhash64("id"), F.lit(2)) == 1
+    path = f"{shared_dir(spark)}/leafwise/{uuid.uuid4().hex}/table"
+    stored.create_table_if_absent(spark, path, buckets=4)
+    stored.append_batch(documents.withColumn("content", F.when(late, F.lit("text that goes")).otherwise(F.col("content"))), path, 0)
+    stored.compact(spark, path)
+    stored.append_batch(documents.filter(late), path, 1)
+    stored.delete_documents(spark, path, F.col("file_type") == "txt", 0)
+    return stored.read_documents(spark, path).select("id", "file_type", "title", "content")
+
+
 def ingest_report(spark, folder):
     return parsing.ingest_report(parsing.parse_status(reports(spark, folder)))
 
@@ -95,6 +110,12 @@ def parse_documents(spark, folder):
     )
 
 
+def parse_documents_cut(spark, folder):
+    """With the limits of an index of small documents: 5000 characters of content, 20 headings."""
+    docs = parse(reports(spark, folder), content_chars=5000, max_headings=20)
+    return docs.select("id", "title", joined("headings"), "content")
+
+
 def parts_documents(spark, folder):
     parts = assemble_parts(spark, folder)
     path = F.concat_ws(".", F.concat(F.lit("talk-"), "file_path"), "file_type")
@@ -137,6 +158,21 @@ def postings(spark, folder):
     return ix.build_postings(parsed(spark, folder))
 
 
+def positional_postings(spark, folder):
+    found = positions.positional_postings(parsed(spark, folder))
+    return found.select("field", "term", "doc_id", F.array_join("gaps", " ").alias("gaps"))
+
+
+def phrases(spark, folder):
+    """Where each run of three words of a query text stands in the documents."""
+    i = index(spark, folder)
+    words = queries(spark, folder).select(tokenize(F.col("query")).alias("w")).filter("size(w) > 2")
+    runs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda p: F.array_join(F.slice("w", p, 3), " "))).alias("phrase"))
+    postings = stage(positions.positional_postings(i.documents), "positions")
+    found = positions.phrase_matches(runs.distinct(), postings, i.term_stats)
+    return found.select("phrase", "field", "doc_id", F.array_join("starts", " ").alias("starts"))
+
+
 def term_stats(spark, folder):
     return ix.term_stats(ix.build_postings(parsed(spark, folder)))
 
@@ -376,6 +412,16 @@ def export_csv(spark, folder):
     return exporting.export(_fetched(spark, folder), "csv")
 
 
+def export_csv_cut(spark, folder):
+    """With the limits of a printed table: 500 characters of a section, 5 headings."""
+    return exporting.export_csv(_fetched(spark, folder), chars=500, max_headings=5)
+
+
+def export_report_cut(spark, folder):
+    """Paragraphs of 1000 characters at most."""
+    return exporting.export_report_blocks(_fetched(spark, folder), chars=1000)
+
+
 def export_report(spark, folder):
     return exporting.export(_fetched(spark, folder), "pdf")
 
@@ -392,6 +438,7 @@ REGISTERED = {
         assemble_parts,
         parts_documents,
         latest_upsert,
+        document_table,
         parse_status,
         ingest_report,
         ingest_message,
@@ -399,12 +446,15 @@ REGISTERED = {
         headings,
         sections,
         parse_documents,
+        parse_documents_cut,
         embedding_text,
         document_ids,
         stripped_lines,
         tokens,
         sentences,
         postings,
+        positional_postings,
+        phrases,
         term_stats,
         term_stats_in_batches,
         field_stats,
@@ -438,6 +488,8 @@ REGISTERED = {
         fetch_by_ids,
         resolve_ids,
         export_csv,
+        export_csv_cut,
+        export_report_cut,
         export_report,
         export_report_with_summary,
     )
