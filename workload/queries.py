@@ -9,6 +9,7 @@ from leafwise.functions.vectors import cosine_similarity
 from leafwise.operators import exporting, lookup, maintenance, matching, parsing, positions, ranking, scoring
 from leafwise.operators import indexing as ix
 from leafwise.operators.cells import MAX_CELLS, ann_knn, assign_cells, fit_cells
+from leafwise.operators.learned import learn_encoder
 from leafwise.operators.neighbours import knn_expression, knn_top_k
 from leafwise.operators.summarizing import rank_sentences, sentence_pool, summary_context
 from leafwise.operators.parsing import parse_documents as parse
@@ -301,6 +302,16 @@ def vector_cells(spark, folder):
     return assign_cells(vectors, fit_cells(vectors)).select(F.col("id").alias("vec_id"), "cell")
 
 
+def learned_neighbours(spark, folder):
+    """The documents nearest to each query text by vectors learned from all documents."""
+    i = index(spark, folder)
+    terms = stage(ix.document_terms(i.documents), "document_terms")
+    encoder = learn_encoder(terms)
+    asked = queries(spark, folder).select("query_id", encoder(F.col("query")).alias("embedding"))
+    found = knn_top_k(stage(encoder.of_terms(terms), "learned_vectors"), stage(asked, "learned_queries"))
+    return found.select("query_id", "doc_id", score())
+
+
 def _hits(spark, folder):
     i, asked = index(spark, folder), matching.with_defaults(queries(spark, folder))
     keyword = _keyword_scores(spark, folder)
@@ -472,6 +483,7 @@ REGISTERED = {
         ann,
         ann_all_cells,
         vector_cells,
+        learned_neighbours,
         hybrid,
         ranked_page,
         totals,
