@@ -6,11 +6,12 @@ strings, cut into parts by range; rows with one string are told apart by a mixed
 number, so that a string that a third of all rows share still takes many parts.
 
 A query first descends, in the first trees, to the longest prefix that enough rows of
-its part share, whatever its length there. The scores found are a lower bound on those of its
-neighbours, and with the chance that two vectors of such a score share a symbol they
-tell how deep a prefix finds the wanted share of them. To that depth it then ascends in
-all trees at once, and every row of the nodes reached is a candidate. A query for which
-no prefix is safe, or whose prefixes too few rows share, meets all rows, in one tree. Nothing is left out of a node.
+its part share, whatever its length there. The scores found are a lower bound on those
+of its neighbours, and with the chance that two vectors of such a score share a symbol
+they tell how deep a prefix finds the wanted share of them. To that depth it then
+ascends in all trees at once, and every row of the nodes reached is a candidate. A query
+for which no prefix is safe, or whose prefixes too few rows share, meets all rows, in
+one tree. Nothing is left out of a node.
 
 Inner products become cosines by one more dimension, which fills shorter vectors up to
 the longest length. Vectors that are alike are indexed once, with their least ids.
