@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwise.llm.words import NOT_ALNUM, as_bytes, hash_words, slices, split_words
+from leafwise.llm.words import NOT_ALNUM, as_bytes, hash_words, released, slices, split_words
 from leafwise.plans.staging import stage
 
 #: Words of a window.
@@ -143,7 +143,7 @@ def _index(rows: DataFrame, queries: Queries) -> DataFrame:
     def build(batches):
         for batch in batches:
             texts = as_bytes(batch.column("text"))
-            for a, b in slices(texts):
+            for a, b in slices(texts, 1 << 20):
                 words = split_words(texts[a:b], NOT_ALNUM, lower=True)
                 number = queries.numbers(hash_words(words))
                 terms, positions = [None] * (b - a), [None] * (b - a)
@@ -158,7 +158,7 @@ def _index(rows: DataFrame, queries: Queries) -> DataFrame:
                 columns += [pa.array(words.counts.astype(np.int64)), pa.array(terms, pa.binary()), pa.array(positions, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, "n_words", "terms", "positions"])
 
-    return rows.mapInArrow(build, f"{_schema(rows)}, n_words long, terms binary, positions binary")
+    return rows.mapInArrow(released(build), f"{_schema(rows)}, n_words long, terms binary, positions binary")
 
 
 def _schema(df: DataFrame) -> str:
@@ -172,14 +172,14 @@ def _frequencies(rows: DataFrame, queries: Queries) -> np.ndarray:
         total = np.zeros(len(queries.terms), dtype=np.int64)
         for batch in batches:
             texts = as_bytes(batch.column("text"))
-            for a, b in slices(texts):
+            for a, b in slices(texts, 1 << 20):
                 number = queries.numbers(hash_words(split_words(texts[a:b], NOT_ALNUM, lower=True)))
                 total += np.bincount(number[number >= 0], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["term", "n"])
 
     out = np.zeros(len(queries.terms), dtype=np.int64)
-    for r in rows.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("text").mapInArrow(released(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r["term"]] = r["n"]
     return out
 
@@ -210,7 +210,7 @@ def _search(index: DataFrame, queries: Queries) -> DataFrame:
             columns = [batch.column(c) for c in kept] + [pa.array(f, pa.list_(k)) for f, k in zip(found, kinds)]
             yield pa.RecordBatch.from_arrays(columns, [*kept, *FOUND])
 
-    return index.mapInArrow(search, f"{_schema(index.select(*kept))}, {_FOUND_SCHEMA}")
+    return index.mapInArrow(released(search), f"{_schema(index.select(*kept))}, {_FOUND_SCHEMA}")
 
 
 def _block(items: DataFrame, blocks: int, number: int) -> list:
@@ -286,5 +286,5 @@ def contamination(
     kind = rows.schema["doc_id"].dataType.simpleString()
     shown = "".join(f", `{c}` {rows.schema[f'carried {c}'].dataType.simpleString()}" for c in carry)
     return rows.mapInArrow(
-        judge, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long{shown}"
+        released(judge), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long{shown}"
     )

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwise.llm.words import U64, mix
+from leafwise.llm.words import U64, mix, released
 
 #: Length of the vectors.
 DIMENSIONS = 1024
@@ -109,7 +109,7 @@ def prototypes(documents: DataFrame, dimensions: int = DIMENSIONS, text_column:
             yield pa.RecordBatch.from_arrays(columns, ["label", "place", "value"])
 
     labelled = documents.select(F.col(f"`{label_column}`").alias("label"), F.col(f"`{text_column}`").alias("text")).dropna()
-    sums = labelled.mapInArrow(add, "label string, place int, value double")
+    sums = labelled.mapInArrow(released(add), "label string, place int, value double")
     return sums.groupBy("label", "place").agg(F.sum("value").alias("value"))
 
 
@@ -150,7 +150,7 @@ def nearest(documents: DataFrame, profile: DataFrame, dimensions: int = DIMENSIO
             columns = [*(batch.column(c) for c in kept), pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(triples, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score", "n_triples"])
 
-    return documents.mapInArrow(compare, f"{schema}, lang_pred string, score double, n_triples long")
+    return documents.mapInArrow(released(compare), f"{schema}, lang_pred string, score double, n_triples long")
 
 
 def chance(dimensions: int = DIMENSIONS) -> float:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.llm import blooms
-from leafwise.llm.words import U64, as_bytes, hash_windows, hash_words, mix, slices, sorted_groups, split_words
+from leafwise.llm.words import U64, as_bytes, hash_windows, hash_words, mix, released, slices, sorted_groups, split_words
 from leafwise.plans.joins import fits_broadcast, join_small
 from leafwise.plans.staging import stage
 
@@ -151,7 +151,7 @@ def _signed(documents: DataFrame, id_column: str, text_column: str, bands: int,
         F.col(f"`{id_column}`").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), *(F.col(f"`{c}`").alias(f"carried {c}") for c in carry)
     )
     more = "".join(f", `{c}` {chosen.schema[c].dataType.simpleString()}" for c in carried)
-    return chosen.mapInArrow(sign, f"doc_id {kind}, text_key long, n_shingles long, class binary, bands array<long>, brief binary{more}")
+    return chosen.mapInArrow(released(sign), f"doc_id {kind}, text_key long, n_shingles long, class binary, bands array<long>, brief binary{more}")
 
 
 def _agreeing(pairs: DataFrame, briefs: DataFrame, least: int) -> DataFrame:
@@ -202,7 +202,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         found.append((name, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return placed.mapInArrow(verify, "a binary, b binary")
+    return placed.mapInArrow(released(verify), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -282,7 +282,7 @@ def _sets(wanted: DataFrame, documents: DataFrame, id_column: str, text_column:
     texts = blooms.marked(texts, F.col("key"), bloom, blocks).filter("maybe")  # few others are shuffled
     found = texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).select("class", "text")
     # rows may repeat; the first of each class is enough
-    return found.mapInArrow(build, "class binary, elements binary").groupBy("class").agg(F.first("elements").alias("elements"))
+    return found.mapInArrow(released(build), "class binary, elements binary").groupBy("class").agg(F.first("elements").alias("elements"))
 
 
 def _partners(i: int, group: dict, percent: int, least: int) -> np.ndarray:
@@ -362,7 +362,7 @@ def _other_links(
                 yield from rows.filter(pa.array(has)).combine_chunks().to_batches()
 
     schema = "key long, one int, two int, class binary, label binary, n_shingles long, bands array<long>, brief binary, own int"
-    chosen = stage(first.mapInArrow(with_partner, schema), "with_partner")
+    chosen = stage(first.mapInArrow(released(with_partner), schema), "with_partner")
     dealt = chosen.join(sets, "class").select(*on, *kept, "elements").repartition(*on).sortWithinPartitions(*on)
 
     def compare(batches):
@@ -398,7 +398,7 @@ def _other_links(
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return dealt.mapInArrow(compare, "a binary, b binary")
+    return dealt.mapInArrow(released(compare), "a binary, b binary")
 
 
 def _named(signed: DataFrame, classes: DataFrame, named: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwise.llm.words import as_bytes, slices
+from leafwise.llm.words import as_bytes, released, slices
 from leafwise.plans.staging import stage
 
 CAPACITY = 2048
@@ -160,7 +160,7 @@ def tokenised_pieces(
                 yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
     chosen = documents.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
-    return chosen.mapInArrow(pieces, schema)
+    return chosen.mapInArrow(released(pieces), schema)
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:

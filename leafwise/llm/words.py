@@ -5,6 +5,8 @@ rule used here. A word is a run of bytes that are no separators; as the separato
 are ASCII, runs of bytes and runs of code points are the same.
 """
 
+import ctypes
+import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -115,6 +117,24 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def released(run):
+    """A task function that gives back what it has freed when it ends.
+
+    Python workers are used again by the tasks after it, of any operator, and would
+    keep the memory that the largest of them needed.
+    """
+
+    def task(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+        if trim:
+            trim(0)
+
+    return task
+
+
 def slices(texts: list[bytes], limit: int = 4 << 20):
     """Ranges of consecutive texts of about ``limit`` bytes; a longer text is its own range."""
     begin, size = 0, 0
