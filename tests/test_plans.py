@@ -59,6 +59,20 @@ def test_join_beyond_the_broadcast_bound(spark, monkeypatch):
     assert sorted(map(tuple, found.select("k", "v", "w").collect())) == wanted
 
 
+def test_a_side_found_too_large_is_never_broadcast(spark, monkeypatch):
+    big = staging.stage(spark.range(3000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v")), "big")
+    small = staging.stage(spark.range(3).select(F.col("id").alias("k"), F.lit("a").alias("w")), "small")
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *a, **k: False)
+    for salt_by in (None, "v"):
+        for splits in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.skewJoin.enabled", splits)
+            try:
+                found = joins.join_small(big, small, "k", salt_by=salt_by)
+                assert found.count() == 3000 and "BroadcastHashJoin" not in plan(found)
+            finally:
+                spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
+
+
 def test_sizes_are_measured(spark):
     rows = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
     assert joins.fits_broadcast(rows)
