@@ -94,6 +94,21 @@ def test_parts_and_blocks_of_a_crowded_cell(spark, data, monkeypatch):
     assert by_query(cells.ann_knn(vectors, asked, num_candidates=1000, probes=cells.MAX_CELLS, cells=3).collect()) == exact
 
 
+def test_candidates_that_codes_cannot_leave_out_make_no_pairs(data, monkeypatch):
+    points, vectors, asked = data
+    exact = by_query(nb.knn_top_k(vectors, asked).collect())
+    monkeypatch.setattr(cells, "knn_expression", lambda *a: pytest.fail("a table of pairs"))
+    everything = cells.ann_knn(vectors, asked, num_candidates=1000, probes=cells.MAX_CELLS)
+    assert by_query(everything.collect()) == exact
+
+
+def test_a_block_has_more_queries_than_a_task_gets_whole(spark, data, monkeypatch):
+    points, vectors, queries = data
+    monkeypatch.setattr(nb, "QUERIES_AT_ONCE", 8)
+    plan = nb._knn_blocks(vectors, queries.select(F.col("query_id").cast("bigint"), "embedding"), 3, 0.9)._jdf.queryExecution().toString()
+    assert re.search(r"pmod\(xxhash64\(query_id#?\d*L?, 42\), 2\)", plan)
+
+
 def test_no_vectors(spark, data):
     points, vectors, asked = data
     assert cells.ann_knn(vectors.limit(0), asked).collect() == []
