@@ -22,6 +22,8 @@ from leafwise.plans.staging import stage
 from leafwise.schema import DOCUMENTS
 
 BUCKETS = 16
+# Bytes of content in a bucket, which one task reads.
+BUCKET_BYTES = 32 << 20
 LOG = "generation int, buckets int"
 
 
@@ -65,6 +67,12 @@ def _changes(spark, path, schema, buckets) -> str:
     return _open(spark, path, "changes", schema, "seq bigint, deleted boolean, batch string", "batch", buckets)
 
 
+def buckets_for(documents: DataFrame, least: int = 4) -> int:
+    """Buckets of a table of about these documents; each task sends on its own sum only."""
+    size = documents.agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0
+    return max(least, -(-size // BUCKET_BYTES))
+
+
 def _insert(rows: DataFrame, name: str, buckets: int) -> None:
     """Write by bucket: one shuffle, of ``rows``. A partition that is there is replaced."""
     columns = rows.sparkSession.table(name).columns

@@ -226,3 +226,11 @@ def test_stream(spark, tmp_path):
     assert run() == {"a": "newer", "b": "two", "c": "three"}
     checkpoint = str(tmp_path / "another")  # starts to number its batches from 0
     assert set(run()) == {"a", "b", "c"}
+
+
+def test_buckets_grow_with_the_documents(spark, monkeypatch):
+    rows = spark.range(10).select(F.repeat(F.lit("x"), 10).alias("content"))
+    assert stored.buckets_for(rows) == 4
+    monkeypatch.setattr(stored, "BUCKET_BYTES", 7)
+    assert stored.buckets_for(rows) == 15
+    assert stored.buckets_for(rows.limit(0)) == 4
