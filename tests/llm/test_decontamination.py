@@ -3,7 +3,9 @@ import re
 
 import pytest
 
+from leafwise.llm import decontamination
 from leafwise.llm.decontamination import contamination
+from leafwise.plans.staging import stage
 from tests.llm.cases import SMALL, documents, empty, frame, rows
 
 COLUMNS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
@@ -66,3 +68,15 @@ def test_nothing_to_find(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r["n_hit"] for r in contamination(frame(spark, documents()), none).collect()} == {0}
     assert contamination(empty(spark), spark.createDataFrame(items(spark), "item_id long, text string")).collect() == []
+
+
+def test_a_carried_text_is_in_a_row_once(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(decontamination, "stage", lambda df, name: staged.append(df.columns) or stage(df, name))
+    benchmark = spark.createDataFrame(items(spark), "item_id long, text string")
+    found = contamination(frame(spark, documents()), benchmark, carry=("text", "lang"), block_bytes=3000)
+    assert {tuple(c for c in columns if "text" in c) for columns in staged} == {("text",)}
+    assert rows(found, *COLUMNS) == brute(documents(), items(spark))
+    assert rows(found, "doc_id", "text", "lang") == rows(frame(spark, documents()), "doc_id", "text", "lang")
+    contamination(frame(spark, documents()), benchmark, carry=("lang",))
+    assert "text" not in staged[-1]
