@@ -39,8 +39,9 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Keep the document with the least id of each group of near copies.
 
     Of rows that repeat an id and a text one stays. Rows without an id are kept unless
-    they are copies of a row that has one. Only rows that may have to go are shuffled:
-    a Bloom filter lets the others pass.
+    they are copies of a row that has one. A Bloom filter lets the rows pass that surely
+    stay. Of the others a second one, of those that stay nevertheless, drops the rest, so
+    that few texts are shuffled.
     """
     key = F.xxhash64("text").alias("text_key")
     found = stage(near_duplicates.near_duplicates(docs.select("doc_id", "text", key), carry=("text_key",)), "found")
@@ -48,16 +49,19 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     going = stage(each.filter("NOT kept OR n > 1"), "going")
     blocks = blooms.blocks_for(going.count())
     mark = F.xxhash64("doc_id", "text_key")
-    own = docs.select(*_columns(docs), key)
-    rows = blooms.marked(own, mark, blooms.bloom_of(going, mark, blocks), blocks)
+    doubted = blooms.bloom_of(going, mark, blocks)
+    spared = blooms.marked(each.filter("kept"), mark, doubted, blocks).filter("maybe")
+    spared = stage(spared.select("doc_id", "text_key", "n"), "spared")
     names = _columns(docs)
-    doubtful = rows.filter("maybe").join(
-        going.select(F.col("doc_id").alias("id"), F.col("text_key").alias("k"), "kept"),
+    rows = blooms.marked(docs.select(*names, key), mark, doubted, blocks)
+    more = blooms.blocks_for(spared.count())
+    few = blooms.marked(rows.filter("maybe").drop("maybe"), mark, blooms.bloom_of(spared, mark, more), more).filter("maybe")
+    doubtful = few.join(
+        spared.select(F.col("doc_id").alias("id"), F.col("text_key").alias("k"), "n"),
         F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("k")),
-        "left",
     )
-    one = doubtful.filter("kept").groupBy("doc_id", "text_key").agg(F.min(F.struct(*(c for c in names if c != "doc_id"))).alias("row"))
-    stays = doubtful.filter(F.col("kept").isNull()).select(*names)
+    one = doubtful.filter("n > 1").groupBy("doc_id", "text_key").agg(F.min(F.struct(*(c for c in names if c != "doc_id"))).alias("row"))
+    stays = doubtful.filter("n = 1").select(*names)
     return rows.filter("NOT maybe").select(*names).unionByName(stays).unionByName(one.select("doc_id", "row.*").select(*names))
 
 

@@ -105,6 +105,14 @@ def superminhash(elements: np.ndarray, begins: np.ndarray, places: int) -> np.nd
     return flat.reshape(sets, places)
 
 
+def _classes(elements: np.ndarray, begins: np.ndarray) -> list[bytes | None]:
+    """A digest of each set, none of an empty one."""
+    packed = elements.astype("<u8")
+    return [
+        hashlib.blake2b(packed[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(begins[:-1], begins[1:])
+    ]
+
+
 def _signed(documents: DataFrame, id_column: str, text_column: str, bands: int, rows: int, carry: tuple[str, ...]) -> DataFrame:
     """``doc_id, text_key, n_shingles, class, bands, brief`` of each document, and what is carried."""
     carried = [f"carried {c}" for c in carry]
@@ -121,15 +129,12 @@ def _signed(documents: DataFrame, id_column: str, text_column: str, bands: int,
                 signature = superminhash(elements, begins, places)
                 keys = mix((signature.reshape(-1, bands, rows) * factors).sum(axis=2, dtype=U64) + np.arange(bands, dtype=U64))
                 brief = (mix(signature) >> U64(48)).astype("<u2")
-                packed = elements.astype("<u8")
-                classes, band_lists, briefs = [], [], []
+                classes, band_lists, briefs = _classes(elements, begins), [], []
                 for i in range(b - a):
                     if n[i]:
-                        classes.append(hashlib.blake2b(packed[begins[i] : begins[i + 1]].tobytes(), digest_size=16).digest())
                         band_lists.append(keys[i].view(np.int64))
                         briefs.append(brief[i].tobytes())
                     else:
-                        classes.append(None)
                         band_lists.append(None)
                         briefs.append(None)
                 part = batch.slice(a, b - a)
@@ -154,8 +159,8 @@ def _signed(documents: DataFrame, id_column: str, text_column: str, bands: int,
     return chosen.mapInArrow(released(sign), f"doc_id {kind}, text_key long, n_shingles long, class binary, bands array<long>, brief binary{more}")
 
 
-def _agreeing(pairs: DataFrame, briefs: DataFrame, least: int) -> DataFrame:
-    """Pairs ``a, b`` whose signatures agree in ``least`` places or more."""
+def _agreeing(pairs: DataFrame, wanted: DataFrame, percent: int, least: int) -> DataFrame:
+    """Pairs ``a, b`` whose signatures agree in ``least`` places or more and whose sizes allow a link."""
 
     def keep(batches):
         for batch in batches:
@@ -165,17 +170,19 @@ def _agreeing(pairs: DataFrame, briefs: DataFrame, least: int) -> DataFrame:
             mask = (one == two).sum(axis=1) >= least
             yield batch.select(["a", "b"]).filter(pa.array(mask))
 
-    one = briefs.select(F.col("class").alias("a"), F.col("brief").alias("brief_a"))
-    two = briefs.select(F.col("class").alias("b"), F.col("brief").alias("brief_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "brief_a", "brief_b")
+    one, two = (
+        wanted.select(F.col("class").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("brief").alias(f"brief_{k}")) for k in ("a", "b")
+    )
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    both = pairs.join(one, "a").join(two, "b").filter(sizes).select("a", "b", "brief_a", "brief_b")
     return both.mapInArrow(keep, "a binary, b binary")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar: ``100 * intersection >= percent * union``.
+def _linked(pairs: DataFrame, wanted: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Staged pairs whose full sets are similar: ``100 * intersection >= percent * union``.
 
-    ``b`` of a pair may have many partners. Its set goes once to each group of about
-    ``MEMBERS`` of them, in which the partners' sets stream past.
+    ``b`` of a pair may have many partners. Its text goes once to each group of about
+    ``MEMBERS`` of them, in which the partners' texts stream past.
     """
     many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MEMBERS)
     salts = F.ceil(F.coalesce("n", F.lit(1)) / MEMBERS)
@@ -184,16 +191,17 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     roles = salted.select(F.col("a").alias("class"), "b", "salt", F.lit(1).alias("role")).unionByName(
         salted.select(F.col("b").alias("class"), "b", "salt", F.lit(0).alias("role")).distinct()
     )
-    placed = roles.join(sets, "class").repartition("b", "salt").sortWithinPartitions("b", "salt", "role", "class")
+    packed = _packed(wanted.join(roles.select("class"), "class", "left_semi"), texts)
+    placed = roles.join(packed, "class").repartition("b", "salt").sortWithinPartitions("b", "salt", "role", "class")
 
     def verify(batches):
         key, base = None, None
         for batch in batches:
             found = []
-            for b, salt, role, name, packed in zip(*(batch.column(k).to_pylist() for k in ("b", "salt", "role", "class", "elements"))):
-                own = np.frombuffer(packed, dtype="<u8")
+            rows = zip(*(batch.column(k).to_pylist() for k in ("b", "salt", "role", "class")))
+            for (b, salt, role, name), own in zip(rows, _unpacked(batch)):
                 if (b, salt) != key:  # the group's own set comes first
-                    key, base = (b, salt), own
+                    key, base = (b, salt), own.copy()
                 if role:
                     at = np.searchsorted(base, own)
                     at[at == len(base)] = 0
@@ -202,7 +210,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         found.append((name, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return placed.mapInArrow(released(verify), "a binary, b binary")
+    return stage(placed.mapInArrow(released(verify), "a binary, b binary"), "star_links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -263,26 +271,56 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def _sets(wanted: DataFrame, documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``class, elements`` (sorted 64-bit numbers) of the ``wanted`` classes (``class, doc_id, text_key``)."""
+def _packed(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """``class, packed, raw``: a compressed text of each ``wanted`` class, and maybe of a few others.
+
+    Texts are a third of the hashes of their shingles, of which sets are made again
+    where they are compared. ``texts`` has ``doc_id, text_key, text``; a class is made
+    out of the text, so nothing has to be joined to find it.
+    """
 
-    def build(batches):
+    def pack(batches):
+        codec = pa.Codec("zstd", compression_level=3)
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            for a, b in slices(texts, 1 << 20):
-                elements, begins = shingle_sets(texts[a:b])
-                packed = elements.astype("<u8")
-                sets = [packed[begins[i] : begins[i + 1]].tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column("class").slice(a, b - a), pa.array(sets, pa.binary())], ["class", "elements"])
+            every = as_bytes(batch.column("text"))
+            for a, b in slices(every, 1 << 20):
+                classes = _classes(*shingle_sets(every[a:b]))
+                some = [i for i, name in enumerate(classes) if name is not None]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([classes[i] for i in some], pa.binary()),
+                        pa.array([codec.compress(every[a + i], asbytes=True) for i in some], pa.binary()),
+                        pa.array([len(every[a + i]) for i in some], pa.int64()),
+                    ],
+                    ["class", "packed", "raw"],
+                )
 
-    text = F.col(f"`{text_column}`")
-    texts = documents.select(F.col(f"`{id_column}`").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    mark = F.xxhash64("doc_id", "text_key")
+    wanted = wanted.select("doc_id", "text_key")
     blocks = blooms.blocks_for(wanted.count())
-    bloom = blooms.bloom_of(wanted, F.col("text_key"), blocks)
-    texts = blooms.marked(texts, F.col("key"), bloom, blocks).filter("maybe")  # few others are shuffled
-    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).select("class", "text")
+    few = blooms.marked(texts, mark, blooms.bloom_of(wanted, mark, blocks), blocks).filter("maybe").select("text")
+    made = few.mapInArrow(released(pack), "class binary, packed binary, raw long")
     # rows may repeat; the first of each class is enough
-    return found.mapInArrow(released(build), "class binary, elements binary").groupBy("class").agg(F.first("elements").alias("elements"))
+    return made.groupBy("class").agg(F.first(F.struct("packed", "raw")).alias("one")).select("class", "one.packed", "one.raw")
+
+
+def _unpacked(rows: pa.RecordBatch | pa.Table):
+    """The set of each row of ``packed, raw``, made for a few texts at a time."""
+    codec = pa.Codec("zstd")
+    packed, raw = (rows.column(c).to_pylist() for c in ("packed", "raw"))
+
+    def sets(begin, end):
+        elements, begins = shingle_sets([codec.decompress(packed[i], raw[i], asbytes=True) for i in range(begin, end)])
+        return (elements[begins[i] : begins[i + 1]] for i in range(end - begin))
+
+    begin, size = 0, 0
+    for i, n in enumerate(raw):
+        if i > begin and size + n > 1 << 20:
+            yield from sets(begin, i)
+            begin, size = i, 0
+        size += n
+    if raw:
+        yield from sets(begin, len(raw))
 
 
 def _partners(i: int, group: dict, percent: int, least: int) -> np.ndarray:
@@ -316,27 +354,28 @@ def _arrays(key: int, one: int, two: int, rows: pa.Table) -> dict:
 
 
 def _other_links(
-    bands: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, least: int
+    bands: DataFrame, labels: DataFrame, wanted: DataFrame, texts: DataFrame, percent: int, least: int
 ) -> DataFrame:
     """Links between classes of a band that no chain of links connects so far.
 
+    ``bands`` is without the smallest class of each, with which all others were compared.
     A large band is cut into blocks, and each two blocks meet in a group of their own.
     Two classes are to be compared when they belong to different components, agree in
     ``least`` places, are of similar size, and meet in no earlier band. Groups meet
     twice: first without the sets, which leaves the classes that have a partner; then
-    these with their full sets. Links found unite components at once, so of the many
+    these with their texts, of which full sets are made. Links found unite components at once, so of the many
     links within a group only those are compared and given out that still connect
     something.
     """
     shown = labels.select(F.col("node").alias("class"), "label")
     marked = bands.join(shown, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    marked = marked.join(classes.select("class", "rep", "n_shingles"), "class")
+    marked = marked.join(wanted.select("class", "n_shingles"), "class")
     mixed = marked.groupBy("key").agg(
         F.sum("n_shingles").alias("size"), F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")
     )
     blocks = F.ceil(F.greatest(F.col("size") / SHINGLES, F.col("n") / BLOCK)).cast("int")
     mixed = stage(mixed.filter(F.col("low") != F.col("high")).select("key", blocks.alias("blocks")), "mixed_bands")
-    inside = marked.join(mixed, "key").select("key", "class", "label", "blocks", "n_shingles", "rep.bands", "rep.brief")
+    inside = marked.join(mixed, "key").join(wanted.select("class", "bands", "brief"), "class")
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda other: F.struct(F.least("own", other).alias("one"), F.greatest("own", other).alias("two")),
@@ -363,13 +402,14 @@ def _other_links(
 
     schema = "key long, one int, two int, class binary, label binary, n_shingles long, bands array<long>, brief binary, own int"
     chosen = stage(first.mapInArrow(released(with_partner), schema), "with_partner")
-    dealt = chosen.join(sets, "class").select(*on, *kept, "elements").repartition(*on).sortWithinPartitions(*on)
+    packed = _packed(wanted.join(chosen.select("class"), "class", "left_semi"), texts)
+    dealt = chosen.join(packed, "class").select(*on, *kept, "packed", "raw").repartition(*on).sortWithinPartitions(*on)
 
     def compare(batches):
         for (key, one, two), rows in sorted_groups(batches, on):
             group = _arrays(key, one, two, rows)
             names, label = rows.column("class").to_pylist(), rows.column("label").to_pylist()
-            sets = [np.frombuffer(x, dtype="<u8") for x in rows.column("elements").to_pylist()]
+            sets = list(_unpacked(rows))
             size = group["size"]
             parent: dict[bytes, bytes] = {}
 
@@ -401,6 +441,39 @@ def _other_links(
     return dealt.mapInArrow(released(compare), "a binary, b binary")
 
 
+def _few(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``column`` is in ``keys``, and maybe a few others."""
+    blocks = blooms.blocks_for(keys.count())
+    mark = F.xxhash64(column)
+    return blooms.marked(rows, mark, blooms.bloom_of(keys, mark, blocks), blocks).filter("maybe").drop("maybe")
+
+
+def _one_each(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """``class, doc_id, text_key, n_shingles, bands, brief`` of one row of each class.
+
+    Only rows of classes that may have several are shuffled.
+    """
+    columns = ["doc_id", "text_key", "n_shingles", "bands", "brief"]
+    several = classes.filter("n > 1").select("class")
+    blocks, mark = blooms.blocks_for(several.count()), F.xxhash64("class")
+    rows = blooms.marked(some.select("class", *columns), mark, blooms.bloom_of(several, mark, blocks), blocks)
+    first = rows.filter("maybe").groupBy("class").agg(F.min(F.struct(*columns)).alias("row"))
+    first = stage(first.select("class", "row.*"), "several")
+    return rows.filter("NOT maybe").select("class", *columns).unionByName(first)
+
+
+def _shared_bands(one_each: DataFrame) -> DataFrame:
+    """Staged ``key, class, pivot`` of bands with several classes; the pivot is the smallest.
+
+    Bands are first counted without their classes; few others are shuffled then.
+    """
+    spread = one_each.select("class", F.explode("bands").alias("key"))
+    keys = stage(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared_keys")
+    spread = _few(spread, "key", keys)
+    pivots = spread.groupBy("key").agg(F.min("class").alias("pivot"), F.count(F.lit(1)).alias("n"))
+    return stage(spread.join(pivots.filter("n > 1").select("key", "pivot"), "key"), "shared_bands")
+
+
 def _named(signed: DataFrame, classes: DataFrame, named: DataFrame) -> DataFrame:
     """Rows with the component of their class; the rows of a large class are not shuffled by it, or salted."""
     every = classes.select("class", "low", "n").join(named, "class", "left")
@@ -435,24 +508,19 @@ def near_duplicates(
     the row kept. An empty table gives no rows. Other columns are left out.
     """
     signed = stage(_signed(documents, id_column, text_column, bands, rows, carry), "signed")
-    ids = signed.filter(F.col("class").isNotNull()).groupBy("class").agg(
-        F.min("doc_id").alias("low"),
-        F.min("n_shingles").alias("n_shingles"),
-        F.min(F.struct("doc_id", "text_key", "bands", "brief")).alias("rep"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    classes = stage(ids, "classes")
-    briefs = classes.select("class", F.col("rep.brief").alias("brief"))
-    spread = stage(classes.select("class", F.explode("rep.bands").alias("key")), "bands")
-    pivots = spread.groupBy("key").agg(F.min("class").alias("pivot"), F.count(F.lit(1)).alias("n"))
-    shared = stage(spread.join(pivots.filter("n > 1").select("key", "pivot"), "key"), "shared_bands")
-    stars = shared.filter(F.col("class") != F.col("pivot")).select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
-    agreeing = _agreeing(stars, briefs, agreement)
-    wanted = shared.select("class").distinct().join(classes, "class").select("class", "rep.doc_id", "rep.text_key")
-    sets = stage(_sets(stage(wanted, "wanted"), documents, id_column, text_column), "sets")
-    links = stage(_linked(agreeing, sets, percent), "star_links")
+    some = signed.filter(F.col("class").isNotNull())
+    classes = stage(some.groupBy("class").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "classes")
+    one_each = _one_each(some, classes)
+    shared = _shared_bands(one_each)
+    names = stage(shared.select("class").distinct(), "names")
+    wanted = stage(_few(one_each, "class", names).join(names, "class"), "wanted")
+    others = shared.filter(F.col("class") != F.col("pivot"))
+    stars = others.select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
+    text = F.col(f"`{text_column}`")
+    texts = documents.select(F.col(f"`{id_column}`").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    links = _linked(stage(_agreeing(stars, wanted, percent, agreement), "agreeing"), wanted, texts, percent)
     labels = components(links)
-    extra = stage(_other_links(shared.select("key", "class"), labels, classes, sets, percent, agreement), "other_links")
+    extra = stage(_other_links(others.select("key", "class"), labels, wanted, texts, percent, agreement), "other_links")
     if not extra.isEmpty():
         labels = components(links.unionByName(extra))
     labels = stage(labels, "labels")

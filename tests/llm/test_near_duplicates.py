@@ -1,4 +1,6 @@
+import os
 import re
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -70,3 +72,23 @@ def test_signatures_estimate_similarity(size):
     similarity = len(np.intersect1d(one, two)) / len(np.union1d(one, two))
     assert abs((signature[0] == signature[1]).mean() - similarity) < 0.15
     assert (nd.superminhash(both[:0], np.array([0, 0]), 8) == ~np.uint64(0)).all()
+
+
+def test_pairs_of_a_band_are_compared_once_and_by_texts(spark, monkeypatch):
+    docs = []
+    for i in range(0, 120, 2):  # 60 pairs at a similarity of about 0.75, each of bands of its own
+        words = [f"w{i}x{j}" for j in range(400)]
+        docs += [(i, " ".join(words), "en", "a"), (i + 1, " ".join(words[:343] + ["other"] * 57), "en", "a")]
+    counted, size = {}, {}
+
+    def staged(df, name, stage=nd.stage):
+        out = stage(df, name)
+        counted[name] = out.count()
+        size[name] = sum(os.path.getsize(urlparse(p).path) for p in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(nd, "stage", staged)
+    assert rows(nd.near_duplicates(frame(spark, docs)), *COLUMNS) == brute(docs)
+    assert counted["shared_bands"] > 120 and counted["salted_pairs"] > 40
+    assert counted["with_partner"] == 0
+    assert sum(size.values()) < sum(len(d[1]) for d in docs)
